@@ -1,0 +1 @@
+"""Intentionally empty: every operator in scope is a batch operator over tables."""
