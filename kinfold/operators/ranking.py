@@ -53,16 +53,17 @@ def rank_in_group(
     rows / hot_rows entries, which is what makes sending it to every task safe.
     """
     keys = list(keys)
+    if not keys:
+        whole = df.withColumn("__table", F.lit(0))
+        return rank_in_group(whole, ["__table"], order, position, out, hot_rows).drop("__table")
     hot = (
         df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
         .withColumn("__cuts", F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int") * 2)
         .drop("__n")
     )
-    cut = (
-        _null_safe_join(df, F.broadcast(hot), keys, "left")
-        if keys
-        else df.crossJoin(F.broadcast(df.agg(F.ceil(F.count("*") / F.lit(hot_rows)).cast("int").alias("__cuts"))))
-    ).withColumn("__cut", F.coalesce(F.floor(position * F.col("__cuts")).cast("int"), F.lit(0)))
+    cut = _null_safe_join(df, F.broadcast(hot), keys, "left").withColumn(
+        "__cut", F.coalesce(F.floor(position * F.col("__cuts")).cast("int"), F.lit(0))
+    )
     before = (
         cut.filter(F.col("__cuts") > 1)
         .groupBy(*keys, "__cut").agg(F.count("*").alias("__m"))
