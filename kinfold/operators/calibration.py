@@ -108,37 +108,30 @@ def fit_temperature(df: DataFrame, keys: Sequence[str], classes: list[str], logi
     expanded to its ``steps`` losses and summed map-side by (run, step).
     """
     keys = list(keys)
-    low, high = -4.0, 4.0
+    if not keys:
+        whole = df.withColumn("__run", F.lit(0))
+        return fit_temperature(whole, ["__run"], classes, logits, weight, steps, rounds).drop("__run")
     true = ar.value_at_label(F.col(logits), ar.class_array(classes), F.col("label"))
     rows = df.select(*keys, F.col(logits).alias("__z"), F.col(weight).cast("double").alias("__w"), true.alias("__y"))
-    centre = df.select(*keys).distinct().withColumn("__mid", F.lit((low + high) / 2.0)) if keys else None
-    half = (high - low) / 2.0
+    best = rows.select(*keys).distinct().withColumn("__mid", F.lit(0.0))
+    half = 4.0
     for _ in range(rounds):
-        if centre is None:
-            state = rows.withColumn("__mid", F.lit((low + high) / 2.0))
-        else:
-            state = _null_safe_join(rows, centre, keys)
+        step = 2 * half / (steps - 1)
         grid = F.transform(
             F.sequence(F.lit(0), F.lit(steps - 1)),
-            lambda i: F.least(F.greatest(F.col("__mid") - half + i * (2 * half / (steps - 1)), F.lit(low)), F.lit(high)),
+            lambda i: F.least(F.greatest(F.col("__mid") - half + i * step, F.lit(-4.0)), F.lit(4.0)),
         )
-        top = F.array_max("__z")
-        at = state.select(*keys, "__z", "__w", "__y", F.explode(grid).alias("__lt"))
-        scale = F.exp("__lt")
+        at = _null_safe_join(rows, best.select(*keys, "__mid"), keys).select(
+            *keys, "__z", "__w", "__y", F.explode(F.array_distinct(grid)).alias("__lt")
+        )
+        scale, top = F.exp("__lt"), F.array_max("__z")
         nll = F.ln(ar.total(F.transform("__z", lambda z: F.exp((z - top) / scale)))) + (top - F.col("__y")) / scale
-        losses = at.groupBy(*keys, "__lt").agg((F.sum(nll * F.col("__w")) / F.sum("__w")).alias("__loss"))
-        best = losses.groupBy(*keys).agg(F.min(F.struct("__loss", "__lt")).alias("__best"))
-        centre = best.select(*keys, F.col("__best.__lt").alias("__mid"), F.col("__best.__loss").alias("loss"))
-        if not keys:
-            found = centre.first()
-            low, high = max(-4.0, found["__mid"] - 2 * half / (steps - 1)), min(4.0, found["__mid"] + 2 * half / (steps - 1))
-            half = (high - low) / 2.0
-            result, centre = centre, None
-        else:
-            half = 2 * half / (steps - 1)
-            result = centre
-            centre = centre.drop("loss")
-    return result.select(*keys, F.exp("__mid").alias("temperature"), F.col("__mid").alias("log_temperature"), "loss")
+        losses = at.groupBy(*keys, "__lt").agg((F.sum(nll * F.col("__w")) / F.sum("__w")).alias("loss"))
+        best = losses.groupBy(*keys).agg(F.min(F.struct("loss", "__lt")).alias("__b")).select(
+            *keys, F.col("__b.__lt").alias("__mid"), F.col("__b.loss").alias("loss")
+        )
+        half = step
+    return best.select(*keys, F.exp("__mid").alias("temperature"), F.col("__mid").alias("log_temperature"), "loss")
 
 
 def calibration_support(calibration: DataFrame, keys: Sequence[str], classes: list[str], parents: list[str],
