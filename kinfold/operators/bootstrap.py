@@ -17,6 +17,8 @@ from kinfold.functions.hashing import draw
 from kinfold.operators.metrics import confusion, scores_from_confusion
 from kinfold.operators.ranking import _null_safe_join, hash_rank
 
+SLOT_CHUNK = 4096
+
 
 def percentile_interval(draws: DataFrame, keys: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
     """Linear percentile interval over replicates (bounded by the replicate count)."""
@@ -156,10 +158,10 @@ def hierarchical(df: DataFrame, values: Sequence[str], replicates: int, seed: in
     pick = draw(F.col("n_units"), F.lit(seed), F.col("replicate"), *[F.col(k) for k in keys], F.col("occurrence"))
     occurrences = occurrences.select(*keys, "replicate", "occurrence", pick.alias("index"))
     drawn = _null_safe_join(occurrences, labels.select(*keys, "index", "label", "__size"), [*keys, "index"])
-    slots = drawn.select(
-        *keys, "replicate", "occurrence", "label", "__size",
-        F.explode(F.sequence(F.lit(0), (F.col("__size") - 1).cast("int"))).alias("__slot"),
-    )
+    # two generators, so no array grows with the size of a label
+    chunks = drawn.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__size") - 1) / SLOT_CHUNK))))
+    last = F.least(F.col("__size"), (F.col("__chunk") + 1) * SLOT_CHUNK) - 1
+    slots = chunks.withColumn("__slot", F.explode(F.sequence(F.col("__chunk") * SLOT_CHUNK, last)))
     at = draw(F.col("__size"), F.lit(seed), F.col("replicate"), *[F.col(k) for k in keys], F.col("occurrence"), F.col("__slot"))
     picks = slots.select(*keys, "replicate", "occurrence", "label", at.alias("index"))
     indexed = _null_safe_join(stats, numbered.drop("n_units"), [*keys, "label", "cluster_id"]).drop("cluster_id")
