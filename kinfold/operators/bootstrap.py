@@ -32,12 +32,8 @@ def percentile_interval(draws: DataFrame, keys: Sequence[str], value: str, level
 def number_clusters(clusters: DataFrame, stratum: Sequence[str], unit: str = "cluster_id") -> DataFrame:
     """Give each cluster of a stratum an index in [0, n) in hash order, and attach n."""
     token = F.sha2(F.col(unit).cast("string"), 256)
-    ranked = hash_rank(clusters, stratum, token, [unit], "__r").withColumn("index", F.col("__r") - 1).drop("__r")
-    if not stratum:
-        size = clusters.agg(F.count("*").alias("n_units"))
-        return ranked.join(F.broadcast(size), F.lit(True))
-    sizes = clusters.groupBy(*stratum).agg(F.count("*").alias("n_units"))
-    return _null_safe_join(ranked, sizes, list(stratum))
+    ranked = hash_rank(clusters, stratum, token, [unit], "__r", "n_units")
+    return ranked.withColumn("index", F.col("__r") - 1).drop("__r")
 
 
 def resample(numbered: DataFrame, keys: Sequence[str], stratum: Sequence[str], replicates: int, seed: int) -> DataFrame:

@@ -16,7 +16,7 @@ from kinfold.functions.formats import level_token
 from kinfold.functions.hashing import hash_key, stable_token
 from kinfold.operators.metrics import classification_scores
 from kinfold.operators.bootstrap import paired_f1, paired_scores
-from kinfold.operators.ranking import _null_safe_join, add_group_size, hash_fraction, hash_rank, rank_in_group
+from kinfold.operators.ranking import _null_safe_join, hash_fraction, hash_rank, rank_in_group
 
 ROTATIONS = 5  # fixed value
 CELL = ("experiment", "seed", "rotation")
@@ -164,8 +164,9 @@ def assignment_violations(assignments: DataFrame, pairs: DataFrame, experiment:
 
 def exposure_order(pairs: DataFrame) -> DataFrame:
     """Add ``pair_order`` (from 0, by exposure hash) and ``n_pairs`` per cell."""
-    ranked = rank_in_group(pairs, CELL, ["exposure_hash", "pair_id"], hash_fraction(F.col("exposure_hash")), "__r")
-    return add_group_size(ranked.withColumn("pair_order", F.col("__r") - 1).drop("__r"), list(CELL), "n_pairs")
+    position = hash_fraction(F.col("exposure_hash"))
+    ranked = rank_in_group(pairs, CELL, ["exposure_hash", "pair_id"], position, "__r", "n_pairs")
+    return ranked.withColumn("pair_order", F.col("__r") - 1).drop("__r")
 
 
 def prevalence_violations(pairs: DataFrame, levels: Sequence[float]) -> DataFrame:
@@ -303,8 +304,7 @@ def dose_plan(test_rows: DataFrame, doses: Sequence[float], keys: Sequence[str]
     """
     keys = list(keys)
     token = hash_key(*[F.col(k) for k in keys], F.col("row_id"))
-    ranked = hash_rank(test_rows, [*keys, "cluster_id"], token, ["row_id"], "__r")
-    sized = add_group_size(ranked, [*keys, "cluster_id"], "__n").filter(F.col("__n") >= 2)
+    sized = hash_rank(test_rows, [*keys, "cluster_id"], token, ["row_id"], "__r", "__n").filter(F.col("__n") >= 2)
     evaluation = sized.filter(F.col("__r") == 1).drop("__r", "__n")
     dosed = sized.filter(F.col("__r") > 1).withColumn("dose", F.explode(F.array(*[F.lit(float(d)) for d in doses])))
     injected = dosed.filter((F.col("dose") > 0) & (F.col("__r") - 1 <= F.ceil((F.col("__n") - 1) * F.col("dose"))))

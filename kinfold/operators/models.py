@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import arrays as ar
 from kinfold.functions.hashing import hash_key
 from kinfold.operators.ranking import hash_rank
-from kinfold.operators.splits import cluster_folds, smallest_label
+from kinfold.operators.splits import cluster_folds, label_shape
 from kinfold.operators.weights import training_weights
 
 
@@ -81,8 +81,7 @@ def fit(train: DataFrame, name: str, seed: int = 0, vector: str = "vector", **ov
 def out_of_fold_logits(train: DataFrame, name: str, seed: int = 0, folds: int = 3, vector: str = "vector",
                        **overrides) -> tuple[DataFrame, list[str]]:
     """Grouped out-of-fold scores aligned to the full class list; in-sample when folds < 2."""
-    labels, least = smallest_label(train)
-    k = min(folds, least)
+    k = min(folds, label_shape(train).smallest_clusters)
     if k < 2:
         fitted = fit(train, name, seed, vector, **overrides)
         return fitted.logits(train, vector), fitted.classes

@@ -38,29 +38,39 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest group: one map-side-combined aggregate, one number to the driver."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
+    return int(sizes.agg(F.max("n")).first()[0] or 0)
+
+
 def rank_in_group(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     position: Column,
     out: str = "rank",
+    size: str | None = None,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """1-based row number within ``keys`` by ``order``.
+    """1-based row number within ``keys`` by ``order``; ``size`` also names a group-size column.
 
-    ``position`` is a value in [0, 1) that never decreases along ``order[0]``; it only
-    decides where a hot group is cut. The table of hot groups has at most
-    rows / hot_rows entries, which is what makes sending it to every task safe.
+    The largest group is measured first (or given by a caller that knows a bound). When it
+    fits one task, a plain window does the work. Otherwise groups above ``hot_rows`` are cut:
+    ``position`` is a value in [0, 1) that never decreases along ``order[0]`` and decides
+    where. The table of hot groups has at most rows / hot_rows entries and that of their
+    cuts a few times as many, which bounds what is sent to every task.
     """
     keys = list(keys)
     if not keys:
         whole = df.withColumn("__table", F.lit(0))
-        return rank_in_group(whole, ["__table"], order, position, out, hot_rows).drop("__table")
-    hot = (
-        df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
-        .withColumn("__cuts", F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int") * 2)
-        .drop("__n")
-    )
+        return rank_in_group(whole, ["__table"], order, position, out, size, hot_rows, largest).drop("__table")
+    if (largest_group(df, keys) if largest is None else largest) <= hot_rows:
+        ranked = df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+        return ranked.withColumn(size, F.count("*").over(W.partitionBy(*keys))) if size else ranked
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    hot = sizes.filter(F.col("__n") > hot_rows).withColumn("__cuts", F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int") * 2).drop("__n")
     cut = _null_safe_join(df, F.broadcast(hot), keys, "left").withColumn(
         "__cut", F.coalesce(F.floor(position * F.col("__cuts")).cast("int"), F.lit(0))
     )
@@ -69,26 +79,25 @@ def rank_in_group(
         .groupBy(*keys, "__cut").agg(F.count("*").alias("__m"))
         .withColumn(
             "__before",
-            F.sum("__m").over(
-                W.partitionBy(*keys).orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)
-            ),
+            F.sum("__m").over(W.partitionBy(*keys).orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)),
         )
         .drop("__m")
     )
     ranked = cut.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "__cut").orderBy(*order)))
-    return (
+    ranked = (
         _null_safe_join(ranked, F.broadcast(before), [*keys, "__cut"], "left")
         .withColumn(out, (F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))).cast("long"))
         .drop("__cuts", "__cut", "__rn", "__before")
     )
+    return _null_safe_join(ranked, sizes.withColumnRenamed("__n", size), keys, "left") if size else ranked
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], token: Column, tie: Sequence[str], out: str = "rank",
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              size: str | None = None, hot_rows: int = HOT_ROWS, largest: int | None = None) -> DataFrame:
     """1-based rank within ``keys`` in the order of a hash key."""
     with_token = df.withColumn("__token", token)
     return rank_in_group(
-        with_token, keys, ["__token", *tie], hash_fraction(F.col("__token")), out, hot_rows
+        with_token, keys, ["__token", *tie], hash_fraction(F.col("__token")), out, size, hot_rows, largest
     ).drop("__token")
 
 

@@ -8,12 +8,13 @@ label, so a label is spread over the folds within one unit. It is a function of
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import hash_key
-from kinfold.operators.ranking import _null_safe_join, hash_rank
+from kinfold.operators.ranking import hash_rank, largest_group
 from kinfold.schema import assert_empty, require_columns
 
 COLUMNS = ["row_id", "cluster_id", "label", "parent", "seed", "design", "fold", "role"]
@@ -27,30 +28,39 @@ def _folds(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
 
-def cluster_folds(rows: DataFrame, seeds: Iterable[int], k: int) -> DataFrame:
-    """``(seed, label, cluster_id, test_fold)``: whole clusters, balanced within each label."""
-    clusters = _seeds(rows.select("label", "cluster_id").distinct(), seeds)
-    ranked = hash_rank(clusters, ["seed", "label"], hash_key(F.col("seed"), F.col("cluster_id")), ["cluster_id"], "__r")
+def cluster_folds(rows: DataFrame, seeds: Iterable[int], k: int, largest: int | None = None) -> DataFrame:
+    """``(seed, label, cluster_id, test_fold)``: whole clusters, balanced within each label.
+
+    ``largest`` bounds the clusters of a label; it is measured when not given.
+    """
+    clusters = rows.select("label", "cluster_id").distinct()
+    if largest is None:
+        largest = largest_group(clusters, ["label"])
+    ranked = hash_rank(
+        _seeds(clusters, seeds), ["seed", "label"], hash_key(F.col("seed"), F.col("cluster_id")), ["cluster_id"], "__r",
+        largest=largest,
+    )
     return ranked.select("seed", "label", "cluster_id", ((F.col("__r") - 1) % k).cast("int").alias("test_fold"))
 
 
-def calibration_clusters(training: DataFrame, fraction: float = 0.2) -> DataFrame:
+def calibration_clusters(training: DataFrame, fraction: float = 0.2, largest: int | None = None) -> DataFrame:
     """Add ``role`` to ``(seed, fold, label, cluster_id)``: ceil(fraction x n) calibrate, never all of them."""
-    cell = ["seed", "fold", "label"]
-    sizes = training.groupBy(*cell).agg(F.count("*").alias("__n"))
     token = hash_key(F.lit("calibration"), F.col("seed"), F.col("fold"), F.col("cluster_id"))
-    ranked = _null_safe_join(hash_rank(training, cell, token, ["cluster_id"], "__r"), sizes, cell)
+    ranked = hash_rank(training, ["seed", "fold", "label"], token, ["cluster_id"], "__r", "__n", largest=largest)
     wanted = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(fraction)))
     n_cal = F.when(wanted >= F.col("__n"), F.greatest(F.lit(1), F.col("__n") - 1)).otherwise(wanted)
     return ranked.withColumn("role", F.when(F.col("__r") <= n_cal, "calibration").otherwise("train")).drop("__r", "__n")
 
 
 def grouped_splits(known: DataFrame, ood: DataFrame | None, seeds: Iterable[int], k: int,
-                   design: str = "cluster_grouped") -> DataFrame:
+                   design: str = "cluster_grouped", largest: int | None = None) -> DataFrame:
     """Whole clusters to test, calibration or train; out-of-distribution rows join every fold."""
-    folds = _folds(cluster_folds(known, seeds, k), k)
+    seeds = list(seeds)
+    if largest is None:
+        largest = label_shape(known).largest_clusters
+    folds = _folds(cluster_folds(known, seeds, k, largest), k)
     test = folds.filter(F.col("fold") == F.col("test_fold")).withColumn("role", F.lit("test_known"))
-    rest = calibration_clusters(folds.filter(F.col("fold") != F.col("test_fold")))
+    rest = calibration_clusters(folds.filter(F.col("fold") != F.col("test_fold")), largest=largest)
     roles = test.unionByName(rest).select("seed", "fold", "label", "cluster_id", "role")
     out = known.select("row_id", "cluster_id", "label", "parent").join(roles, ["label", "cluster_id"])
     out = out.withColumn("design", F.lit(design)).select(*COLUMNS)
@@ -62,28 +72,28 @@ def grouped_splits(known: DataFrame, ood: DataFrame | None, seeds: Iterable[int]
     )
 
 
-def row_random_splits(known: DataFrame, seeds: Iterable[int], k: int, fraction: float = 0.2) -> DataFrame:
+def row_random_splits(known: DataFrame, seeds: Iterable[int], k: int, fraction: float = 0.2,
+                      largest: int | None = None) -> DataFrame:
     """Rows dealt to folds within a label regardless of cluster: leaky by design, used for contrast."""
-    seeded = _seeds(known.select("row_id", "cluster_id", "label", "parent"), seeds)
-    ranked = hash_rank(seeded, ["seed", "label"], hash_key(F.col("seed"), F.col("row_id")), ["row_id"], "__r")
+    base = known.select("row_id", "cluster_id", "label", "parent")
+    if largest is None:
+        largest = label_shape(known).largest_rows
+    ranked = hash_rank(
+        _seeds(base, seeds), ["seed", "label"], hash_key(F.col("seed"), F.col("row_id")), ["row_id"], "__r", largest=largest
+    )
     cells = _folds(ranked.withColumn("test_fold", ((F.col("__r") - 1) % k).cast("int")).drop("__r"), k)
-    test = cells.filter(F.col("fold") == F.col("test_fold")).withColumn("role", F.lit("test_known"))
-    rest = cells.filter(F.col("fold") != F.col("test_fold"))
-    cell = ["seed", "fold", "label"]
+    # ranking test rows next to the rest keeps one pass; their rank is simply not used
     token = hash_key(F.lit("calibration"), F.col("seed"), F.col("fold"), F.col("row_id"))
-    sizes = rest.groupBy(*cell).agg(F.count("*").alias("__n"))
-    rest = _null_safe_join(hash_rank(rest, cell, token, ["row_id"], "__r"), sizes, cell).withColumn(
-        "role", F.when(F.col("__r") <= F.ceil(F.col("__n") * F.lit(fraction)), "calibration").otherwise("train")
-    )
-    both = test.select(*[c for c in COLUMNS if c != "design"]).unionByName(
-        rest.select(*[c for c in COLUMNS if c != "design"])
-    )
-    return both.withColumn("design", F.lit("row_random")).select(*COLUMNS)
+    sided = cells.withColumn("__test", F.col("fold") == F.col("test_fold"))
+    sided = hash_rank(sided, ["seed", "fold", "label", "__test"], token, ["row_id"], "__r", "__n", largest=largest)
+    role = F.when(F.col("__test"), "test_known").when(
+        F.col("__r") <= F.ceil(F.col("__n") * F.lit(fraction)), "calibration").otherwise("train")
+    return sided.withColumn("role", role).withColumn("design", F.lit("row_random")).select(*COLUMNS)
 
 
-def sensitivity_splits(known: DataFrame, seeds: Iterable[int], k: int) -> DataFrame:
+def sensitivity_splits(known: DataFrame, seeds: Iterable[int], k: int, largest: int | None = None) -> DataFrame:
     """Closed-set stress test: train and test only, k limited by the smallest label."""
-    folds = _folds(cluster_folds(known, seeds, k), k).withColumn(
+    folds = _folds(cluster_folds(known, seeds, k, largest), k).withColumn(
         "role", F.when(F.col("fold") == F.col("test_fold"), "test_known").otherwise("train")
     )
     return (
@@ -93,13 +103,19 @@ def sensitivity_splits(known: DataFrame, seeds: Iterable[int], k: int) -> DataFr
     )
 
 
-def smallest_label(rows: DataFrame) -> tuple[int, int]:
-    """(number of labels, clusters in the smallest one): two numbers on the driver."""
-    row = (
-        rows.groupBy("label").agg(F.countDistinct("cluster_id").alias("n"))
-        .agg(F.count("*").alias("labels"), F.min("n").alias("least")).first()
-    )
-    return int(row["labels"]), int(row["least"] or 0)
+class LabelShape(NamedTuple):
+    labels: int
+    smallest_clusters: int
+    largest_clusters: int
+    largest_rows: int
+
+
+def label_shape(rows: DataFrame) -> LabelShape:
+    """Number of labels, their smallest and largest cluster count, largest row count: four numbers."""
+    per = rows.groupBy("label", "cluster_id").agg(F.count("*").alias("r")).groupBy("label").agg(
+        F.count("*").alias("c"), F.sum("r").alias("r"))
+    row = per.agg(F.count("*"), F.min("c"), F.max("c"), F.max("r")).first()
+    return LabelShape(*[int(x or 0) for x in row])
 
 
 def build_splits(manifest: DataFrame, seeds: Iterable[int], k: int = 5, check: bool = True) -> DataFrame:
@@ -107,15 +123,19 @@ def build_splits(manifest: DataFrame, seeds: Iterable[int], k: int = 5, check: b
     seeds = list(seeds)
     known = manifest.filter(F.col("analysis_set") == "primary_known")
     ood = manifest.filter(F.col("analysis_set") == "ood")
-    labels, least = smallest_label(known)
-    if labels < 2:
+    shape = label_shape(known)
+    if shape.labels < 2:
         raise ValueError("at least two known labels are required")
-    if least < k:
-        raise ValueError(f"a known label has only {least} clusters for {k} folds")
-    parts = [grouped_splits(known, ood, seeds, k), row_random_splits(known, seeds, k)]
+    if shape.smallest_clusters < k:
+        raise ValueError(f"a known label has only {shape.smallest_clusters} clusters for {k} folds")
+    parts = [
+        grouped_splits(known, ood, seeds, k, largest=shape.largest_clusters),
+        row_random_splits(known, seeds, k, largest=shape.largest_rows),
+    ]
     if "sensitivity_known" in manifest.columns:
         stress = manifest.filter("sensitivity_known")
-        parts.append(sensitivity_splits(stress, seeds, min(k, smallest_label(stress)[1])))
+        wide = label_shape(stress)
+        parts.append(sensitivity_splits(stress, seeds, min(k, wide.smallest_clusters), wide.largest_clusters))
     splits = parts[0]
     for part in parts[1:]:
         splits = splits.unionByName(part)
@@ -210,10 +230,8 @@ def source_splits(manifest: DataFrame, cohort: DataFrame, seeds: Iterable[int],
         "role", F.lit("test_source")
     )
     pool = _seeds(cohort.filter("NOT is_held").select("holdout", "label", "cluster_id"), seeds)
-    cell = ["seed", "holdout", "label"]
-    sizes = pool.groupBy(*cell).agg(F.count("*").alias("__n"))
     token = hash_key(F.col("seed"), F.col("holdout"), F.col("label"), F.col("cluster_id"))
-    ranked = _null_safe_join(hash_rank(pool, cell, token, ["cluster_id"], "__r"), sizes, cell)
+    ranked = hash_rank(pool, ["seed", "holdout", "label"], token, ["cluster_id"], "__r", "__n")
     n_cal = F.least(F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction))), F.col("__n") - 1)
     rest = ranked.withColumn("role", F.when(F.col("__r") <= n_cal, "calibration").otherwise("train")).drop("__r", "__n")
     roles = held.unionByName(rest).drop("label")
