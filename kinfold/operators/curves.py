@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.operators.ranking import _null_safe_join, logit_bucket, running_totals
+from kinfold.operators.ranking import running_totals
 
 
 def detection_metrics(df: DataFrame, keys: Sequence[str], confidence: str = "confidence", positive: str = "is_ood",
@@ -31,9 +30,9 @@ def detection_metrics(df: DataFrame, keys: Sequence[str], confidence: str = "con
     when_both = lambda value: F.when(both, value)
     return points.groupBy(*keys).agg(
         F.max(positives).alias("n_ood"), F.max(negatives).alias("n_known"),
-        when_both(F.sum(n * (tp - p + 0.5 * p) / positives / negatives)).alias("auroc"),
-        when_both(F.sum(p / positives * tp / (tp + fp))).alias("auprc"),
-        when_both(F.min(F.when(tp >= F.lit(target) * positives, fp / negatives))).alias("fpr_at_tpr"),
+        when_both(F.sum(F.try_divide(n * (tp - p + 0.5 * p), positives * negatives))).alias("auroc"),
+        when_both(F.sum(F.try_divide(p, positives) * tp / (tp + fp))).alias("auprc"),
+        when_both(F.min(F.when(tp >= F.lit(target) * positives, F.try_divide(fp, negatives)))).alias("fpr_at_tpr"),
     )
 
 

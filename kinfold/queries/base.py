@@ -122,7 +122,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     base = base.withColumn("u", u)
     correct = F.col("primary_known") & (F.col("u") % 100 < F.when(F.col("d") == 0, 85).otherwise(70))
     at = F.when(correct, F.array_position(names, F.col("label")) - 1).otherwise(F.col("u") % len(classes)).cast("int")
-    confidence = F.round(F.when(correct, 0.4).otherwise(0.1) + (F.col("u") % 997) / 997.0 * 0.6, 6)
+    confidence = F.when(correct, 0.4).otherwise(0.1) + (F.col("u") % 997) / 997.0 * 0.6
     done = base.select(
         "row_id", "cluster_id", "label", "parent", "ood_distance", "ood_singleton", "design", "model", "seed", "fold", "role",
         F.get(names, at).alias("predicted"), F.get(tops, at).alias("predicted_parent"), confidence.alias("confidence"),
@@ -196,7 +196,7 @@ manifest AS (SELECT r.*, n AS label_cluster_count, n >= k AS primary_known, n <
 preds1 AS (SELECT *, primary_known AND u % 100 < CASE WHEN d = 0 THEN 85 ELSE 70 END AS ok FROM preds0),
 preds AS (SELECT p.row_id, p.cluster_id, p.label, p.parent, p.ood_distance, p.ood_singleton, p.design, p.model, p.seed, p.fold, p.role,
   class AS predicted, class_parent AS predicted_parent,
-  round(CASE WHEN ok THEN 0.4e0 ELSE 0.1e0 END + (u % 997) / 997e0 * 0.6e0, 6) AS confidence
+  CASE WHEN ok THEN 0.4e0 ELSE 0.1e0 END + (u % 997) / 997e0 * 0.6e0 AS confidence
   FROM preds1 p JOIN classes c ON (ok AND p.label = c.class) OR (NOT ok AND p.u % c.k = c.j)),
 predictions AS (SELECT *, confidence >= 0.6e0 AS accepted, predicted = label AS correct,
   CASE WHEN confidence >= 0.6e0 THEN 'label' WHEN confidence >= 0.4e0 THEN 'parent' ELSE 'unidentified' END AS reported_level,
