@@ -11,7 +11,7 @@ from kinfold.operators import decisions as de
 from kinfold.operators import rates as rt
 from kinfold.operators.weights import evaluation_weights
 from kinfold.plans import open_set as os_
-from kinfold.queries.base import define, known_classes, predictions, query, rounded, scored
+from kinfold.queries.base import define, known_classes, query, rounded, scored
 from kinfold.session import durable
 
 RUN = ["design", "seed", "fold"]
@@ -82,7 +82,7 @@ def _temperature_rounds() -> str:
     for i in range(4):
         step = 2 * half / 40
         text += f""",
-g{i} AS (SELECT DISTINCT design, seed, least(greatest(mid - {half!r}e0 + i * {step!r}e0, -4e0), 4e0) AS lt FROM ({mid}), range(41) AS r(i)),
+g{i} AS (SELECT DISTINCT design, seed, least(greatest(mid - {half:.17e} + i * {step:.17e}, -4e0), 4e0) AS lt FROM ({mid}), range(41) AS r(i)),
 l{i} AS (SELECT design, seed, lt, sum(w * (ln(e) + (top - y) / exp(lt))) / sum(w) AS loss FROM (
   SELECT design, seed, lt, row_id, any_value(w) AS w, any_value(top) AS top, any_value(y) AS y, sum(exp((z - top) / exp(lt))) AS e FROM tz JOIN g{i} USING (design, seed) GROUP BY design, seed, lt, row_id) GROUP BY ALL),
 b{i} AS (SELECT design, seed, arg_min(lt, loss) AS mid, min(loss) AS loss FROM l{i} GROUP BY ALL)"""
@@ -120,7 +120,7 @@ dec AS (SELECT *, NOT ca AND pm AS cp, CASE WHEN ca THEN 'label' WHEN pm THEN 'p
 
 def reports(spark, sf):
     rows, parents = rows_and_classes(spark, sf)
-    return os_.conformal_reports(rows, RUN, parents, min_rows=MIN)
+    return os_.conformal_reports(durable(rows), RUN, parents, min_rows=MIN)
 
 
 @query("hierarchical_report", """SELECT design, seed, fold, row_id, array_to_string(ls, ',') AS label_set, CAST(len(ls) AS INTEGER) AS label_set_size, array_to_string(ps, ',') AS parent_set, CAST(len(ps) AS INTEGER) AS parent_set_size,
@@ -227,7 +227,7 @@ mt AS (SELECT design, seed, fold, list(conf ORDER BY conf)[CAST(floor((count(*)
 @query("cluster_mean_support", "SELECT design, seed, fold, n AS n_calibration_clusters, round(lq, 6) AS label_threshold, round(pq, 6) AS parent_threshold, round(tau, 6) AS tau FROM mlq JOIN mpq USING (design, seed, fold) JOIN mt USING (design, seed, fold)", ("cmd",))
 def cluster_mean_support(spark, sf):
     rows, parents = rows_and_classes(spark, sf)
-    return rounded(de.cluster_mean_decisions(rows, RUN, list(parents), parents)[1], "label_threshold", "parent_threshold", "tau")
+    return rounded(de.cluster_mean_decisions(durable(rows), RUN, list(parents), parents)[1], "label_threshold", "parent_threshold", "tau")
 
 
 @query("cluster_mean_decisions", """+ r AS (SELECT c.*, round(conf, 6) AS rc, conf >= tau - 1e-12 AS confidence_only_accept FROM mc c JOIN mt USING (design, seed, fold) WHERE role = 'test_known')

@@ -161,12 +161,13 @@ def prob_rows(spark, sf, role="test_known"):
         "confidence", F.array_max("probability"))
 
 
-@query("row_outcomes", """SELECT design, seed, fold, row_id, predicted, round(confidence, 6) AS confidence, correct, round(tp, 6) AS true_probability, round(brier, 10) AS brier_row, top3 AS top3_correct
+@query("row_outcomes", """SELECT design, seed, fold, row_id, predicted, round(confidence, 6) AS confidence, correct, round(tp, 6) AS true_probability, round(brier + 1e-12, 8) AS brier_row, top3 AS top3_correct
 FROM prow WHERE role = 'test_known'""", ("prow",))
 def row_outcomes(spark, sf):
     classes, rows = prob_rows(spark, sf)
     out = me.enrich_rows(rows, classes).select("design", "seed", "fold", "row_id", "predicted", "confidence", "correct", "true_probability", "brier_row", "top3_correct")
-    return rounded(rounded(out, "confidence", "true_probability"), "brier_row", digits=10)
+    out = out.withColumn("brier_row", F.round(F.col("brier_row") + 1e-12, 8))  # off the decimal ties of short fractions
+    return rounded(out, "confidence", "true_probability")
 
 
 @query("top_labels", """SELECT design, seed, fold, row_id, array_to_string(o[1:3], ',') AS top_labels, o[2] AS runner_up, round(ps[2], 6) AS runner_up_score, round(ps[1] - ps[2], 6) AS margin FROM prow WHERE role = 'calibration'""", ("prow",))
