@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import contamination as ct
 from kinfold.plans import contamination_study as study
-from kinfold.queries.base import define, manifest, query, rounded, rows, vectors
+from kinfold.queries.base import define, query, rounded, rows, vectors
 from kinfold.queries.inference import hash8
 from kinfold.queries.metrics import f1_sql
 from kinfold.operators.features import explode_vectors

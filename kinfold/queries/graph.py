@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.operators import identity as idn
 from kinfold.operators import metrics as me
 from kinfold.plans import identity_exclusion as ie
-from kinfold.queries.base import define, known_classes, manifest, query, rounded, rows, scored, table
+from kinfold.queries.base import define, query, rounded, rows, table
 from kinfold.queries.calibration import decisions
 from kinfold.queries.metrics import f1_sql, prob_rows
 from kinfold.queries.splitting import grouped
@@ -59,6 +59,10 @@ def exclusion_counts(spark, sf):
     return idn.exclusion_summary(idn.component_tables(id_manifest(spark, sf))[0])
 
 
+define("idm0", """idm0 AS (SELECT r.row_id, r.cluster_id, label || '|' || (CAST(floor(c_acctbal / 20) AS BIGINT) + CASE WHEN amount > 497000 THEN 1 ELSE 0 END) AS identity FROM rows_ r JOIN customer ON c_custkey = r.cluster_id)""", ("rows_",))
+define("idx", """badc AS (SELECT DISTINCT cluster_id FROM idm0 WHERE identity IN (SELECT identity FROM idm0 GROUP BY 1 HAVING count(DISTINCT cluster_id) > 1))""", ("idm0",))
+
+
 def _pair_sql(table_: str, item: str) -> str:
     return ", ".join(f"count(DISTINCT {item}) FILTER (list_contains(r, '{a}') AND list_contains(r, '{b}')) AS {a}__{b}__{table_}_overlap" for a, b in idn.ROLE_PAIRS)
 
@@ -72,10 +76,6 @@ def isolation_audit(spark, sf):
     return idn.isolation_audit(id_manifest(spark, sf), durable(grouped(spark, sf)))
 
 
-define("idm0", """idm0 AS (SELECT r.row_id, r.cluster_id, label || '|' || (CAST(floor(c_acctbal / 20) AS BIGINT) + CASE WHEN amount > 497000 THEN 1 ELSE 0 END) AS identity FROM rows_ r JOIN customer ON c_custkey = r.cluster_id)""", ("rows_",))
-define("idx", """badc AS (SELECT DISTINCT cluster_id FROM idm0 WHERE identity IN (SELECT identity FROM idm0 GROUP BY 1 HAVING count(DISTINCT cluster_id) > 1))""", ("idm0",))
-
-
 def shared_clusters(spark, sf):
     """Clusters whose identity is used by another cluster."""
     pairs = idn.identity_edges(id_manifest(spark, sf))
