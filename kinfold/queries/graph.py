@@ -23,7 +23,7 @@ cf AS (SELECT cluster_id, count(DISTINCT row_id) AS n_rows, bool_or(identity_con
 comp AS (SELECT root, count(*) AS n_clusters, sum(n_rows)::BIGINT AS n_rows, sum(conflict::INT)::BIGINT AS n_conflict_clusters, bool_or(conflict) AS has_conflict, count(*) > 1 AS spans_clusters, bool_or(conflict) OR count(*) > 1 AS excluded,
   list(cluster_id::VARCHAR ORDER BY cluster_id::VARCHAR) AS cluster_ids, (SELECT count(DISTINCT identity) FROM ied JOIN mem m2 USING (cluster_id) WHERE m2.root = m.root) AS n_identities,
   (SELECT list(DISTINCT identity ORDER BY identity) FROM ied JOIN mem m2 USING (cluster_id) WHERE m2.root = m.root) AS identities FROM mem m JOIN cf USING (cluster_id) GROUP BY root),
-excl AS (SELECT cluster_id, n_rows, conflict, c.* EXCLUDE (n_rows) FROM mem JOIN cf USING (cluster_id) JOIN comp c USING (root) WHERE excluded)""", ("rows_",))
+excl AS (SELECT cluster_id, cf.n_rows, conflict, c.* EXCLUDE (n_rows) FROM mem JOIN cf USING (cluster_id) JOIN comp c USING (root) WHERE excluded)""", ("rows_",))
 
 
 def id_manifest(spark, sf):

@@ -1 +1,269 @@
-"""Registered queries."""
+"""Centroids, templates, reference library, Spark ML models, permutation control."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinfold.operators import calibration as cal
+from kinfold.operators import decisions as de
+from kinfold.operators import features as ft
+from kinfold.operators import metrics as me
+from kinfold.operators import models as md
+from kinfold.operators import scoring as sc
+from kinfold.operators import splits as sp
+from kinfold.operators.ranking import _null_safe_join
+from kinfold.operators.weights import evaluation_weights, training_weights
+from kinfold.plans import source_transport as st
+from kinfold.queries.base import GRID, define, manifest, peaks, query, rounded, vectors
+from kinfold.queries.metrics import f1_sql
+from kinfold.queries import splitting  # noqa: F401  (defines the split SQL)
+from kinfold.session import durable
+
+# ------------------------------------------------------------------ sparse centroids (flagship)
+
+define("gcent", """gcl AS (SELECT seed, fold, label, cluster_id, count(*) AS n FROM gsplit WHERE role = 'train' GROUP BY ALL), gcm AS (SELECT seed, fold, label, count(*) AS m FROM gcl GROUP BY ALL),
+gtr AS (SELECT seed, fold, row_id, label, 1e0 / (m * n) AS w FROM gsplit JOIN gcl USING (seed, fold, label, cluster_id) JOIN gcm USING (seed, fold, label) WHERE role = 'train'),
+gs AS (SELECT seed, fold, label, bin, sum(value * w) AS s FROM gtr JOIN features USING (row_id) GROUP BY ALL),
+gw AS (SELECT seed, fold, label, sum(w) AS w FROM gtr GROUP BY ALL),
+gc0 AS (SELECT seed, fold, label, bin, s / w AS v FROM gs JOIN gw USING (seed, fold, label)),
+gc AS (SELECT seed, fold, label, bin, v / sqrt(sum(v * v) OVER (PARTITION BY seed, fold, label)) AS v FROM gc0),
+gq AS (SELECT seed, fold, row_id, label, bin, value / sqrt(sum(value * value) OVER (PARTITION BY seed, fold, row_id)) AS v FROM gsplit JOIN features USING (row_id) WHERE role = 'test_known'),
+gsc AS (SELECT q.seed, q.fold, q.row_id, q.label AS truth, c.label, sum(q.v * c.v) AS score FROM gq q JOIN gc c USING (seed, fold, bin) GROUP BY ALL),
+gp AS (SELECT seed, fold, row_id, truth, list(label ORDER BY score DESC, label)[1] AS predicted, max(score) AS score FROM gsc GROUP BY ALL)""", ("grouped", "features"))
+
+
+def centroid_predictions(spark, sf):
+    """Peaks -> features -> grouped folds -> weighted centroids -> held-out predictions, all folds at once."""
+    features = ft.bin_peaks(peaks(spark, sf), **GRID)
+    known = manifest(spark, sf).filter("primary_known")
+    splits = sp.grouped_splits(known, None, (11, 12), 5)
+    keys = ["seed", "fold"]
+    train = training_weights(splits.filter("role = 'train'"), keys)
+    centroids = sc.label_centroids(features, train, keys)
+    test = splits.filter("role = 'test_known'")
+    unit = ft.l2_normalise(features)
+    scores = sc.sparse_scores(test.select(*keys, "row_id").join(unit, "row_id"), centroids, keys, ["label"])
+    best = sc.rank_labels(scores, keys)
+    return _null_safe_join(test.select(*keys, "row_id", "cluster_id", "label"), best, [*keys, "row_id"])
+
+
+@query("grouped_centroid_macro_f1", "+ " + f1_sql("f", "gp", "seed", truth="truth") + "\nSELECT seed, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy, round(accuracy, 6) AS accuracy FROM f", ("gcent",))
+def grouped_centroid_macro_f1(spark, sf):
+    out = me.classification_scores(centroid_predictions(spark, sf), ["seed"]).drop("macro_f1_true_labels")
+    return rounded(out, "macro_f1", "balanced_accuracy", "accuracy")
+
+
+@query("centroid_predictions", "SELECT seed, fold, row_id, predicted, round(score, 6) AS score FROM gp", ("gcent",))
+def centroid_prediction_rows(spark, sf):
+    return rounded(centroid_predictions(spark, sf).select("seed", "fold", "row_id", "predicted", "score"), "score")
+
+
+@query("sparse_cluster_templates", """+ m AS (SELECT row_id, cluster_id, label FROM manifest WHERE primary_known), s AS (SELECT cluster_id, label, bin, sum(value) AS s FROM m JOIN features USING (row_id) GROUP BY ALL), n AS (SELECT cluster_id, count(*) AS n FROM m GROUP BY 1),
+t AS (SELECT cluster_id, label, bin, s / n AS v FROM s JOIN n USING (cluster_id)) SELECT cluster_id, label, bin, round(v / sqrt(sum(v * v) OVER (PARTITION BY cluster_id)), 6) AS value FROM t""", ("manifest", "features"))
+def sparse_cluster_templates(spark, sf):
+    known = manifest(spark, sf).filter("primary_known")
+    return rounded(sc.cluster_templates(ft.bin_peaks(peaks(spark, sf), **GRID), known), "value")
+
+
+# ------------------------------------------------------------------ dense templates on embeddings
+
+define("tpl", """vrole AS (SELECT DISTINCT row_id, cluster_id, label, CASE WHEN row_id % 7 IN (0, 1) THEN 'calibration' WHEN row_id % 7 = 2 THEN 'test_known' ELSE 'train' END AS role FROM vec),
+tm AS (SELECT l.cluster_id, l.label, bin, avg(v) AS v FROM vlong l JOIN vrole USING (row_id) WHERE role = 'train' GROUP BY ALL),
+tu AS (SELECT cluster_id, label, bin, v / sqrt(sum(v * v) OVER (PARTITION BY cluster_id)) AS v FROM tm),
+ts AS (SELECT q.row_id, t.label, t.cluster_id, sum(q.v * t.v) AS score FROM vunit q JOIN vrole r USING (row_id) JOIN tu t USING (bin) WHERE role <> 'train' GROUP BY ALL),
+tl AS (SELECT row_id, label, max(score) AS score, arg_max(cluster_id, score) AS cluster_id FROM ts GROUP BY ALL),
+tr AS (SELECT row_id, list(label ORDER BY score DESC, label) AS o, list(score ORDER BY score DESC, label) AS s, list(cluster_id ORDER BY score DESC, label)[1] AS winning_cluster FROM tl GROUP BY row_id),
+tp AS (SELECT r.row_id, r.cluster_id, r.label, r.role, o[1] AS predicted, s[1] AS score, winning_cluster, o[2] AS runner_up, s[2] AS runner_up_score, s[1] - s[2] AS margin, array_to_string(o[1:3], ',') AS top_labels FROM vrole r JOIN tr USING (row_id)),
+tcm AS (SELECT cluster_id, median(score) AS m FROM tp WHERE role = 'calibration' GROUP BY 1),
+tth AS (SELECT count(*) AS n_clusters, list(m ORDER BY m)[CAST(least(greatest(floor((1e0 - 0.95e0) * count(*) + 1e-12), 0), count(*) - 1) AS INTEGER) + 1] AS threshold FROM tcm)""", ("vec",))
+
+
+def vector_roles(spark, sf):
+    part = F.col("row_id") % 7
+    return vectors(spark, sf).withColumn("role", F.when(part.isin(0, 1), "calibration").when(part == 2, "test_known").otherwise("train")).withColumn("run", F.lit(1))
+
+
+def vector_templates(spark, sf):
+    return sc.mean_templates(vector_roles(spark, sf).filter("role = 'train'"), ["cluster_id", "label"])
+
+
+@query("vector_templates", "SELECT cluster_id, label, bin, round(v, 6) AS value FROM tu", ("tpl",))
+def vector_template_rows(spark, sf):
+    return vector_templates(spark, sf).select("cluster_id", "label", F.posexplode("template").alias("bin", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("template_scores", "SELECT row_id, label, round(score, 6) AS score, cluster_id FROM tl", ("tpl",))
+def template_scores(spark, sf):
+    queries = vector_roles(spark, sf).filter("role != 'train'")
+    return rounded(sc.dense_label_scores(queries, vector_templates(spark, sf)), "score")
+
+
+@query("template_scores_blocked", "SELECT row_id, label, round(score, 6) AS score, cluster_id FROM tl", ("tpl",))
+def template_scores_blocked(spark, sf):
+    """The same scores when the templates exceed one block."""
+    queries = vector_roles(spark, sf).filter("role != 'train'")
+    return rounded(sc.dense_label_scores(queries, vector_templates(spark, sf), block_cells=2000), "score")
+
+
+@query("template_cosines", "SELECT row_id, cluster_id, label, round(score, 6) AS score FROM ts", ("tpl",))
+def template_cosines(spark, sf):
+    """Sparse-product form of the cosine between rows and templates."""
+    queries = vector_roles(spark, sf).filter("role != 'train'")
+    long = sc.unit_length(ft.explode_vectors(queries, "vector", ["row_id"]), ["row_id"])
+    templates = vector_templates(spark, sf).select("cluster_id", "label", F.posexplode("template").alias("bin", "value"))
+    return rounded(sc.sparse_scores(long, templates, [], ["cluster_id", "label"]), "score")
+
+
+@query("ranked_labels", "SELECT row_id, predicted, round(score, 6) AS score, winning_cluster, runner_up, round(runner_up_score, 6) AS runner_up_score, round(margin, 6) AS margin, top_labels FROM tp", ("tpl",))
+def ranked_labels(spark, sf):
+    queries = vector_roles(spark, sf).filter("role != 'train'")
+    out = sc.rank_labels(sc.dense_label_scores(queries, vector_templates(spark, sf)), [])
+    return rounded(out.withColumn("top_labels", F.array_join("top_labels", ",")), "score", "runner_up_score", "margin")
+
+
+def reference(spark, sf):
+    return st.reference_predictions(vector_roles(spark, sf), ["run"])
+
+
+@query("reference_predictions", """SELECT row_id, role, predicted, round(score, 6) AS score, round(threshold, 6) AS threshold, score >= threshold AS accepted, label IN (SELECT label FROM vrole WHERE role = 'train') AS true_is_fitted, predicted = label AS correct FROM tp, tth""", ("tpl",))
+def reference_predictions(spark, sf):
+    return rounded(reference(spark, sf).select("row_id", "role", "predicted", "score", "threshold", "accepted", "true_is_fitted", "correct"), "score", "threshold")
+
+
+@query("reference_endpoints", "+ x AS (SELECT *, score >= threshold AS acc, 1e0 / count(*) OVER (PARTITION BY role, cluster_id) AS w FROM tp, tth),\n" + f1_sql("a", "x", "role") + ",\n" + f1_sql("b", "x", "role", weight="w") + """
+SELECT role, count(*) AS n_rows, count(DISTINCT cluster_id) AS n_clusters, sum(acc::INT)::BIGINT AS accepted_count, round(avg((predicted = label)::INT) FILTER (acc), 6) AS accepted_accuracy, round(any_value(a.accuracy), 6) AS row_accuracy,
+round(any_value(a.macro_f1_true_labels), 6) AS row_macro_f1, round(any_value(b.macro_f1_true_labels), 6) AS equal_cluster_macro_f1 FROM x JOIN a USING (role) JOIN b USING (role) GROUP BY role""", ("tpl",))
+def reference_endpoints(spark, sf):
+    classes = [f"L{i:02d}" for i in range(10)]
+    out = st.endpoints(durable(reference(spark, sf)), ["run"], classes)
+    return rounded(out.select("role", "n_rows", "n_clusters", "accepted_count", "accepted_accuracy", "row_accuracy", "row_macro_f1", "equal_cluster_macro_f1"),
+                   "accepted_accuracy", "row_accuracy", "row_macro_f1", "equal_cluster_macro_f1")
+
+
+@query("vector_centroids", """+ c AS (SELECT label, cluster_id, count(*) AS n FROM vec GROUP BY ALL), m AS (SELECT label, count(*) AS m FROM c GROUP BY 1), w AS (SELECT row_id, v.label, 1e0 / (n * m) AS w FROM vec v JOIN c USING (label, cluster_id) JOIN m USING (label)),
+s AS (SELECT w.label, bin, sum(v * w) / sum(w) AS v FROM w JOIN vlong USING (row_id) GROUP BY ALL) SELECT label, bin, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM s""", ("vec",))
+def vector_centroids(spark, sf):
+    out = sc.weighted_centroids(training_weights(vectors(spark, sf)))
+    return out.select("label", F.posexplode("template").alias("bin", "value")).withColumn("value", F.round("value", 6))
+
+
+# ------------------------------------------------------------------ source transport on embeddings
+
+def _transport_rows(spark, sf):
+    """Two sources over the embedding rows; whole clusters that touch a source are held out."""
+    v = vectors(spark, sf).withColumn("parent", F.lit("P")).withColumn(
+        "source", F.when(F.col("cluster_id").endswith("-1") & (F.col("row_id") % 3 == 0), "X").when(F.col("cluster_id").endswith("-2"), "X").when(
+            F.col("cluster_id").endswith("-3"), "Y").otherwise("Z"))
+    cohort, _ = sp.source_cohorts(v, ["X", "Y"], min_nonheld=3, min_held=1)
+    return sp.source_splits(v, cohort, (11, 12)).join(v.select("row_id", "vector"), "row_id")
+
+
+@query("source_transport")
+def source_transport(spark, sf):
+    """Template library per hold-out and seed; endpoints per population."""
+    rows = durable(_transport_rows(spark, sf))
+    predictions = durable(st.reference_predictions(rows, ["holdout", "seed"]))
+    out = st.endpoints(predictions, ["holdout", "seed"], [f"L{i:02d}" for i in range(10)])
+    return rounded(out, *[c for c in out.columns if c.endswith(("accuracy", "f1", "rate"))])
+
+
+# ------------------------------------------------------------------ permutation control
+
+PERM = 10
+define("perm", f"""pcl AS (SELECT DISTINCT cluster_id, label FROM vec), pg AS (SELECT *, b AS permutation FROM pcl, range({PERM}) AS r(b)),
+ps AS (SELECT permutation, cluster_id, row_number() OVER (PARTITION BY permutation ORDER BY sha256(concat_ws('|', 'slot', 77, permutation, cluster_id)), cluster_id) AS r FROM pg),
+pl AS (SELECT permutation, label, row_number() OVER (PARTITION BY permutation ORDER BY sha256(concat_ws('|', 'label', 77, permutation, cluster_id)), cluster_id) AS r FROM pg),
+pm AS (SELECT permutation, cluster_id, label FROM ps JOIN pl USING (permutation, r))""", ("vec",))
+
+
+@query("permuted_labels", "SELECT permutation, cluster_id, label FROM pm", ("perm",))
+def permuted_labels(spark, sf):
+    return md.permuted_labels(vectors(spark, sf).select("cluster_id", "label").distinct(), PERM, 77)
+
+
+define("permf", f"""pf0 AS (SELECT permutation, label, cluster_id, (row_number() OVER (PARTITION BY permutation, label ORDER BY sha256(concat_ws('|', 'fold', permutation, cluster_id)), cluster_id) - 1) % 5 AS tf FROM pm),
+pr AS (SELECT permutation, v.row_id, p.cluster_id, p.label, tf FROM pf0 p JOIN vec v ON v.cluster_id = p.cluster_id), pk AS (SELECT *, fold FROM pr, range(5) AS f(fold)),
+pc AS (SELECT permutation, fold, label, cluster_id, count(*) AS n FROM pk WHERE tf <> fold GROUP BY ALL), pcm AS (SELECT permutation, fold, label, count(*) AS m FROM pc GROUP BY ALL),
+pw AS (SELECT k.permutation, k.fold, k.row_id, k.label, 1e0 / (n * m) AS w FROM pk k JOIN pc USING (permutation, fold, label, cluster_id) JOIN pcm USING (permutation, fold, label) WHERE tf <> fold),
+pce0 AS (SELECT permutation, fold, w.label, bin, sum(v * w) / sum(w) AS v FROM pw w JOIN vlong USING (row_id) GROUP BY ALL),
+pce AS (SELECT permutation, fold, label, bin, v / sqrt(sum(v * v) OVER (PARTITION BY permutation, fold, label)) AS v FROM pce0),
+psc AS (SELECT k.permutation, k.row_id, k.label AS truth, c.label, sum(q.v * c.v) AS score FROM pr k JOIN vunit q USING (row_id) JOIN pce c ON c.permutation = k.permutation AND c.fold = k.tf AND c.bin = q.bin GROUP BY ALL),
+pp AS (SELECT permutation, row_id, truth, list(label ORDER BY score DESC, label)[1] AS predicted FROM psc GROUP BY ALL),
+""" + f1_sql("pf", "pp", "permutation", truth="truth"), ("perm",))
+
+
+def permutation_scores(spark, sf):
+    """Centroid control: labels permuted over clusters, grouped folds, every permutation and fold in one job."""
+    from kinfold.functions.hashing import hash_key
+    from kinfold.operators.ranking import hash_rank
+    v = vectors(spark, sf)
+    labels = durable(md.permuted_labels(v.select("cluster_id", "label").distinct(), PERM, 77))
+    folds = hash_rank(labels, ["permutation", "label"], hash_key(F.lit("fold"), F.col("permutation"), F.col("cluster_id")), ["cluster_id"], "r")
+    rows = v.drop("label").join(folds.select("permutation", "cluster_id", "label", ((F.col("r") - 1) % 5).cast("int").alias("tf")), "cluster_id")
+    keys = ["permutation", "fold"]
+    train = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter("fold != tf")
+    centroids = sc.weighted_centroids(training_weights(train, keys), keys)
+    test = rows.withColumn("fold", F.col("tf"))
+    best = sc.rank_labels(sc.centroid_scores(test, durable(centroids), keys), keys)
+    scored = best.select(*keys, "row_id", "predicted").join(test.select(*keys, "row_id", "label"), [*keys, "row_id"])
+    return me.classification_scores(scored, ["permutation"])
+
+
+@query("permutation_scores", "SELECT permutation, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM pf", ("permf",))
+def permutation_score_rows(spark, sf):
+    return rounded(permutation_scores(spark, sf).select("permutation", "macro_f1", "accuracy"), "macro_f1", "accuracy")
+
+
+@query("permutation_envelope", """SELECT 'cosine_centroid' AS model, round(avg(macro_f1), 6) AS mean, round(quantile_cont(macro_f1, 0.5), 6) AS median, round(quantile_cont(macro_f1, 0.025), 6) AS lower, round(quantile_cont(macro_f1, 0.975), 6) AS upper, round(max(macro_f1), 6) AS maximum FROM pf""", ("permf",))
+def permutation_envelope(spark, sf):
+    scores = permutation_scores(spark, sf).withColumn("model", F.lit("cosine_centroid"))
+    return rounded(md.permutation_envelope(scores, ["model"]), "mean", "median", "lower", "upper", "maximum")
+
+
+# ------------------------------------------------------------------ Spark ML models (rows only)
+
+def _fit_and_predict(spark, sf, name, **overrides):
+    rows = vector_roles(spark, sf).persist()
+    fitted = md.fit(rows.filter("role = 'train'"), name, 3, **overrides)
+    out = fitted.predict(rows.filter("role != 'train'"))
+    return out.select("row_id", "role", "cluster_id", "label", "predicted", "score", "runner_up", "margin", F.array_join("top_labels", ",").alias("top_labels"))
+
+
+@query("tree_ensemble")
+def tree_ensemble(spark, sf):
+    return _fit_and_predict(spark, sf, "tree_ensemble", numTrees=20, maxDepth=8)
+
+
+@query("linear_margin")
+def linear_margin(spark, sf):
+    return _fit_and_predict(spark, sf, "linear_svm", maxIter=5)
+
+
+@query("boosted_trees")
+def boosted_trees(spark, sf):
+    return _fit_and_predict(spark, sf, "boosted_trees", maxIter=2)
+
+
+@query("tree_ensemble_source_transport")
+def tree_ensemble_source_transport(spark, sf):
+    """Tree scores with the same calibration threshold and acceptance rule as the template library."""
+    rows = durable(vector_roles(spark, sf))
+    train = rows.filter("role = 'train'")
+    scored = md.fit(train, "tree_ensemble", 3, numTrees=20, maxDepth=8).predict(rows.filter("role != 'train'"))
+    threshold = cal.retained_fraction_threshold(scored.filter("role = 'calibration'"), ["run"])
+    out = de.accept_by_score(scored, threshold, ["run"], train)
+    return out.groupBy("role").agg(F.count("*").alias("n_rows"), F.avg(F.col("correct").cast("double")).alias("accuracy"),
+                                   F.avg(F.col("accepted").cast("double")).alias("accepted_rate"))
+
+
+@query("calibrated_tree_cell")
+def calibrated_tree_cell(spark, sf):
+    """One training cell: grouped out-of-fold scores, temperature, final fit, calibrated probabilities."""
+    rows = durable(vector_roles(spark, sf))
+    train = rows.filter("role = 'train'")
+    logits, classes = md.out_of_fold_logits(train, "tree_ensemble", 5, numTrees=10, maxDepth=6)
+    weighted = evaluation_weights(durable(logits.select("row_id", "cluster_id", "label", "logits")))
+    temperature = cal.fit_temperature(weighted, [], classes).first()["temperature"]
+    fitted = md.fit(train, "tree_ensemble", 5, numTrees=10, maxDepth=6)
+    out = fitted.predict(rows.filter("role = 'test_known'"), temperature=temperature)
+    return out.select("row_id", "label", "predicted", F.round("score", 6).alias("confidence"), F.lit(temperature).alias("temperature"))
