@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import arrays as ar
 from kinfold.operators import calibration as cal
+from kinfold.operators import rates as rt
 from kinfold.operators.metrics import mean_vectors
 from kinfold.operators.ranking import _null_safe_join
 
@@ -143,26 +144,40 @@ def reproduction_violations(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("rule", F.explode(F.filter(rules, lambda r: r.isNotNull())))
 
 
-def decision_summary(decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts, report accuracies and mean set size per run and population (see ``rates.by_selector``)."""
-    amount = lambda c: F.sum(F.col(c).cast("long"))
-    columns = [
+def decision_summary(decisions: DataFrame, keys: Sequence[str], explicit: Column | None = None) -> DataFrame:
+    """Counts, report accuracies and mean set size per run and population.
+
+    Reduced to clusters first, then copied to populations, then summed by label and by
+    run; a cluster belongs to one label, so every distinct count is a plain sum.
+    """
+    flags = [f"{rule}_{name}" for rule in ("legacy", "corrected")
+             for name in ("accept", "label_correct", "parent_report", "parent_correct", "any_correct")]
+    per = decisions.groupBy(*keys, *rt.TRAITS).agg(
         F.count("*").alias("n_rows"), F.countDistinct("row_id").alias("n_unique_rows"),
-        F.countDistinct("cluster_id").alias("n_clusters"), F.countDistinct("label").alias("n_labels"),
-        F.avg("label_set_size").alias("mean_set_size"),
-    ]
+        F.sum("label_set_size").alias("set_size"), *[F.sum(F.col(f).cast("long")).alias(f) for f in flags],
+    )
+    keys = [*keys, "selector"]
+    totals = ["n_rows", "n_unique_rows", "set_size", *flags]
+    labels = rt.by_selector(per, explicit).groupBy(*keys, "label").agg(
+        F.count("*").alias("n_clusters"), *[F.sum(c).alias(c) for c in totals]
+    )
+    runs = labels.groupBy(*keys).agg(
+        F.count("*").alias("n_labels"), F.sum("n_clusters").alias("n_clusters"), *[F.sum(c).alias(c) for c in totals]
+    )
+    columns = [F.col(c) for c in (*keys, "n_rows", "n_unique_rows", "n_clusters", "n_labels")]
+    columns.append((F.col("set_size") / F.col("n_rows")).alias("mean_set_size"))
     for rule in ("legacy", "corrected"):
-        labels, parents = amount(f"{rule}_accept"), amount(f"{rule}_parent_report")
+        of = lambda name: F.col(f"{rule}_{name}")
+        both = of("accept") + of("parent_report")
         columns += [
-            labels.alias(f"{rule}_label_n"), amount(f"{rule}_label_correct").alias(f"{rule}_label_correct_n"),
-            F.try_divide(amount(f"{rule}_label_correct"), labels).alias(f"{rule}_label_accuracy"),
-            (F.lit(1.0) - F.try_divide(amount(f"{rule}_label_correct"), labels)).alias(f"{rule}_label_error"),
-            parents.alias(f"{rule}_parent_n"),
-            F.try_divide(amount(f"{rule}_parent_correct"), parents).alias(f"{rule}_parent_accuracy"),
-            (labels + parents).alias(f"{rule}_identified_n"),
-            F.try_divide(amount(f"{rule}_any_correct"), labels + parents).alias(f"{rule}_identified_accuracy"),
+            of("accept").alias(f"{rule}_label_n"), of("label_correct").alias(f"{rule}_label_correct_n"),
+            F.try_divide(of("label_correct"), of("accept")).alias(f"{rule}_label_accuracy"),
+            (F.lit(1.0) - F.try_divide(of("label_correct"), of("accept"))).alias(f"{rule}_label_error"),
+            of("parent_report").alias(f"{rule}_parent_n"),
+            F.try_divide(of("parent_correct"), of("parent_report")).alias(f"{rule}_parent_accuracy"),
+            both.alias(f"{rule}_identified_n"), F.try_divide(of("any_correct"), both).alias(f"{rule}_identified_accuracy"),
         ]
-    return decisions.groupBy(*keys).agg(*columns)
+    return runs.select(*columns)
 
 
 def cluster_mean_decisions(df: DataFrame, keys: Sequence[str], classes: list[str], class_parent: dict[str, str],

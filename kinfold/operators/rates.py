@@ -56,17 +56,19 @@ def label_macro_rates(df: DataFrame, keys: Sequence[str], values: Sequence[str])
     return labels.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def rates_at_levels(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """``v__row``, ``v__cluster`` and ``v__label_macro`` in one pass over the rows.
+TRAITS = ("role", "ood_distance", "ood_singleton", "label", "cluster_id")
 
-    The row level is carried as sums and counts through the cluster level, so the table
-    is scanned and shuffled once, not once per level.
-    """
-    per = df.groupBy(*keys, "label", "cluster_id").agg(
+
+def cluster_totals(df: DataFrame, keys: Sequence[str], values: Sequence[str], traits: Sequence[str] = ("label", "cluster_id")) -> DataFrame:
+    """Per cluster: mean, sum and count of every value column."""
+    return df.groupBy(*keys, *traits).agg(
         *[F.avg(_double(v)).alias(f"m_{v}") for v in values],
         *[F.sum(_double(v)).alias(f"s_{v}") for v in values],
         *[F.count(F.col(v)).alias(f"n_{v}") for v in values],
     )
+
+
+def rates_from_totals(per: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     labels = per.groupBy(*keys, "label").agg(
         *[F.avg(f"m_{v}").alias(f"l_{v}") for v in values],
         *[F.sum(f"m_{v}").alias(f"cs_{v}") for v in values],
@@ -87,6 +89,25 @@ def rates_at_levels(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -
     )
 
 
+def rates_at_levels(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``v__row``, ``v__cluster`` and ``v__label_macro`` in one pass over the rows.
+
+    The row level is carried as sums and counts through the cluster level, so the table
+    is scanned and shuffled once, not once per level.
+    """
+    return rates_from_totals(cluster_totals(df, keys, values), keys, values)
+
+
+def rates_by_selector(df: DataFrame, keys: Sequence[str], values: Sequence[str], explicit: Column | None = None) -> DataFrame:
+    """The three rates per run and population.
+
+    Populations depend on cluster traits only, so rows are reduced to clusters before
+    a cluster is copied into the populations it belongs to.
+    """
+    per = by_selector(cluster_totals(df, keys, values, TRAITS), explicit)
+    return rates_from_totals(per, [*keys, "selector"], values)
+
+
 def instance_mean(df: DataFrame, keys: Sequence[str], instance: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Label-macro rate within each model instance, then the mean over instances."""
     per = label_macro_rates(df, [*keys, *instance], values)

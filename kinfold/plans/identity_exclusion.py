@@ -60,22 +60,21 @@ def label_sensitivity(decisions: DataFrame, excluded: DataFrame, keys: Sequence[
     rows = exclude_clusters(decisions.filter(F.col("role").isin("test_known", "test_ood")), excluded)
     typed = rows.withColumn("label_type", label_type(F.col("label")) if kind is None else kind)
     known, near, far = F.col("role") == "test_known", F.col("ood_distance") == "near", F.col("ood_distance") == "far"
-    names = F.array(
-        F.when(known, F.lit("known")), F.when(~known, F.lit("all_ood")), F.when(~known & near, F.lit("same_parent_ood")),
-        F.when(~known & far, F.lit("different_parent_ood")),
-    )
-    typed = typed.withColumn("selector", F.explode(F.filter(names, lambda n: n.isNotNull()))).withColumn(
-        "instance_fold", F.when(~known, F.col("fold"))
-    )
-    group = [*keys, "selector", "label_type", "seed", "instance_fold"]
+    typed = typed.withColumn("instance_fold", F.when(~known, F.col("fold")))
     values = [*outcomes, "label_set_size"]
-    per_cluster = typed.groupBy(*group, "cluster_id").agg(
+    per_cluster = typed.groupBy(*keys, "role", "ood_distance", "label_type", "seed", "instance_fold", "cluster_id").agg(
         *[F.avg(F.col(v).cast("double")).alias(f"m_{v}") for v in values],
         *[F.sum(F.col(v).cast("double")).alias(f"s_{v}") for v in values], F.count("*").alias("n"),
         F.avg((F.col("corrected_accept") & F.col("corrected_label_correct")).cast("double")).alias("m_hit"),
         F.sum((F.col("corrected_accept") & F.col("corrected_label_correct")).cast("double")).alias("s_hit"),
     )
-    instances = per_cluster.groupBy(*group).agg(
+    names = F.array(
+        F.when(known, F.lit("known")), F.when(~known, F.lit("all_ood")), F.when(~known & near, F.lit("same_parent_ood")),
+        F.when(~known & far, F.lit("different_parent_ood")),
+    )
+    group = [*keys, "selector", "label_type", "seed", "instance_fold"]
+    selected = per_cluster.withColumn("selector", F.explode(F.filter(names, lambda n: n.isNotNull())))
+    instances = selected.groupBy(*group).agg(
         F.sum("n").alias("n_rows"), F.count("*").alias("n_clusters"),
         *[m for v in values for m in (
             (F.sum(f"s_{v}") / F.sum("n")).alias(f"{v}__row"), F.avg(f"m_{v}").alias(f"{v}__cluster"))],

@@ -39,12 +39,11 @@ def conformal_reports(rows: DataFrame, keys: Sequence[str], class_parent: dict[s
     return de.hierarchical_report(ready, classes, parents), classes, parents
 
 
-def per_run_summary(decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
+def per_run_summary(decisions: DataFrame, keys: Sequence[str], explicit=None) -> DataFrame:
     """Counts and accuracies plus every outcome at three averaging levels, per run and population."""
-    keys = [*keys, "selector"]
-    exploded = rt.by_selector(decisions)
-    counts = de.decision_summary(exploded, keys)
-    return _null_safe_join(counts, rt.rates_at_levels(exploded, keys, [*de.OUTCOMES, "set_contains_true"]), keys)
+    counts = de.decision_summary(decisions, keys, explicit)
+    rates = rt.rates_by_selector(decisions, keys, [*de.OUTCOMES, "set_contains_true"], explicit)
+    return _null_safe_join(counts, rates, [*keys, "selector"])
 
 
 # fixed values: populations, and the averaging of each bootstrap block
@@ -63,12 +62,16 @@ def bootstrap_tables(decisions: DataFrame, replicates: int, seed: int, outcomes:
     give every cluster one vote. Model and population are key columns, so this is two
     bootstrap jobs, however many blocks there are.
     """
-    outcomes = list(outcomes)
+    outcomes, instance = list(outcomes), ["seed", "fold"]
     gap = "legacy_minus_corrected"
     values = [*outcomes, gap]
-    selected = rt.by_selector(decisions, explicit).withColumn(
+    # one record per cluster and model instance; averaging it again changes nothing
+    reduced = decisions.withColumn(
         gap, F.col("legacy_accept").cast("double") - F.col("corrected_accept").cast("double")
+    ).groupBy(*keys, *rt.TRAITS, *instance).agg(
+        F.count("*").alias("__rows"), *[F.avg(F.col(v).cast("double")).alias(v) for v in values]
     )
+    selected = rt.by_selector(reduced, explicit)
     group = [*keys, "selector"]
     macro = selected.filter(F.col("selector").isin(*OOD_BLOCKS)).unionByName(
         selected.filter(F.col("selector") == "known").withColumn("selector", F.lit("known_label_macro"))
@@ -76,10 +79,10 @@ def bootstrap_tables(decisions: DataFrame, replicates: int, seed: int, outcomes:
     pooled = selected.filter(F.col("selector").isin(*KNOWN_BLOCKS))
     tables, draws = [], []
     for part, overall, estimand in ((macro, False, "label-macro"), (pooled, True, "overall-cluster")):
-        point = bs.hierarchical_point(part, group, ["seed", "fold"], values, overall)
+        point = bs.hierarchical_point(part, group, instance, values, overall)
         drawn = bs.hierarchical(part, values, replicates, seed, group, overall=overall)
         counts = part.groupBy(*group).agg(
-            F.count("*").alias("n_predictions"), F.countDistinct("row_id").alias("n_rows"),
+            F.sum("__rows").alias("n_predictions"),
             F.countDistinct("cluster_id").alias("n_clusters"), F.countDistinct("label").alias("n_labels"),
             F.countDistinct("seed", "fold").alias("n_instances"),
         )

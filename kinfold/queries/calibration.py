@@ -176,7 +176,7 @@ def explicit_rule():
 sum(accepted::INT)::BIGINT AS legacy_label_n, sum(ca::INT)::BIGINT AS corrected_label_n, round(sum((ca AND ct = label)::INT) / nullif(sum(ca::INT), 0), 6) AS corrected_label_accuracy,
 sum(cp::INT)::BIGINT AS corrected_parent_n, round(sum((cp AND ct = parent)::INT) / nullif(sum(cp::INT), 0), 6) AS corrected_parent_accuracy FROM dsel GROUP BY ALL""", ("sel",))
 def decision_summary(spark, sf):
-    out = de.decision_summary(rt.by_selector(decisions(spark, sf), explicit_rule()), [*RUN, "selector"])
+    out = de.decision_summary(decisions(spark, sf), RUN, explicit_rule())
     return rounded(out.select(*RUN, "selector", "n_rows", "n_unique_rows", "n_clusters", "n_labels", "mean_set_size", "legacy_label_n", "corrected_label_n",
                               "corrected_label_accuracy", "corrected_parent_n", "corrected_parent_accuracy"), "mean_set_size", "corrected_label_accuracy", "corrected_parent_accuracy")
 
@@ -191,7 +191,7 @@ def selector_counts(spark, sf):
 l AS (SELECT design, seed, fold, selector, label, avg(m) AS lm, sum(m) AS cs, count(*) AS cn, sum(s) AS s, sum(n) AS n FROM c GROUP BY ALL)
 SELECT design, seed, fold, selector, round(sum(s) / sum(n), 6) AS corrected_accept__row, round(sum(cs) / sum(cn), 6) AS corrected_accept__cluster, round(avg(lm), 6) AS corrected_accept__label_macro FROM l GROUP BY ALL""", ("sel",))
 def per_run_decision_rates(spark, sf):
-    out = rt.rates_at_levels(rt.by_selector(decisions(spark, sf), explicit_rule()), [*RUN, "selector"], ["corrected_accept"])
+    out = rt.rates_by_selector(decisions(spark, sf), RUN, ["corrected_accept"], explicit_rule())
     return rounded(out, *[c for c in out.columns if "__" in c])
 
 
