@@ -80,10 +80,12 @@ def parse_acquisition(files: DataFrame, text: str = "value") -> DataFrame:
     ).drop(text, "__1", "__3")
 
 
-def read_acquisition(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files under ``path``; one row per file with ``source_path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return parse_acquisition(files.withColumn("source_path", F.col("_metadata.file_path")))
+def read_acquisition(spark: SparkSession, path: str, pattern: str = "acqu") -> DataFrame:
+    """Acquisition files below ``path`` (Latin-1 text); one row per file with ``source_path``."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    )
+    return parse_acquisition(files.select(F.col("path").alias("source_path"), F.decode("content", "ISO-8859-1").alias("value")))
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
