@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +22,24 @@ def probability_to_logits(p: Column, epsilon: float = 1e-12) -> Column:
     return F.transform(p, lambda x: F.ln(F.least(F.greatest(x.cast("double"), F.lit(epsilon)), F.lit(1.0))))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``, also from inside an element lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
-    """Max-shifted softmax of ``logits / temperature``."""
+    """Max-shifted softmax of ``logits / temperature``; linear in the number of classes."""
     scale = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    shifted = F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / scale))
-    return F.transform(shifted, lambda e: e / total(shifted))
+    shifted = bind(
+        F.struct(logits.alias("z"), F.array_max(logits).alias("top")),
+        lambda a: F.transform(a["z"], lambda x: F.exp((x - a["top"]) / scale)),
+    )
+    return bind(
+        shifted,
+        lambda e: bind(
+            F.struct(e.alias("e"), total(e).alias("t")), lambda b: F.transform(b["e"], lambda x: x / b["t"])
+        ),
+    )
 
 
 def align_scores(scores: Column, local: Column, classes: Column) -> Column:
@@ -69,19 +84,15 @@ def value_at_label(values: Column, classes: Column, label: Column) -> Column:
 
 
 def brier(values: Column, classes: Column, label: Column) -> Column:
-    hit = F.array_position(classes, label).cast("int") - 1
-    return total(
-        F.transform(values, lambda x, i: F.pow(x.cast("double") - F.when(i == hit, 1.0).otherwise(0.0), 2))
-    )
+    """Sum of (p - target)^2, expanded so that one pass over the array is enough."""
+    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return squares - F.lit(2.0) * value_at_label(values, classes, label) + F.lit(1.0)
 
 
 def prediction_set(values: Column, classes: Column, thresholds: Column) -> Column:
     """Labels with ``1 - p <= threshold``, in class order."""
-    marked = F.transform(
-        values,
-        lambda x, i: F.when((F.lit(1.0) - x.cast("double")) <= F.get(thresholds, i), F.get(classes, i)),
-    )
-    return F.filter(marked, lambda label: label.isNotNull())
+    inside = lambda i: (F.lit(1.0) - F.get(values, i).cast("double")) <= F.get(thresholds, i)
+    return F.filter(classes, lambda label, i: inside(i))
 
 
 def only_member(labels: Column) -> Column:
@@ -89,13 +100,12 @@ def only_member(labels: Column) -> Column:
 
 
 def grouped_sum(values: Column, group_of_class: list[str], groups: list[str]) -> Column:
-    """Sum class values into parent groups, in double precision."""
-    return F.array(
-        *[
-            total(F.array(*[F.get(values, F.lit(i)).cast("double") for i, g in enumerate(group_of_class) if g == group]))
-            for group in groups
-        ]
-    )
+    """Sum class values into parent groups, in double precision; a flat sum, so it stays in generated code."""
+    def members(group: str) -> Column:
+        parts = [F.get(values, F.lit(i)).cast("double") for i, g in enumerate(group_of_class) if g == group]
+        return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+
+    return F.array(*[members(group) for group in groups])
 
 
 def is_distribution(p: Column, tolerance: float = 1e-6) -> Column:

@@ -112,7 +112,10 @@ def fit_temperature(df: DataFrame, keys: Sequence[str], classes: list[str], logi
         whole = df.withColumn("__run", F.lit(0))
         return fit_temperature(whole, ["__run"], classes, logits, weight, steps, rounds).drop("__run")
     true = ar.value_at_label(F.col(logits), ar.class_array(classes), F.col("label"))
-    rows = df.select(*keys, F.col(logits).alias("__z"), F.col(weight).cast("double").alias("__w"), true.alias("__y"))
+    rows = df.select(
+        *keys, F.col(logits).alias("__z"), F.array_max(logits).alias("__top"), F.col(weight).cast("double").alias("__w"),
+        true.alias("__y"),
+    )
     best = rows.select(*keys).distinct().withColumn("__mid", F.lit(0.0))
     half = 4.0
     for _ in range(rounds):
@@ -122,10 +125,10 @@ def fit_temperature(df: DataFrame, keys: Sequence[str], classes: list[str], logi
             lambda i: F.least(F.greatest(F.col("__mid") - half + i * step, F.lit(-4.0)), F.lit(4.0)),
         )
         at = _null_safe_join(rows, best.select(*keys, "__mid"), keys).select(
-            *keys, "__z", "__w", "__y", F.explode(F.array_distinct(grid)).alias("__lt")
-        )
-        scale, top = F.exp("__lt"), F.array_max("__z")
-        nll = F.ln(ar.total(F.transform("__z", lambda z: F.exp((z - top) / scale)))) + (top - F.col("__y")) / scale
+            *keys, "__z", "__top", "__w", "__y", F.explode(F.array_distinct(grid)).alias("__lt")
+        ).withColumn("__scale", F.exp("__lt"))
+        mass = F.aggregate("__z", F.lit(0.0), lambda acc, z: acc + F.exp((z - F.col("__top")) / F.col("__scale")))
+        nll = F.ln(mass) + (F.col("__top") - F.col("__y")) / F.col("__scale")
         losses = at.groupBy(*keys, "__lt").agg((F.sum(nll * F.col("__w")) / F.sum("__w")).alias("loss"))
         best = losses.groupBy(*keys).agg(F.min(F.struct("loss", "__lt")).alias("__b")).select(
             *keys, F.col("__b.__lt").alias("__mid"), F.col("__b.loss").alias("loss")

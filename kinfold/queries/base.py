@@ -8,7 +8,7 @@ tables by integer arithmetic, so that both engines see the same ones.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,19 +139,18 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str, parents: dict[str, str]) -> DataFrame:
     """Probability array over the known classes for every row of every cell of one model."""
     classes = list(parents)
-    names = F.array(*[F.lit(c) for c in classes])
     base = _cells(manifest(spark, sf).drop("source", "amount"), MODELS[:1])
 
-    def raw(j):
+    def raw(j: int):
         noise = (F.col("row_id") * 31 + j * 1009 + F.col("seed") * 101 + F.col("fold") * 53 + F.col("d") * 17) * 7919 % 97
-        bonus = F.when((F.get(names, j) == F.col("label")) & ((F.col("row_id") + F.col("seed")) % 10 < 8), 150).otherwise(0)
-        return (1 + noise + bonus).cast("double")
+        bonus = F.when((F.col("label") == classes[j]) & ((F.col("row_id") + F.col("seed")) % 10 < 8), 150).otherwise(0)
+        return (1 + noise + bonus).cast("double").alias(f"raw{j}")
 
-    values = base.withColumn("raw", F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), raw))
-    whole = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
+    values = base.select("*", *[raw(j) for j in range(len(classes))])
+    whole = reduce(lambda a, b: a + b, [F.col(f"raw{j}") for j in range(len(classes))])
     return values.withColumn("whole", whole).select(
         "row_id", "cluster_id", "label", "parent", "ood_distance", "ood_singleton", "design", "seed", "fold", "role",
-        F.transform("raw", lambda x: x / F.col("whole")).alias("probability"),
+        F.array(*[F.col(f"raw{j}") / F.col("whole") for j in range(len(classes))]).alias("probability"),
     )
 
 
