@@ -18,9 +18,11 @@ RUN = ["design", "seed", "fold"]
 MIN = 150  # class size that still calibrates on its own; splits the classes of the test tables
 
 
-def rows_and_classes(spark, sf):
+def rows_and_classes(spark, sf, role=None):
+    """Scored rows as a written table: the operators below read them in several branches."""
     parents = known_classes(spark, sf)
-    return scored(spark, sf, parents), parents
+    rows = scored(spark, sf, parents)
+    return durable(rows if role is None else rows.filter(F.col("role") == role)), parents
 
 
 define("cal", """cal AS (SELECT *, 1e0 - p AS s FROM scored WHERE role = 'calibration' AND class = label),
@@ -36,44 +38,44 @@ tau AS (SELECT design, seed, fold, count(*) AS n, list(m ORDER BY m)[CAST(floor(
 
 @query("finite_sample_quantile", "SELECT design, seed, fold, n, round(g, 6) AS threshold FROM gq", ("cal",))
 def finite_sample_quantile(spark, sf):
-    rows, parents = rows_and_classes(spark, sf)
-    fitted = cal.nonconformity(rows.filter("role = 'calibration'"), list(parents))
+    rows, parents = rows_and_classes(spark, sf, "calibration")
+    fitted = cal.nonconformity(rows, list(parents))
     return rounded(cal.finite_sample_quantile(fitted, RUN, "score"), "threshold")
 
 
 @query("small_sample_quantile", """SELECT design, seed, fold, cluster_id, count(*) AS n, round(coalesce(list(s ORDER BY s)[CAST(ceil((count(*) + 1) * 0.8e0) AS INTEGER)], 1e0), 6) AS threshold FROM cal GROUP BY ALL""", ("cal",))
 def small_sample_quantile(spark, sf):
-    rows, parents = rows_and_classes(spark, sf)
-    fitted = cal.nonconformity(rows.filter("role = 'calibration'"), list(parents))
+    rows, parents = rows_and_classes(spark, sf, "calibration")
+    fitted = cal.nonconformity(rows, list(parents))
     return rounded(cal.finite_sample_quantile(fitted, [*RUN, "cluster_id"], "score", 0.8), "threshold")
 
 
 @query("class_thresholds", "SELECT design, seed, fold, class, n_rows, round(threshold, 6) AS threshold, round(global_threshold, 6) AS global_threshold, threshold_source FROM thr", ("cal",))
 def class_thresholds(spark, sf):
-    rows, parents = rows_and_classes(spark, sf)
-    fitted = cal.nonconformity(rows.filter("role = 'calibration'"), list(parents))
+    rows, parents = rows_and_classes(spark, sf, "calibration")
+    fitted = cal.nonconformity(rows, list(parents))
     return rounded(cal.class_thresholds(fitted, RUN, list(parents), min_rows=MIN), "threshold", "global_threshold")
 
 
 @query("acceptance_threshold", "SELECT design, seed, fold, n, round(tau, 6) AS tau FROM tau", ("cal",))
 def acceptance_threshold(spark, sf):
-    rows, _ = rows_and_classes(spark, sf)
-    fitted = rows.filter("role = 'calibration'").withColumn("confidence", F.array_max("probability"))
+    rows, _ = rows_and_classes(spark, sf, "calibration")
+    fitted = rows.withColumn("confidence", F.array_max("probability"))
     return rounded(cal.acceptance_threshold(fitted, RUN), "tau")
 
 
 @query("retained_fraction_threshold", "SELECT design, seed, fold, n AS n_clusters, round(retained, 6) AS threshold FROM tau", ("cal",))
 def retained_fraction_threshold(spark, sf):
-    rows, _ = rows_and_classes(spark, sf)
-    fitted = rows.filter("role = 'calibration'").withColumn("score", F.array_max("probability"))
+    rows, _ = rows_and_classes(spark, sf, "calibration")
+    fitted = rows.withColumn("score", F.array_max("probability"))
     return rounded(cal.retained_fraction_threshold(fitted, RUN), "threshold")
 
 
 @query("cluster_median_confidence", "SELECT design, seed, fold, cluster_id, round(m, 6) AS median FROM md", ("cal",))
 def cluster_median_confidence(spark, sf):
     from kinfold.operators.ranking import group_median
-    rows, _ = rows_and_classes(spark, sf)
-    fitted = rows.filter("role = 'calibration'").withColumn("confidence", F.array_max("probability"))
+    rows, _ = rows_and_classes(spark, sf, "calibration")
+    fitted = rows.withColumn("confidence", F.array_max("probability"))
     return rounded(group_median(fitted, [*RUN, "cluster_id"], "confidence", "median"), "median")
 
 
@@ -95,8 +97,8 @@ tw AS (SELECT design, seed, row_id, 1e0 / count(*) OVER (PARTITION BY design, se
 tz AS (SELECT design, seed, row_id, z, w, max(z) OVER p AS top, max(CASE WHEN class = label THEN z END) OVER p AS y FROM tr JOIN tw USING (design, seed, row_id) WINDOW p AS (PARTITION BY design, seed, row_id))"""
        + _temperature_rounds() + "\nSELECT design, seed, round(mid, 6) AS log_temperature, round(exp(mid), 6) AS temperature, round(loss, 6) AS loss FROM b3", ("scored",))
 def fit_temperature(spark, sf):
-    rows, parents = rows_and_classes(spark, sf)
-    fitted = rows.filter("role = 'calibration'")
+    rows, parents = rows_and_classes(spark, sf, "calibration")
+    fitted = rows
     logits = F.transform(ar.probability_to_logits(F.col("probability")), lambda z: z * 1.7)
     weighted = durable(evaluation_weights(fitted.withColumn("logits", logits), ["design", "seed"]).select("design", "seed", "label", "logits", "weight"))
     return rounded(cal.fit_temperature(weighted, ["design", "seed"], list(parents)), "log_temperature", "temperature", "loss")
@@ -120,7 +122,7 @@ dec AS (SELECT *, NOT ca AND pm AS cp, CASE WHEN ca THEN 'label' WHEN pm THEN 'p
 
 def reports(spark, sf):
     rows, parents = rows_and_classes(spark, sf)
-    return os_.conformal_reports(durable(rows), RUN, parents, min_rows=MIN)
+    return os_.conformal_reports(rows, RUN, parents, min_rows=MIN)
 
 
 @query("hierarchical_report", """SELECT design, seed, fold, row_id, array_to_string(ls, ',') AS label_set, CAST(len(ls) AS INTEGER) AS label_set_size, array_to_string(ps, ',') AS parent_set, CAST(len(ps) AS INTEGER) AS parent_set_size,
@@ -197,8 +199,8 @@ def per_run_decision_rates(spark, sf):
 
 @query("parent_probability", "SELECT design, seed, fold, row_id, top, round(pp, 6) AS p FROM pp WHERE role = 'calibration'", ("dec",))
 def parent_probability(spark, sf):
-    rows, parents = rows_and_classes(spark, sf)
-    out, tops = cal.parent_probability(rows.filter("role = 'calibration'"), list(parents), parents)
+    rows, parents = rows_and_classes(spark, sf, "calibration")
+    out, tops = cal.parent_probability(rows, list(parents), parents)
     pairs = F.arrays_zip(ar.class_array(tops).alias("t"), F.col("parent_probability").alias("p"))
     return out.select(*RUN, "row_id", F.explode(pairs).alias("x")).select(*RUN, "row_id", F.col("x.t").alias("top"), F.round("x.p", 6).alias("p"))
 
@@ -227,29 +229,29 @@ mt AS (SELECT design, seed, fold, list(conf ORDER BY conf)[CAST(floor((count(*)
 @query("cluster_mean_support", "SELECT design, seed, fold, n AS n_calibration_clusters, round(lq, 6) AS label_threshold, round(pq, 6) AS parent_threshold, round(tau, 6) AS tau FROM mlq JOIN mpq USING (design, seed, fold) JOIN mt USING (design, seed, fold)", ("cmd",))
 def cluster_mean_support(spark, sf):
     rows, parents = rows_and_classes(spark, sf)
-    return rounded(de.cluster_mean_decisions(durable(rows), RUN, list(parents), parents)[1], "label_threshold", "parent_threshold", "tau")
+    return rounded(de.cluster_mean_decisions(rows, RUN, list(parents), parents)[1], "label_threshold", "parent_threshold", "tau")
 
 
 @query("cluster_mean_decisions", """+ r AS (SELECT c.*, round(conf, 6) AS rc, conf >= tau - 1e-12 AS confidence_only_accept FROM mc c JOIN mt USING (design, seed, fold) WHERE role = 'test_known')
 SELECT design, seed, fold, cluster_id, n_rows, rc AS confidence, confidence_only_accept FROM r""", ("cmd",))
 def cluster_mean_decisions(spark, sf):
     rows, parents = rows_and_classes(spark, sf)
-    out = de.cluster_mean_decisions(durable(rows), RUN, list(parents), parents)[0]
+    out = de.cluster_mean_decisions(rows, RUN, list(parents), parents)[0]
     return rounded(out.filter("role = 'test_known'").select(*RUN, "cluster_id", "n_rows", "confidence", "confidence_only_accept"), "confidence")
 
 
 @query("cluster_mean_metrics")
 def cluster_mean_metrics(spark, sf):
     rows, parents = rows_and_classes(spark, sf)
-    out = de.cluster_mean_decisions(durable(rows), RUN, list(parents), parents)[0]
+    out = de.cluster_mean_decisions(rows, RUN, list(parents), parents)[0]
     result = de.cluster_mean_metrics(rt.by_selector(out, explicit_rule()), [*RUN, "selector"])
     return rounded(result, *[c for c in result.columns if c not in (*RUN, "selector", "n_clusters", "n_labels", "label_report_n", "parent_report_n")])
 
 
 @query("invalid_probabilities", """SELECT design, seed, fold, row_id FROM mx WHERE role = 'calibration' AND row_id % 5 = 0""", ("cal",))
 def invalid_probabilities(spark, sf):
-    rows, parents = rows_and_classes(spark, sf)
-    broken = rows.filter("role = 'calibration'").withColumn("probability", F.when(
+    rows, parents = rows_and_classes(spark, sf, "calibration")
+    broken = rows.withColumn("probability", F.when(
         F.col("row_id") % 5 == 0, F.when(F.col("row_id") % 2 == 0, F.transform("probability", lambda x: x * 1.001)).otherwise(F.concat("probability", F.array(F.lit(0.0))))
     ).otherwise(F.col("probability")))
     return au.invalid_probabilities(broken, len(parents)).select(*RUN, "row_id")

@@ -90,7 +90,6 @@ SELECT design, seed, n_rows, n_clusters, n_labels, round(c1.macro_f1, 6) AS pool
 FROM cn JOIN c1 USING (design, seed) JOIN c2 USING (design, seed) JOIN c3 USING (design, seed)""", ("leak", "idx"))
 def clean_leakage(spark, sf):
     classes, known = prob_rows(spark, sf)
-    known = durable(known)
     clusters = durable(me.cluster_mean_predictions(known, ["seed", "design"], classes))
     metrics = ie.clean_leakage(known, clusters, shared_clusters(spark, sf))[0]
     return rounded(metrics, *me.ESTIMANDS, "cluster_mean_balanced_accuracy")

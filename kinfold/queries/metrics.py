@@ -156,7 +156,7 @@ prow AS (SELECT *, o[1] AS predicted, ps[1] AS confidence, o[1] = label AS corre
 
 def prob_rows(spark, sf, role="test_known"):
     classes = list(known_classes(spark, sf))
-    rows = scored(spark, sf, known_classes(spark, sf)).filter(F.col("role") == role)
+    rows = durable(scored(spark, sf, known_classes(spark, sf)).filter(F.col("role") == role))
     return classes, rows.withColumn("predicted", ar.argmax_label(F.col("probability"), ar.class_array(classes))).withColumn(
         "confidence", F.array_max("probability"))
 

@@ -34,9 +34,10 @@ gp AS (SELECT seed, fold, row_id, truth, list(label ORDER BY score DESC, label)[
 
 def centroid_predictions(spark, sf):
     """Peaks -> features -> grouped folds -> weighted centroids -> held-out predictions, all folds at once."""
-    features = ft.bin_peaks(peaks(spark, sf), **GRID)
-    known = manifest(spark, sf).filter("primary_known")
-    splits = sp.grouped_splits(known, None, (11, 12), 5)
+    known = durable(manifest(spark, sf).filter("primary_known"))
+    # both tables feed training and scoring, so each is written once instead of derived per branch
+    features = durable(ft.bin_peaks(peaks(spark, sf), **GRID))
+    splits = durable(sp.grouped_splits(known, None, (11, 12), 5))
     keys = ["seed", "fold"]
     train = training_weights(splits.filter("role = 'train'"), keys)
     centroids = sc.label_centroids(features, train, keys)

@@ -9,6 +9,7 @@ from kinfold.operators import manifest as mf
 from kinfold.operators import splits as sp
 from kinfold.operators import weights as wt
 from kinfold.queries.base import define, joined_list, manifest, query, rounded, rows
+from kinfold.session import durable
 from kinfold.sources.writers import split_header
 
 SEEDS, K = (11, 12), 5
@@ -35,7 +36,7 @@ ssplit AS (SELECT row_id, cluster_id, label, parent, seed, 'cluster_grouped_sens
 
 
 def _known(spark, sf):
-    m = manifest(spark, sf)
+    m = durable(manifest(spark, sf))
     return m, m.filter("primary_known"), m.filter("primary_ood")
 
 
@@ -56,7 +57,7 @@ def row_random_splits(spark, sf):
 
 @query("sensitivity_splits", f"SELECT {COLS} FROM ssplit", ("stress",))
 def sensitivity_splits(spark, sf):
-    m = manifest(spark, sf).filter("sensitivity_known")
+    m = durable(manifest(spark, sf)).filter("sensitivity_known")
     return sp.sensitivity_splits(m, SEEDS, min(K, sp.label_shape(m).smallest_clusters))
 
 
@@ -64,7 +65,7 @@ def sensitivity_splits(spark, sf):
 SELECT design, seed, fold, role, count(*) AS n_rows, count(DISTINCT cluster_id) AS n_clusters, count(DISTINCT label) AS n_labels FROM u GROUP BY ALL""",
        ("randomised", "stress"))
 def split_sizes(spark, sf):
-    splits = sp.build_splits(manifest(spark, sf), SEEDS, K, check=False)
+    splits = sp.build_splits(durable(manifest(spark, sf)), SEEDS, K, check=False)
     return splits.groupBy("design", "seed", "fold", "role").agg(
         F.count("*").alias("n_rows"), F.countDistinct("cluster_id").alias("n_clusters"), F.countDistinct("label").alias("n_labels"))
 
