@@ -152,10 +152,14 @@ def decision_summary(decisions: DataFrame, keys: Sequence[str], explicit: Column
     """
     flags = [f"{rule}_{name}" for rule in ("legacy", "corrected")
              for name in ("accept", "label_correct", "parent_report", "parent_correct", "any_correct")]
-    per = decisions.groupBy(*keys, *rt.TRAITS).agg(
-        F.count("*").alias("n_rows"), F.countDistinct("row_id").alias("n_unique_rows"),
-        F.sum("label_set_size").alias("set_size"), *[F.sum(F.col(f).cast("long")).alias(f) for f in flags],
+    group = [*keys, *rt.TRAITS]
+    per = decisions.groupBy(*group).agg(
+        F.count("*").alias("n_rows"), F.sum("label_set_size").alias("set_size"),
+        *[F.sum(F.col(f).cast("long")).alias(f) for f in flags],
     )
+    # distinct ids are counted on a narrow table of their own, so the wide sums still combine map-side
+    unique = decisions.select(*group, "row_id").distinct().groupBy(*group).agg(F.count("*").alias("n_unique_rows"))
+    per = _null_safe_join(per, unique, group)
     keys = [*keys, "selector"]
     totals = ["n_rows", "n_unique_rows", "set_size", *flags]
     labels = rt.by_selector(per, explicit).groupBy(*keys, "label").agg(

@@ -37,7 +37,7 @@ def nearest_mass(references: DataFrame, local: DataFrame, group: Sequence[str],
     group = list(group)
     cut = F.floor(F.col(mass) / F.lit(float(bucket_width))).cast("long").alias("__cut")
     tag = lambda df, kind: df.select(*group, F.col(mass).cast("double").alias("__m"), cut, F.lit(kind).alias("__k"))
-    both = tag(local.select(*group, mass).distinct(), 0).unionByName(tag(references, 1))
+    both = tag(local, 0).unionByName(tag(references, 1))
     extremes = both.groupBy(*group, "__cut").agg(
         F.min(F.when(F.col("__k") == 0, F.col("__m"))).alias("__lo"), F.max(F.when(F.col("__k") == 0, F.col("__m"))).alias("__hi")
     )
