@@ -120,15 +120,12 @@ def resolve_clusters(records: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def ordinal_in_group(df: DataFrame, group: str, ordinal: str, out: str) -> DataFrame:
+def ordinal_in_group(df: DataFrame, group: str, ordinal: str, out: str, **limits) -> DataFrame:
     """1-based position within the group in file order (``ordinal`` is a unique number).
 
-    A hot group is cut on the ordinal's share of the ordinal range.
+    A hot group is cut on the ordinal's place in the group's own range.
     """
-    span = df.agg((F.max(ordinal) + 1).cast("double").alias("__span"))
-    spread = df.join(F.broadcast(span), F.lit(True))
-    position = F.least(F.col(ordinal) / F.col("__span"), F.lit(0.9999999))
-    return rank_in_group(spread, [group], [ordinal], position, out).drop("__span")
+    return rank_in_group(df, [group], [ordinal], ordinal, out, **limits)
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, group: str, left_order: str, right_order: str,

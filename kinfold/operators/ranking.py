@@ -48,7 +48,7 @@ def rank_in_group(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    position: Column,
+    position: Column | str,
     out: str = "rank",
     size: str | None = None,
     hot_rows: int = HOT_ROWS,
@@ -59,7 +59,8 @@ def rank_in_group(
     The largest group is measured first (or given by a caller that knows a bound). When it
     fits one task, a plain window does the work. Otherwise groups above ``hot_rows`` are cut:
     ``position`` is a value in [0, 1) that never decreases along ``order[0]`` and decides
-    where. The table of hot groups has at most rows / hot_rows entries and that of their
+    where; the name of a numeric column means its place between the group's own minimum
+    and maximum. The table of hot groups has at most rows / hot_rows entries and that of their
     cuts a few times as many, which bounds what is sent to every task.
     """
     keys = list(keys)
@@ -69,8 +70,13 @@ def rank_in_group(
     if (largest_group(df, keys) if largest is None else largest) <= hot_rows:
         ranked = df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
         return ranked.withColumn(size, F.count("*").over(W.partitionBy(*keys))) if size else ranked
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    bounds = []
+    if isinstance(position, str):
+        bounds = [F.min(position).alias("__lo"), F.max(position).alias("__hi")]
+        position = (F.col(position) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"), *bounds)
     hot = sizes.filter(F.col("__n") > hot_rows).withColumn("__cuts", F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int") * 2).drop("__n")
+    sizes = sizes.drop("__lo", "__hi")
     cut = _null_safe_join(df, F.broadcast(hot), keys, "left").withColumn(
         "__cut", F.coalesce(F.floor(position * F.col("__cuts")).cast("int"), F.lit(0))
     )
@@ -87,7 +93,7 @@ def rank_in_group(
     ranked = (
         _null_safe_join(ranked, F.broadcast(before), [*keys, "__cut"], "left")
         .withColumn(out, (F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))).cast("long"))
-        .drop("__cuts", "__cut", "__rn", "__before")
+        .drop("__cuts", "__cut", "__rn", "__before", "__lo", "__hi")
     )
     return _null_safe_join(ranked, sizes.withColumnRenamed("__n", size), keys, "left") if size else ranked
 

@@ -281,9 +281,12 @@ def record_fingerprint(spark, sf):
     return df.select("c_custkey", hs.row_fingerprint(df.columns).alias("fingerprint"))
 
 
-@query("table_fingerprint")
+@query("table_fingerprint", """+ d AS (SELECT sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})::VARCHAR) AS d FROM customer),
+g AS (SELECT substr(d, 61, 2) AS g, count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(d, {1 + 12 * i}, 12))::BIGINT) AS s{i}" for i in range(5)) + """ FROM d GROUP BY 1),
+t AS (SELECT n, concat_ws(':', g, n, s0, s1, s2, s3, s4) AS t FROM g)
+SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(t, ';' ORDER BY t)) AS fingerprint FROM t""")
 def table_fingerprint(spark, sf):
-    return hs.table_fingerprint(table(spark, sf, "orders"))
+    return hs.table_fingerprint(table(spark, sf, "customer", "c_nationkey", "c_name", "c_custkey", "c_mktsegment"))
 
 
 @query("normalise_labels", """SELECT p_partkey, trim(regexp_replace(regexp_replace('  ' || p_name || '_/' || p_brand || '\\x  ', '[_/\\\\]+', ' ', 'g'), '\\s+', ' ', 'g')) AS normal,
@@ -298,7 +301,8 @@ def normalise_labels(spark, sf):
     )
 
 
-@query("normalise_documents")
+@query("normalise_documents", """+ n AS (SELECT doc_id, nfc_normalize(text) AS t FROM documents)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(t, '[_/\\\\]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS normal, sha256(trim(regexp_replace(replace(replace(lower(t), 'ß', 'ss'), '|', ' '), '\\s+', ' ', 'g'))) AS folded FROM n""")
 def normalise_documents(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "text")
     return docs.select("doc_id", F.sha2(tx.normalize_label(F.col("text")), 256).alias("normal"), F.sha2(tx.fold_identity(F.col("text")), 256).alias("folded"))

@@ -49,3 +49,9 @@ def test_order_statistic_and_quantiles(scores):
 def test_group_size(scores):
     out = rk.add_group_size(scores, ["g"]).groupBy("g").agg(F.max("group_size").alias("m"), F.count("*").alias("n")).collect()
     assert all(r["m"] == r["n"] for r in out)
+
+
+def test_numeric_order_is_cut_inside_each_group(scores):
+    from kinfold.operators.manifest import ordinal_in_group
+    plain = ordinal_in_group(scores, "g", "id", "r")
+    assert plain.exceptAll(ordinal_in_group(scores, "g", "id", "r", hot_rows=40)).count() == 0
