@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.hashing import draw
 from kinfold.operators.metrics import confusion, scores_from_confusion
 from kinfold.operators.ranking import _null_safe_join, hash_rank
+from kinfold.session import spread
 
 SLOT_CHUNK = 4096
 
@@ -42,7 +43,7 @@ def resample(numbered: DataFrame, keys: Sequence[str], stratum: Sequence[str], r
     Each cluster doubles as one draw slot, so this is a generator over the cluster
     table: replicates x clusters rows, no join and no list of ids anywhere.
     """
-    slots = numbered.select(*keys, *stratum, F.col("index").alias("__slot"), "n_units").withColumn(
+    slots = spread(numbered.select(*keys, *stratum, F.col("index").alias("__slot"), "n_units"), *keys, *stratum, "__slot").withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
     at = draw(F.col("n_units"), F.lit(seed), F.col("replicate"), *[F.col(c) for c in (*keys, *stratum)], F.col("__slot"))
@@ -157,7 +158,7 @@ def hierarchical(df: DataFrame, values: Sequence[str], replicates: int, seed: in
     # two generators, so no array grows with the size of a label
     chunks = drawn.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__size") - 1) / SLOT_CHUNK))))
     last = F.least(F.col("__size"), (F.col("__chunk") + 1) * SLOT_CHUNK) - 1
-    slots = chunks.withColumn("__slot", F.explode(F.sequence(F.col("__chunk") * SLOT_CHUNK, last)))
+    slots = spread(chunks, *keys, "replicate", "occurrence", "__chunk").withColumn("__slot", F.explode(F.sequence(F.col("__chunk") * SLOT_CHUNK, last)))
     at = draw(F.col("__size"), F.lit(seed), F.col("replicate"), *[F.col(k) for k in keys], F.col("occurrence"), F.col("__slot"))
     picks = slots.select(*keys, "replicate", "occurrence", "label", at.alias("index"))
     indexed = _null_safe_join(stats, numbered.drop("n_units"), [*keys, "label", "cluster_id"]).drop("cluster_id")

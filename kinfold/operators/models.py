@@ -16,6 +16,7 @@ from kinfold.functions.hashing import hash_key
 from kinfold.operators.ranking import hash_rank
 from kinfold.operators.splits import cluster_folds, label_shape
 from kinfold.operators.weights import training_weights
+from kinfold.session import durable
 
 
 def estimator(name: str, seed: int = 0, **overrides):
@@ -85,9 +86,7 @@ def out_of_fold_logits(train: DataFrame, name: str, seed: int = 0, folds: int =
     if k < 2:
         fitted = fit(train, name, seed, vector, **overrides)
         return fitted.logits(train, vector), fitted.classes
-    assigned = train.join(
-        cluster_folds(train, [seed], k).drop("seed"), ["label", "cluster_id"]
-    ).persist()
+    assigned = durable(train.join(cluster_folds(train, [seed], k).drop("seed"), ["label", "cluster_id"]))
     classes = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
     parts = []
     for fold in range(k):

@@ -40,3 +40,12 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor never forces a replay of the loop."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before a generator multiplies them.
+
+    The number is given explicitly, so adaptive execution does not merge the small
+    partitions of a table that is about to grow by the replicate count.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
