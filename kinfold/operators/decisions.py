@@ -12,6 +12,7 @@ from kinfold.operators import calibration as cal
 from kinfold.operators import rates as rt
 from kinfold.operators.metrics import mean_vectors
 from kinfold.operators.ranking import _null_safe_join
+from kinfold.session import durable
 
 # fixed values: report levels
 LABEL_LEVEL, PARENT_LEVEL, NO_LEVEL = "label", "parent", "unidentified"
@@ -195,7 +196,9 @@ def cluster_mean_decisions(df: DataFrame, keys: Sequence[str], classes: list[str
     identity = [*keys, "role", "cluster_id", "label", "parent", *extras]
     means = mean_vectors(df, identity, "probability")
     sizes = df.groupBy(*identity).agg(F.count("*").alias("n_rows"))
-    means = _null_safe_join(means, sizes, identity)
+    # thresholds are order statistics of these very means: written once, so that the value a
+    # threshold was taken from compares equal to it in every branch
+    means = durable(_null_safe_join(means, sizes, identity))
     means, parents = cal.parent_probability(means, classes, class_parent)
     names, tops = ar.class_array(classes), ar.class_array(parents)
     means = means.withColumn("confidence", F.array_max("probability"))

@@ -12,6 +12,7 @@ from kinfold.operators import decisions as de
 from kinfold.operators import metrics as me
 from kinfold.operators import scoring as sc
 from kinfold.operators.ranking import _null_safe_join
+from kinfold.session import durable
 
 
 def population() -> Column:
@@ -32,10 +33,11 @@ def reference_predictions(rows: DataFrame, keys: Sequence[str], vector: str = "v
     train = rows.filter(F.col("role") == "train")
     templates = sc.mean_templates(train, [*keys, "cluster_id", "label"], vector)
     queries = rows.filter(F.col("role") != "train")
-    scores = sc.dense_label_scores(queries, templates, keys, vector)
+    scores = durable(sc.dense_label_scores(queries, templates, keys, vector))
     ranked = sc.rank_labels(scores, keys)
     scored = _null_safe_join(queries.drop(vector), ranked, [*keys, "row_id"])
-    scored = _null_safe_join(scored, sc.score_arrays(scores, keys), [*keys, "row_id"])
+    # the threshold is one of these scores, and scoring is the costly step: write it once
+    scored = durable(_null_safe_join(scored, sc.score_arrays(scores, keys), [*keys, "row_id"]))
     threshold = cal.retained_fraction_threshold(scored.filter(F.col("role") == "calibration"), keys, "score", target)
     return de.accept_by_score(scored, threshold, keys, train)
 

@@ -240,7 +240,19 @@ def cluster_mean_decisions(spark, sf):
     return rounded(out.filter("role = 'test_known'").select(*RUN, "cluster_id", "n_rows", "confidence", "confidence_only_accept"), "confidence")
 
 
-@query("cluster_mean_metrics")
+@query("cluster_mean_metrics", """+ ml AS (SELECT design, seed, fold, role, cluster_id, label, parent, coalesce(list(class ORDER BY j) FILTER (1e0 - p <= lq + 1e-12), []) AS ls, list(class ORDER BY round(p, 12) DESC, j)[1] AS best, max(p) AS conf FROM mp JOIN mlq USING (design, seed, fold) GROUP BY ALL),
+mg AS (SELECT design, seed, fold, role, cluster_id, coalesce(list(top ORDER BY top) FILTER (1e0 - pp <= pq + 1e-12), []) AS ps, list(top ORDER BY round(pp, 12) DESC, top)[1] AS ptop FROM mq JOIN mpq USING (design, seed, fold) GROUP BY ALL),
+m1 AS (SELECT ml.*, ptop, conf >= tau - 1e-12 AS co, len(ls) = 1 AND ls[1] = best AS so, len(ps) = 1 AND ps[1] = ptop AS po FROM ml JOIN mg USING (design, seed, fold, role, cluster_id) JOIN mt USING (design, seed, fold)),
+ct AS (SELECT cluster_id, min(ood_distance) AS od, bool_or(ood_singleton) AS os FROM manifest GROUP BY 1),
+m2 AS (SELECT m1.*, so AND co AS acc, NOT (so AND co) AND po AS prep, od, os, right(label, 1) <> '2' AS explicit FROM m1 JOIN ct USING (cluster_id)),
+m3 AS (SELECT *, unnest(list_filter([CASE WHEN role = 'calibration' THEN 'calibration' END, CASE WHEN role = 'test_known' THEN 'known' END, CASE WHEN role = 'test_ood' THEN 'all_ood' END,
+  CASE WHEN role = 'test_ood' AND od = 'near' THEN 'same_parent_ood' END, CASE WHEN role = 'test_ood' AND od = 'far' THEN 'different_parent_ood' END, CASE WHEN role = 'test_ood' AND os THEN 'singleton_ood' END,
+  CASE WHEN role = 'test_known' AND explicit THEN 'known_explicit_binomial' END, CASE WHEN role = 'test_known' AND NOT explicit THEN 'known_sp_only' END,
+  CASE WHEN role = 'test_ood' AND od = 'near' AND explicit THEN 'same_parent_ood_explicit_binomial' END, CASE WHEN role = 'test_ood' AND od = 'near' AND NOT explicit THEN 'same_parent_ood_sp_only' END,
+  CASE WHEN role = 'test_ood' AND od = 'far' AND explicit THEN 'different_parent_ood_explicit_binomial' END, CASE WHEN role = 'test_ood' AND od = 'far' AND NOT explicit THEN 'different_parent_ood_sp_only' END], lambda x: x IS NOT NULL)) AS selector FROM m2)
+SELECT design, seed, fold, selector, count(*) AS n_clusters, count(DISTINCT label) AS n_labels, round(avg(co::INT), 6) AS confidence_only_accept, round(avg(so::INT), 6) AS set_only_singleton, round(avg(acc::INT), 6) AS accept, round(avg(prep::INT), 6) AS parent_report,
+round(avg((NOT acc AND NOT prep)::INT), 6) AS unidentified, round(avg(list_contains(ls, label)::INT) FILTER (role <> 'test_ood'), 6) AS set_coverage, sum(acc::INT)::BIGINT AS label_report_n, round(avg((best = label)::INT) FILTER (acc), 6) AS label_report_accuracy,
+sum(prep::INT)::BIGINT AS parent_report_n, round(avg((ptop = parent)::INT) FILTER (prep), 6) AS parent_accuracy FROM m3 GROUP BY ALL""", ("cmd",))
 def cluster_mean_metrics(spark, sf):
     rows, parents = rows_and_classes(spark, sf)
     out = de.cluster_mean_decisions(rows, RUN, list(parents), parents)[0]
