@@ -35,16 +35,23 @@ class Level:
     seed: int
 
     def holds(self, key: Column) -> Column:
-        words = F.lit(self.words)
-        tests = [F.call_function("shiftright", F.get(words, (p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(1) == 1 for p in positions(key, len(self.words) * 64, self.seed)]
-        return reduce(lambda a, b: a & b, tests)
+        size, words = len(self.words) * 64, F.lit(self.words)
 
+        def bit(at: Column) -> Column:
+            return F.call_function("shiftright", F.get(words, (at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(1) == 1
 
-def positions(key: Column, bits: int, seed: int) -> list[Column]:
+        return F.forall(positions(key, size, self.seed), bit)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the optimizer doesn't copy it to every place of use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def positions(key: Column, bits: int, seed: int) -> Column:
     """Double hashing: the bits of a key in a filter of ``bits`` bits."""
-    one = F.pmod(F.xxhash64(key, F.lit(2 * seed)), F.lit(bits))
-    two = F.pmod(F.xxhash64(key, F.lit(2 * seed + 1)), F.lit(bits))
-    return [F.pmod(one + i * two, F.lit(bits)) for i in range(HASHES)]
+    pair = F.struct(F.pmod(F.xxhash64(key, F.lit(2 * seed)), F.lit(bits)).alias("one"), F.pmod(F.xxhash64(key, F.lit(2 * seed + 1)), F.lit(bits)).alias("two"))
+    return let(pair, lambda h: F.array(*[F.pmod(h["one"] + i * h["two"], F.lit(bits)) for i in range(HASHES)]))
 
 
 def fit_level(keys: DataFrame, seed: int) -> Level | None:
@@ -55,7 +62,7 @@ def fit_level(keys: DataFrame, seed: int) -> Level | None:
     if count > MAX_KEYS * (1 if seed == 0 else 4):
         raise ValueError(f"{count} keys in level {seed}: the filters go into the plan, at most {MAX_KEYS} listed keys")
     size = max(1, -(-count * BITS // 64))
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), size * 64, seed))).alias("at"))
+    at = keys.select(F.explode(positions(F.col("key"), size * 64, seed)).alias("at"))
     found = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
     words = [0] * size
     for row in found.collect():  # one row a word of the filter
@@ -89,21 +96,29 @@ def fit_cascade(keys: DataFrame, universe: DataFrame) -> list[Level]:
     raise ValueError("the cascade doesn't end")
 
 
-def url_parts(url: Column) -> tuple[Column, Column]:
+def url_parts(url: Column) -> Column:
     """Host (A-Z lower-cased) and path of a url; both empty if null or without ``://``."""
-    text = F.coalesce(url, F.lit(""))
-    return F.translate(F.regexp_extract(text, "://([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(text, "://[^/?#]*([^?#]*)", 1)
 
+    def parts(text: Column) -> Column:
+        host = F.translate(F.regexp_extract(text, "://([^/?#]*)", 1), UPPER, LOWER)
+        return F.struct(host.alias("host"), F.regexp_extract(text, "://[^/?#]*([^?#]*)", 1).alias("path"))
 
-def candidates(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
+    return let(F.coalesce(url, F.lit("")), parts)
+
+
+def candidates(parts: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The keys by which some rule could fit."""
     labels = sorted({h.count(".") + 1 for _, h, _ in rules})
     lengths = sorted({len(p) for _, _, p in rules})
-    parts = F.when(host == "", 0).otherwise(F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1)
-    return F.array(*[
-        F.when((parts >= k) & (F.length(path) >= n), F.concat(F.substring_index(host, ".", -k), F.substring(path, 1, n)))
-        for k in labels for n in lengths
-    ])
+
+    def ends(p: Column) -> Column:
+        found = F.array(*[F.when(p["labels"] >= k, F.substring_index(p["host"], ".", -k)) for k in labels])
+        starts = F.array(*[F.when(F.length(p["path"]) >= n, F.substring(p["path"], 1, n)) for n in lengths])
+        pairs = F.transform(found, lambda host: F.transform(starts, lambda path: F.concat(host, path)))
+        return F.filter(F.flatten(pairs), lambda key: key.isNotNull())
+
+    dots = F.length(parts["host"]) - F.length(F.replace(parts["host"], F.lit("."), F.lit("")))
+    return let(F.struct(parts["host"].alias("host"), parts["path"].alias("path"), F.when(parts["host"] == "", 0).otherwise(dots + 1).alias("labels")), ends)
 
 
 def longest(keys: Column, levels: list[Level]) -> Column:
@@ -117,20 +132,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     ``rules``: (allow or block, host, path). No rules: every url gets ``fallback``.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = url_parts(F.col(url))
-    rows = pages.select(*kept, host.alias("host"), path.alias("path"))
     if not rules:
-        return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(fallback).alias("verdict"))
-    spark = pages.sparkSession
-    own = {v: spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "key string") for v in ("allow", "block")}
-    every = pages.select(host.alias("host"), path.alias("path"))
-    universe = every.select(F.explode(candidates(F.col("host"), F.col("path"), rules)).alias("key"))
-    cascades = {v: fit_cascade(keys, universe) for v, keys in own.items()}
-    fits = rows.withColumn("_keys", F.filter(candidates(F.col("host"), F.col("path"), rules), lambda k: k.isNotNull()))
-    best = {v: longest(F.col("_keys"), levels) for v, levels in cascades.items()}
-    fits = fits.select("*", best["allow"].alias("_allow"), best["block"].alias("_block")).drop("_keys")
-    blocked = F.col("_block").isNotNull() & (F.col("_allow").isNull() | (F.col("_block.n") >= F.col("_allow.n")))
-    return fits.select(
-        *kept, "host", "path", F.when(blocked, F.col("_block.key")).otherwise(F.col("_allow.key")).alias("rule"),
-        F.when(blocked, F.lit("block")).when(F.col("_allow").isNotNull(), F.lit("allow")).otherwise(F.lit(fallback)).alias("verdict"),
-    )
+        cascades = {"allow": [], "block": []}
+    else:
+        spark = pages.sparkSession
+        own = {v: spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "key string") for v in ("allow", "block")}
+        universe = pages.select(F.explode(let(url_parts(F.col(url)), lambda p: candidates(p, rules))).alias("key"))
+        cascades = {v: fit_cascade(keys, universe) for v, keys in own.items()}
+
+    def verdict(parts: Column) -> Column:
+        keys = candidates(parts, rules) if rules else F.array().cast("array<string>")
+        best = let(keys, lambda k: F.struct(longest(k, cascades["allow"]).alias("allow"), longest(k, cascades["block"]).alias("block")))
+        return let(best, lambda b: F.struct(parts["host"].alias("host"), parts["path"].alias("path"), *decide(b, fallback)))
+
+    return pages.withColumn("_judged", let(url_parts(F.col(url)), verdict)).select(*kept, "_judged.*")
+
+
+def decide(best: Column, fallback: str) -> list[Column]:
+    blocked = best["block"].isNotNull() & (best["allow"].isNull() | (best["block"]["n"] >= best["allow"]["n"]))
+    return [
+        F.when(blocked, best["block"]["key"]).otherwise(best["allow"]["key"]).alias("rule"),
+        F.when(blocked, F.lit("block")).when(best["allow"].isNotNull(), F.lit("allow")).otherwise(F.lit(fallback)).alias("verdict"),
+    ]
