@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bitplanes, packing, url_cascade
+from kinfold.llm import bitplanes, fingerprints, packing, url_cascade
 from kinfold.llm.common import new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -40,3 +40,8 @@ def bitplane_ids(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "ids")
     bitplanes.write_ids(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return bitplanes.read_documents(spark, path)
+
+
+@query("op6_simhash_groups")
+def simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.near_duplicates(table(spark, sf, "documents"))
