@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm import bitplanes, fingerprints, packing, url_cascade
-from kinfold.llm.common import new_path, query
+from kinfold.llm import bitplanes, fingerprints, language, packing, toxicity, url_cascade
+from kinfold.llm.common import crc_fold, new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -45,3 +46,19 @@ def bitplane_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_simhash_groups")
 def simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op4_language_spans")
+def language_spans(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fold = crc_fold("doc_id", 4)
+    model = language.fit(docs.filter(fold != 2))
+    return language.identify(docs, model, keep=((F.coalesce(fold == 2, F.lit(False))).alias("held_out"),)).drop("spans")
+
+
+@query("op7_toxicity_trees")
+def toxicity_trees(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    fold = crc_fold("doc_id", 3)
+    model = toxicity.fit(docs, labels.filter(fold != 1))
+    return toxicity.score(docs, model, keep=("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out")))
