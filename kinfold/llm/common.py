@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """Add a 64-bit key of each row's place in its file; a table that isn't read from files is staged first."""
+    try:
+        place = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        place.schema  # noqa: B018  resolves the file's own columns
+        return place
+    except AnalysisException:
+        staged = stage(docs, "rows")
+        return staged.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice has about ``limit`` bytes; one row longer than that comes alone."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import small_batches, stage, text_slices
+from kinfold.llm.common import small_batches, stage, text_slices, with_row_key
 from kinfold.llm.components import components
 
 BLOCK = 4096
@@ -70,24 +70,29 @@ def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, lanes: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``f0..``: the lanes as signed 64-bit integers. ``distinct``: a shingle counts once a text."""
+    """``doc_id``, ``content`` (a hash of the word sequence) and ``f0..``: the lanes as signed 64-bit integers.
+
+    ``distinct``: a shingle counts once a text.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in text_slices(batches, 8_000_000):
-            out = np.zeros((batch.num_rows, lanes), "<u8")
+            out, content = np.zeros((batch.num_rows, lanes), "<u8"), np.zeros(batch.num_rows, "<u8")
             for row, text in enumerate(batch.column(1).to_pylist()):
-                found = shingles(words_of(text), size)
+                words = words_of(text)
+                found = shingles(words, size)
+                content[row] = xxh64_intdigest(b" ".join(words))
                 hashes = np.fromiter((xxh64_intdigest(x, seed) for x in (set(found) if distinct else found)), np.uint64)
                 for lane in range(lanes):
                     out[row, lane] = majority_bits(mixed(hashes, lane))[0]
-            columns = [batch.column(0)] + [pa.array(np.ascontiguousarray(out[:, k]).view("<i8")) for k in range(lanes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id"] + [f"f{k}" for k in range(lanes)])
+            columns = [batch.column(0), pa.array(content.view("<i8"))] + [pa.array(np.ascontiguousarray(out[:, k]).view("<i8")) for k in range(lanes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content"] + [f"f{k}" for k in range(lanes)])
 
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(compute, ", ".join(["doc_id long"] + [f"f{k} long" for k in range(lanes)]))
+    return chosen.mapInArrow(compute, ", ".join(["doc_id long", "content long"] + [f"f{k} long" for k in range(lanes)]))
 
 
 def grid(points: DataFrame, lanes: int) -> DataFrame:
@@ -215,7 +220,7 @@ def links(points: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id that links reach."""
-    prints = stage(fingerprints(docs, size, seed, id_col=id_col, text_col=text_col), "prints")
+    prints = stage(fingerprints(docs, size, seed, id_col=id_col, text_col=text_col).drop("content"), "prints")
     points = stage(prints.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("key", F.col("f0")), "points")
     groups = components(stage(links(points, radius).select("a", "b").distinct(), "links"))  # key -> root, for linked points only
     members = groups.join(points, groups["node"] == points["key"]).select("node", "root", "least")
@@ -224,3 +229,47 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int
     own = points.select("f0", "least")
     places = own.join(named, "f0", "left").select("f0", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(places, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_table(texts: DataFrame, size: int) -> DataFrame:
+    """``key`` and the distinct hashes of the shingles of ``text``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in text_slices(batches, 4_000_000):
+            rows = [np.array(list({xxh64_intdigest(x) for x in shingles(words_of(t), size)}), np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], names=["key", "parts"])
+
+    small_batches(texts.sparkSession)
+    return texts.select("key", "text").mapInArrow(cut, "key long, parts array<long>")
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest id stays.
+
+    Near copies share at least ``similarity`` (Jaccard) of their distinct shingles of ``size`` words. A few
+    changed words change many shingles but few words, so candidates come from fingerprints over the
+    distinct words, of ``lanes`` x 64 bits and within ``radius`` bits; the links left by the grid join
+    are then checked exactly on the shingles. Texts with the same words in the same order are copies;
+    those without words (null, empty, blank) are copies of each other. Null ids yield to others.
+    """
+    rows = with_row_key(docs.select("*"), "_row")
+    names = [f"f{k}" for k in range(lanes)]
+    keyed = rows.select(F.col("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    prints = fingerprints(keyed, 1, 42, lanes, True, "_row", "_text").withColumnRenamed("doc_id", "_row")
+    ids = keyed.select("_row", "_id")
+    whole = stage(prints, "prints")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
+    points = stage(whole.join(ids, "_row").groupBy("content").agg(first, *[F.min(n).alias(n) for n in names]).withColumnRenamed("content", "key"), "points")
+    near = stage(links(points, radius, lanes).select("a", "b").distinct(), "links")
+    nodes = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    wanted = points.select("key", F.col("first._row").alias("_row")).join(nodes, "key")
+    parts = stage(shingle_table(keyed.join(wanted, "_row").select("key", F.col("_text").alias("text")), size), "parts")
+    pairs = near.join(parts.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(parts.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    sure = pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    groups = components(sure)
+    placed = points.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    stay = placed.groupBy(F.coalesce("root", "key").alias("group")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").drop("_row")

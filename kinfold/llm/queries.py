@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bitplanes, fingerprints, language, packing, toxicity, url_cascade
+from kinfold.llm import bitplanes, fingerprints, language, norm_buckets, packing, posting_lists, toxicity, url_cascade
 from kinfold.llm.common import crc_fold, new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -62,3 +62,23 @@ def toxicity_trees(spark: SparkSession, sf: str) -> DataFrame:
     fold = crc_fold("doc_id", 3)
     model = toxicity.fit(docs, labels.filter(fold != 1))
     return toxicity.score(docs, model, keep=("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out")))
+
+
+def every_fiftieth(vec_id):
+    return vec_id % 50 == 0
+
+
+@query("op1_posting_lists")
+def posting_list_search(spark: SparkSession, sf: str) -> DataFrame:
+    return posting_lists.search(table(spark, sf, "embeddings"), every_fiftieth)
+
+
+@query("op5_norm_buckets", """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'max') = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def norm_bucket_search(spark: SparkSession, sf: str) -> DataFrame:
+    return norm_buckets.search(table(spark, sf, "embeddings"), every_fiftieth)
