@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bitplanes, fingerprints, language, norm_buckets, packing, posting_lists, toxicity, url_cascade
+from kinfold.llm import bitplanes, fingerprints, katz, language, norm_buckets, packing, posting_lists, toxicity, url_cascade
 from kinfold.llm.common import crc_fold, new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -82,3 +82,8 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
 def norm_bucket_search(spark: SparkSession, sf: str) -> DataFrame:
     return norm_buckets.search(table(spark, sf, "embeddings"), every_fiftieth)
+
+
+@query("op8_katz_scores")
+def katz_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return katz.score(table(spark, sf, "documents"), crc_fold("doc_id", 7) == 2)
