@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bitplanes, fingerprints, katz, language, norm_buckets, packing, posting_lists, toxicity, url_cascade
+from kinfold.llm import bitplanes, fingerprints, katz, language, norm_buckets, packing, posting_lists, suffix_pieces, toxicity, url_cascade
 from kinfold.llm.common import crc_fold, new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -87,3 +87,14 @@ def norm_bucket_search(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_katz_scores")
 def katz_scores(spark: SparkSession, sf: str) -> DataFrame:
     return katz.score(table(spark, sf, "documents"), crc_fold("doc_id", 7) == 2)
+
+
+@query("op10_suffix_pieces")
+def suffix_pieces_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, and whether decoding gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    plain = F.translate(F.coalesce("text", F.lit("")), suffix_pieces.META, " ")
+    encoded = suffix_pieces.encode(docs, model, ("doc_id", F.crc32(plain.cast("binary")).alias("_crc")))
+    out = suffix_pieces.decode(encoded, model)
+    return out.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), (F.crc32(F.col("decoded").cast("binary")) == F.col("_crc")).alias("round_trip"))
