@@ -4,8 +4,8 @@ Fitting learns from at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean labelled
 hash of the id. From their words and word beginnings it takes a lexicon (``TERMS`` at most) of what
 stands in toxic texts far more often than in clean ones; features are densities of its terms, how
 near they stand to a second-person word, capitals, punctuation, digits and obfuscated words
-(symbols or digits within letters, read back to letters). Trees learn from three quarters of the
-sample, the calibration from the rest.
+(symbols or digits within letters, read back to letters). The calibration learns from each half of the
+sample as scored by trees of the other half; the trees that stay learn from all of it.
 
 Null and empty texts have features of zero and a score like any other. With labels of one kind only
 the score is that label; with none it is 0. Repeated label rows of an id count as toxic if one is.
@@ -13,6 +13,7 @@ the score is that label; with none it is 0. Repeated label rows of an id count a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import small_batches, stage, text_slices
 
-FIT_TOXIC, FIT_CLEAN, TERMS, LIMIT = 8_000, 16_000, 2_000, 0.7
+FIT_TOXIC, FIT_CLEAN, TERMS, CHANCE, LIMIT = 8_000, 16_000, 2_000, 8.0, 0.7
 BEGINNINGS, NEAR, PARTS = range(4, 8), 5, 16
 EDGES = ".,;:!?\"'()[]{}<>|*%$&#@+-_=/\\~^`…«»“”„’‘¿¡"
 #: Second-person words and what obfuscating characters stand for.
@@ -123,7 +124,9 @@ def fit_lexicon(sample: DataFrame) -> Lexicon:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     terms = sample.select("text", F.col("toxic").cast("int")).mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    good = terms.filter(F.col("t") >= max(3, 0.001 * toxic)).withColumn("odds", odds).filter(F.col("odds") >= 3)
+    # a term that only chance puts into toxic texts alone is in few of them: share^t stays below e^-CHANCE
+    least = CHANCE / math.log((toxic + clean + 1) / (toxic + 0.5))
+    good = terms.filter(F.col("t") >= max(3, 0.001 * toxic, least)).withColumn("odds", odds).filter(F.col("odds") >= 3)
     top = good.orderBy(F.desc("t"), "term").limit(TERMS).collect()  # the lexicon: TERMS at most
     often = [r for r in top if r["t"] >= 0.01 * toxic]
     return Lexicon(
@@ -157,16 +160,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(none, None, None, float(max(kinds, default=0)))
     lexicon = fit_lexicon(sample)
     table = stage(assembled(featurize(sample, lexicon, (F.col("_h"), F.col("toxic").cast("double").alias("toxic")))).select("_h", "toxic", "features"), "toxic")
-    apart = F.pmod(F.xxhash64("_h", F.lit(11)), F.lit(4)) == 0
-    learn, hold = table.filter(~apart), table.filter(apart)
-    if learn.select("toxic").distinct().count() < 2 or hold.select("toxic").distinct().count() < 2:
-        learn = hold = table  # too few rows to part them
-    trees = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=15, maxDepth=3, stepSize=0.3, seed=7).fit(learn)
-    scored = trees.transform(hold).select(vector_to_array("probability")[1].alias("raw"), "toxic")
-    curve = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="score").fit(scored)
+    half = F.pmod(F.xxhash64("_h", F.lit(11)), F.lit(2))
+    halves = [table.filter(half == k) for k in range(2)]
+    if any(part.select("toxic").distinct().count() < 2 for part in halves):
+        halves = [table, table]  # too few rows to part them
+    # each half is scored by trees that haven't seen it, for the calibration; the trees kept learn from all
+    fitted = [grow(part) for part in halves]
+    scored = [fitted[1 - k].transform(part).select(vector_to_array("probability")[1].alias("raw"), "toxic") for k, part in enumerate(halves)]
+    trees = grow(table)
+    curve = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="score").fit(scored[0].unionByName(scored[1]))
     return Model(lexicon, trees, curve, 0.0)
 
 
+def grow(table: DataFrame) -> GBTClassificationModel:
+    return GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=12, maxDepth=3, stepSize=0.3, minInstancesPerNode=3, seed=7).fit(table)
+
+
 def assembled(table: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[f"_{f}" for f in FEATURES], outputCol="features").transform(table).drop(*[f"_{f}" for f in FEATURES])
 
