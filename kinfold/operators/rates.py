@@ -122,11 +122,16 @@ def average_over_folds(ood: DataFrame, keys: Sequence[str], values: Sequence[str
 
 
 def cluster_scores(df: DataFrame, keys: Sequence[str], score: str = "confidence") -> DataFrame:
-    """Mean score per cluster and side (known or unknown): the input of the ranking metrics."""
+    """Mean score per cluster and side (known or unknown): the input of the ranking metrics.
+
+    Scores are added as decimals and the mean is rounded to 12 digits, so that it doesn't depend on the
+    order of the rows and equal means tie.
+    """
+    mean = F.sum(_double(score).cast("decimal(38,15)")).cast("double") / F.count(score)
     return (
         df.filter(F.col("role").isin("test_known", "test_ood"))
         .groupBy(*keys, "cluster_id", (F.col("role") == "test_ood").alias("is_ood"))
-        .agg(F.avg(_double(score)).alias(score))
+        .agg(F.round(mean, 12).alias(score))
     )
 
 

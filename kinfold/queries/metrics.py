@@ -237,7 +237,7 @@ def seed_scores(spark, sf):
     return rounded(out, "macro_f1", "balanced_accuracy", "top3_accuracy", "log_loss", "brier", "known_acceptance")
 
 
-define("det", """dsc AS (SELECT design, model, seed, cluster_id, (role = 'test_ood')::INT AS pos, avg(confidence) AS s FROM predictions WHERE role <> 'calibration' GROUP BY ALL),
+define("det", """dsc AS (SELECT design, model, seed, cluster_id, (role = 'test_ood')::INT AS pos, round(sum(CAST(confidence AS DECIMAL(38, 15)))::DOUBLE / count(confidence), 12) AS s FROM predictions WHERE role <> 'calibration' GROUP BY ALL),
 dg AS (SELECT design, model, seed, s, sum(pos) AS p, sum(1 - pos) AS n FROM dsc GROUP BY ALL),
 dc AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY design, model, seed) AS pp, sum(n) OVER (PARTITION BY design, model, seed) AS nn FROM dg
   WINDOW w AS (PARTITION BY design, model, seed ORDER BY s ROWS UNBOUNDED PRECEDING))""", ("preds",))
@@ -338,7 +338,7 @@ mk AS (SELECT * FROM mall WHERE role = 'test_known'), mo AS (SELECT * FROM mall
 @query("run_metrics", """+ kc AS (SELECT design, seed, cluster_id, avg(accepted::INT) AS a FROM mk GROUP BY ALL), ka AS (SELECT design, seed, avg(a) AS known_acceptance FROM kc GROUP BY ALL),
 oc AS (SELECT design, seed, ood_distance, label, cluster_id, avg(accepted::INT) AS a FROM mo GROUP BY ALL), ol AS (SELECT design, seed, ood_distance, label, avg(a) AS a FROM oc GROUP BY ALL),
 oa AS (SELECT design, seed, avg(a) AS ood_false_accept, avg(a) FILTER (ood_distance = 'near') AS near_false_accept, avg(a) FILTER (ood_distance = 'far') AS far_false_accept FROM ol GROUP BY ALL),
-s AS (SELECT design, seed, (role = 'test_ood')::INT AS pos, cluster_id, avg(confidence) AS s FROM (SELECT * FROM mk UNION ALL SELECT * FROM mo) GROUP BY ALL),
+s AS (SELECT design, seed, (role = 'test_ood')::INT AS pos, cluster_id, round(sum(CAST(confidence AS DECIMAL(38, 15)))::DOUBLE / count(confidence), 12) AS s FROM (SELECT * FROM mk UNION ALL SELECT * FROM mo) GROUP BY ALL),
 g AS (SELECT design, seed, s, sum(pos) AS p, sum(1 - pos) AS n FROM s GROUP BY ALL),
 c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY design, seed) AS pp, sum(n) OVER (PARTITION BY design, seed) AS nn FROM g WINDOW w AS (PARTITION BY design, seed ORDER BY s ROWS UNBOUNDED PRECEDING)),
 d AS (SELECT design, seed, sum(n * (tp - p + 0.5e0 * p) / pp / nn) AS auroc, sum(p * 1e0 / pp * tp / (tp + fp)) AS auprc, min(fp * 1e0 / nn) FILTER (tp >= 0.95e0 * pp) AS fpr_at_tpr FROM c GROUP BY ALL),
