@@ -126,9 +126,9 @@ def reports(spark, sf):
 
 
 @query("hierarchical_report", """SELECT design, seed, fold, row_id, array_to_string(ls, ',') AS label_set, CAST(len(ls) AS INTEGER) AS label_set_size, array_to_string(ps, ',') AS parent_set, CAST(len(ps) AS INTEGER) AS parent_set_size,
-accepted, reported_level, reported_label FROM rep WHERE role <> 'test_ood'""", ("dec",))
+accepted, reported_level, reported_label FROM rep""", ("dec",))
 def hierarchical_report(spark, sf):
-    out = reports(spark, sf)[0].filter("role != 'test_ood'")
+    out = reports(spark, sf)[0]
     text = lambda c: F.array_join(c, ",").alias(c)
     return out.select(*RUN, "row_id", text("label_set"), "label_set_size", text("parent_set"), "parent_set_size", "accepted", "reported_level", "reported_label")
 
@@ -139,9 +139,9 @@ def decisions(spark, sf):
 
 @query("corrected_decisions", """SELECT design, seed, fold, row_id, predicted, parent_argmax, conf AS confidence_only_accept, len(ls) = 1 AS singleton, cs AS corrected_singleton, accepted AS legacy_accept, ca AS corrected_accept,
 reported_level = 'parent' AS legacy_parent_report, cp AS corrected_parent_report, cl AS corrected_level, ct AS corrected_label, list_contains(ls, label) AS set_contains_true, list_contains(ps, parent) AS parent_set_contains_true,
-CASE cl WHEN 'label' THEN ct = label WHEN 'parent' THEN ct = parent ELSE false END AS corrected_any_correct FROM dec WHERE role <> 'test_ood'""", ("dec",))
+CASE cl WHEN 'label' THEN ct = label WHEN 'parent' THEN ct = parent ELSE false END AS corrected_any_correct FROM dec""", ("dec",))
 def corrected_decisions(spark, sf):
-    return decisions(spark, sf).filter("role != 'test_ood'").select(
+    return decisions(spark, sf).select(
         *RUN, "row_id", "predicted", "parent_argmax", "confidence_only_accept", "singleton", "corrected_singleton", "legacy_accept", "corrected_accept",
         "legacy_parent_report", "corrected_parent_report", "corrected_level", "corrected_label", "set_contains_true", "parent_set_contains_true", "corrected_any_correct")
 

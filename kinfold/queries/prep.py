@@ -83,11 +83,10 @@ def dataset_summary(spark, sf):
 
 
 @query("label_counts", """SELECT s_name AS label, coalesce(count(DISTINCT l_partkey), 0) AS observed_clusters, count(l_orderkey) AS observed_rows
-FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50) ON l_suppkey = s_suppkey GROUP BY s_name""")
+FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_name""")
 def label_counts(spark, sf):
     names = table(spark, sf, "supplier", "s_suppkey", "s_name")
-    seen = table(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_returnflag", "l_quantity").filter(
-        "l_returnflag = 'R' AND l_quantity >= 50").join(names, F.col("l_suppkey") == F.col("s_suppkey"))
+    seen = table(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_orderkey").join(names, F.col("l_suppkey") == F.col("s_suppkey"))
     seen = seen.select(F.col("s_name").alias("label"), F.col("l_partkey").alias("cluster_id"), F.col("l_orderkey").alias("row_id"))
     return mf.label_counts(names.select(F.col("s_name").alias("label")), seen)
 
@@ -315,7 +314,7 @@ def label_types(spark, sf):
     part = table(spark, sf, "part", "p_partkey", "p_name", "p_size")
     name = F.when(F.col("p_size") > 40, F.concat(tx.first_token(F.col("p_name")), F.lit(" sp."))).when(
         F.col("p_size") > 35, F.concat("p_name", F.lit(" x"))).otherwise(F.col("p_name"))
-    named = part.withColumn("name", F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1000)))
+    named = part.withColumn("name", F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2))))
     return named.select("p_partkey", tx.label_type(F.col("name")).alias("label_type"), tx.is_explicit_binomial(F.col("name")).alias("explicit"))
 
 
@@ -352,7 +351,7 @@ def acquisition_tags(spark, sf):
 def taxonomy_numbers(spark, sf):
     part = table(spark, sf, "part", "p_partkey", "p_size", "p_brand")
     uie = F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise("")
-    return part.select("p_partkey", tx.taxonomy_number(uie, F.substring("p_brand", 7, 10)).alias("taxid"))
+    return part.select("p_partkey", tx.taxonomy_number(uie, F.substr(F.col("p_brand"), F.lit(7))).alias("taxid"))
 
 
 @query("file_categories", """SELECT page_id, CASE WHEN p LIKE '%.xlsx' AND p LIKE '%taxonomy%' THEN 'taxonomy' WHEN p LIKE '%metadata.pdf' THEN 'metadata'
@@ -370,7 +369,7 @@ CAST(NULL AS VARCHAR) AS repeated FROM g""", ("rows_",))
 def label_sets(spark, sf):
     sets = rows(spark, sf).groupBy("cluster_id").agg(F.collect_set("source").alias("s"))
     texts = sets.select("cluster_id", ar.sorted_json(F.col("s")).alias("text"))
-    twice = F.concat(F.lit('["a","a",'), F.substring("text", 2, 10000))
+    twice = F.concat(F.lit('["a","a",'), F.substr(F.col("text"), F.lit(2)))
     return texts.select(
         "cluster_id", "text", F.size(ar.parse_label_set(F.col("text"))).alias("parsed_size"),
         ar.only_member(ar.parse_label_set(F.col("text"))).alias("only_label"), ar.parse_label_set(twice).cast("string").alias("repeated"),

@@ -235,17 +235,17 @@ def coverage_violations(spark, sf):
     return au.coverage_violations(left, table(spark, sf, "lineitem", "l_orderkey").toDF("row_id"), "row_id")
 
 
-@query("ledger_reconciliation", """+ d AS (SELECT url || '#' || page_id AS path, length(html) AS b, sha256(html) AS s FROM pages WHERE page_id % 11 <> 0),
-a AS (SELECT url || '#' || page_id AS path, length(html) + CASE WHEN page_id % 13 = 0 THEN 1 ELSE 0 END AS b, sha256(html || CASE WHEN page_id % 17 = 0 THEN 'x' ELSE '' END) AS s FROM pages WHERE page_id % 7 <> 0)
+@query("ledger_reconciliation", """+ d AS (SELECT url || '#' || page_id AS path, octet_length(encode(html)) AS b, sha256(html) AS s FROM pages WHERE page_id % 11 <> 0),
+a AS (SELECT url || '#' || page_id AS path, octet_length(encode(html)) + CASE WHEN page_id % 13 = 0 THEN 1 ELSE 0 END AS b, sha256(html || CASE WHEN page_id % 17 = 0 THEN 'x' ELSE '' END) AS s FROM pages WHERE page_id % 7 <> 0)
 SELECT path, d.b AS declared_bytes, d.s AS declared_sha256, a.b AS actual_bytes, a.s AS actual_sha256, CASE WHEN a.s IS NULL THEN 'missing' WHEN d.s IS NULL THEN 'extra' ELSE 'changed' END AS status
 FROM d FULL JOIN a USING (path) WHERE a.s IS NULL OR d.s IS NULL OR a.s <> d.s OR a.b <> d.b""")
 def ledger_reconciliation(spark, sf):
     from kinfold.queries.base import table
     p, pages = F.col("page_id"), table(spark, sf, "pages")
     path = F.concat("url", F.lit("#"), p.cast("string")).alias("path")
-    declared = pages.filter(p % 11 != 0).select(path, F.length("html").alias("bytes"), F.sha2("html", 256).alias("sha256"))
+    declared = pages.filter(p % 11 != 0).select(path, F.octet_length("html").alias("bytes"), F.sha2("html", 256).alias("sha256"))
     actual = pages.filter(p % 7 != 0).select(
-        path, (F.length("html") + F.when(p % 13 == 0, 1).otherwise(0)).alias("bytes"),
+        path, (F.octet_length("html") + F.when(p % 13 == 0, 1).otherwise(0)).alias("bytes"),
         F.sha2(F.concat("html", F.when(p % 17 == 0, "x").otherwise("")), 256).alias("sha256"))
     return au.reconcile(declared, actual)
 
