@@ -1,8 +1,10 @@
-"""Session settings and durable checkpoints."""
+"""Session settings and tables staged in the shared folder."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +26,28 @@ def build_session(app: str = "kinfold", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder only when none is set."""
-    context = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; a scratch folder only in a single JVM without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor never forces a replay of the loop."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table into the shared folder and read it again.
+
+    It cuts the lineage, so a lost executor never forces a replay of a loop; as Parquet it also keeps
+    column pruning, pushed filters and sizes for the plans that follow.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
