@@ -1,8 +1,8 @@
 """Template and centroid scoring.
 
 Long-form features are scored by a sparse product (join on bin, sum). Dense array
-features are scored in Arrow batches against template blocks whose size is fixed
-before they are sent to the tasks; more templates mean more blocks, never a larger one.
+features are scored block against block: blocks of rows and of templates of a fixed size meet
+in a task; more rows or templates mean more blocks, never larger ones.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kinfold.operators.features import explode_vectors
 from kinfold.operators.ranking import _null_safe_join
 
-BLOCK_CELLS = 4_000_000  # cells of one template block: 32 MB of doubles on the driver and in each task
+BLOCK_CELLS = 4_000_000  # cells of one block of templates or rows: 32 MB of doubles in a task
 
 
 def cluster_templates(features: DataFrame, rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -162,37 +162,42 @@ def dense_label_scores(queries: DataFrame, templates: DataFrame, keys: Sequence[
                        block_cells: int = BLOCK_CELLS) -> DataFrame:
     """Label scores (best template, its cluster) of array features: ``(keys, row_id, label, score, cluster_id)``.
 
-    ``templates``: keys, label, cluster_id, template. Their number and length are
-    counted first. They go out in blocks of at most ``block_cells`` cells; each block is
-    one pass over the queries that keeps one entry per (row, label), and the passes are
-    reduced by minimum. The result does not depend on the block size.
+    ``templates``: keys, label, cluster_id, template. Both sides are counted and cut into parts of about
+    ``block_cells`` cells by a hash; each part of the rows meets each block of templates in one task, which
+    keeps one entry per (row, label), and the entries are reduced by minimum. The driver holds no template,
+    and the result does not depend on the block size.
     """
     keys = list(keys)
     shape = templates.agg(F.count("*").alias("n"), F.max(F.size("template")).alias("d")).first()
     if not shape["n"]:
         raise ValueError("there are no templates to score against")
     blocks = max(1, -(-shape["n"] * shape["d"] // block_cells))
-    numbered = templates.withColumn("__block", F.pmod(F.xxhash64(*keys, "cluster_id", "label"), F.lit(blocks)))
-    if blocks > 1:
-        numbered = numbered.persist()
+    chunks = max(1, -(-queries.count() * shape["d"] // block_cells))
+    meet = ("__block", "__chunk")
+    known = templates.select(
+        *keys, "label", "cluster_id", "template", F.pmod(F.xxhash64(*keys, "cluster_id", "label"), F.lit(blocks)).alias("__block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("__chunk"))
+    asked = queries.select(
+        *keys, "row_id", vector, F.pmod(F.xxhash64(*keys, "row_id"), F.lit(chunks)).alias("__chunk"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
     fields = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
     kinds = {f.name: f.dataType.simpleString() for f in templates.schema.fields}
     schema = ", ".join(
         [f"row_id {fields['row_id']}", f"label {kinds['label']}", "score double", f"cluster_id {kinds['cluster_id']}"]
         + [f"{k} {fields[k]}" for k in keys]
     )
-    rows = queries.select(*keys, "row_id", vector)
-    parts = []
-    for number in range(blocks):
-        block = numbered.filter(F.col("__block") == number).drop("__block").toPandas()
-        if len(block):
-            parts.append(rows.mapInPandas(_block_scores(block, keys, vector), schema))
-    if blocks > 1:
-        numbered.unpersist()
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    return best_per_label(scores, keys) if len(parts) > 1 else scores.select(*keys, "row_id", "label", "score", "cluster_id")
+    names = [part.split(" ", 1)[0] for part in schema.split(", ")]
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        step = max(1, block_cells // len(right))
+        parts = _block_scores(right, keys, vector)(left.iloc[at : at + step] for at in range(0, len(left), step))
+        found = list(parts)
+        return pd.concat(found)[names] if found else pd.DataFrame(columns=names)
+
+    scores = asked.groupBy(*meet).cogroup(known.groupBy(*meet)).applyInPandas(score, schema)
+    return best_per_label(scores, keys)
 
 
 def centroid_scores(queries: DataFrame, centroids: DataFrame, keys: Sequence[str] = (), vector: str = "vector",
