@@ -148,19 +148,18 @@ def reproduction_violations(decisions: DataFrame) -> DataFrame:
 def decision_summary(decisions: DataFrame, keys: Sequence[str], explicit: Column | None = None) -> DataFrame:
     """Counts, report accuracies and mean set size per run and population.
 
-    Reduced to clusters first, then copied to populations, then summed by label and by
+    Reduced to rows and clusters first, then copied to populations, then summed by label and by
     run; a cluster belongs to one label, so every distinct count is a plain sum.
     """
     flags = [f"{rule}_{name}" for rule in ("legacy", "corrected")
              for name in ("accept", "label_correct", "parent_report", "parent_correct", "any_correct")]
     group = [*keys, *rt.TRAITS]
-    per = decisions.groupBy(*group).agg(
+    # one pass: rows that repeat an id are added up, then each id of a cluster counts once
+    rows = decisions.groupBy(*group, "row_id").agg(
         F.count("*").alias("n_rows"), F.sum("label_set_size").alias("set_size"),
         *[F.sum(F.col(f).cast("long")).alias(f) for f in flags],
     )
-    # distinct ids are counted on a narrow table of their own, so the wide sums still combine map-side
-    unique = decisions.select(*group, "row_id").distinct().groupBy(*group).agg(F.count("*").alias("n_unique_rows"))
-    per = _null_safe_join(per, unique, group)
+    per = rows.groupBy(*group).agg(F.count("*").alias("n_unique_rows"), *[F.sum(c).alias(c) for c in ("n_rows", "set_size", *flags)])
     keys = [*keys, "selector"]
     totals = ["n_rows", "n_unique_rows", "set_size", *flags]
     labels = rt.by_selector(per, explicit).groupBy(*keys, "label").agg(

@@ -12,6 +12,7 @@ from kinfold.operators import calibration as cal
 from kinfold.operators import decisions as de
 from kinfold.operators import rates as rt
 from kinfold.operators.ranking import _null_safe_join
+from kinfold.session import durable
 
 RUN = ("design", "model", "seed", "fold")
 
@@ -35,7 +36,8 @@ def conformal_reports(rows: DataFrame, keys: Sequence[str], class_parent: dict[s
         fitted.withColumn("confidence", F.array_max("probability").cast("double")), keys, "confidence", coverage
     ).drop("n")
     limits = _null_safe_join(cal.pack_thresholds(labels, keys), cal.pack_thresholds(tops, keys, "parent_thresholds"), keys)
-    ready = _null_safe_join(both, _null_safe_join(limits, tau, keys), keys)
+    # one row a run, written once: its measured size lets the planner send it to the rows
+    ready = _null_safe_join(both, durable(_null_safe_join(limits, tau, keys)), keys)
     return de.hierarchical_report(ready, classes, parents), classes, parents
 
 
