@@ -202,3 +202,14 @@ def test_holm_and_p_value(spark):
     assert got == {"a": pytest.approx(0.04), "b": pytest.approx(0.02), "c": None}
     draws = spark.createDataFrame([(0, x) for x in (-1.0, 0.0, 1.0, 2.0)], "k int, v double")
     assert bs.one_sided_p(draws, ["k"], "v").first()["p_value"] == pytest.approx(3 / 5)
+
+
+def test_equal_cluster_means_tie_at_any_partitioning(spark):
+    from kinfold.operators import rates as rt
+
+    orders = ([0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [0.2, 0.3, 0.1], [0.3, 0.1, 0.2])
+    rows = [(1, f"c{k}", "test_ood" if k % 2 else "test_known", s) for k in range(8) for s in orders[k % 4]]
+    df = spark.createDataFrame(rows, "run int, cluster_id string, role string, confidence double")
+    found = {tuple(cv.detection_metrics(rt.cluster_scores(df.repartition(n), ["run"]), ["run"]).first()) for n in (1, 4, 8)}
+    assert len(found) == 1
+    assert cv.detection_metrics(rt.cluster_scores(df, ["run"]), ["run"]).first()["auroc"] == 0.5

@@ -188,3 +188,14 @@ def test_assert_empty(spark):
     assert_empty(spark.range(0), "none")
     with pytest.raises(Violations):
         assert_empty(spark.range(1), "one")
+
+
+def test_write_ledger_checks_runs(spark, tmp_path):
+    from kinfold.sources import writers
+
+    files = spark.createDataFrame([("a.txt", 3)], "path string, bytes long")
+    expected = spark.createDataFrame([(1, 0), (1, 1)], "seed int, fold int")
+    writers.write_ledger(files, expected.withColumn("ok", F.lit(True)), expected, str(tmp_path / "ledger"))
+    assert spark.read.json(str(tmp_path / "ledger" / "expected")).count() == 2
+    with pytest.raises(Violations):
+        writers.write_ledger(files, expected.limit(1).withColumn("ok", F.lit(True)), expected, str(tmp_path / "other"))
