@@ -87,18 +87,6 @@ def parent_probability(df: DataFrame, classes: list[str], class_parent: dict[str
     return df.withColumn(out, ar.grouped_sum(F.col(probability), [class_parent[c] for c in classes], parents)), parents
 
 
-def class_parents(labels: DataFrame, limit: int = 100_000) -> dict[str, str]:
-    """The label -> parent map of a run's classes; refuses ambiguous or oversized maps."""
-    pairs = labels.groupBy("label").agg(F.min("parent").alias("parent"), F.countDistinct("parent").alias("n"))
-    rows = pairs.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} classes; probability arrays are not meant for that")
-    bad = sorted(r["label"] for r in rows if r["n"] > 1)
-    if bad:
-        raise ValueError(f"labels with more than one parent: {bad}")
-    return {r["label"]: r["parent"] for r in rows}
-
-
 def fit_temperature(df: DataFrame, keys: Sequence[str], classes: list[str], logits: str = "logits",
                     weight: str = "weight", steps: int = 41, rounds: int = 4) -> DataFrame:
     """Temperature per run minimising the weighted log loss over log T in [-4, 4].

@@ -20,19 +20,20 @@ from kinfold.session import durable
 
 
 def estimator(name: str, seed: int = 0, **overrides):
-    """A fixed-parameter classifier; overrides shrink it for small data."""
+    """A fixed-parameter classifier; trees grow to Spark's greatest depth of 30, in place of pure leaves."""
     # fixed values: model parameters
     if name == "linear_svm":
-        base = LinearSVC(regParam=overrides.get("regParam", 1e-3), maxIter=overrides.get("maxIter", 50))
+        # Spark averages the loss over the weights: C = 1 is a penalty of one over their sum, which ``fit`` passes
+        base = LinearSVC(regParam=overrides.get("regParam", 1e-3), maxIter=overrides.get("maxIter", 50), standardization=False)
         return OneVsRest(classifier=base, weightCol="weight")
     if name == "tree_ensemble":
         return RandomForestClassifier(
             numTrees=overrides.get("numTrees", 300), featureSubsetStrategy="sqrt", bootstrap=False,
-            minInstancesPerNode=1, maxDepth=overrides.get("maxDepth", 20), seed=seed, weightCol="weight",
+            minInstancesPerNode=1, maxDepth=overrides.get("maxDepth", 30), seed=seed, weightCol="weight",
         )
     if name == "boosted_trees":
         base = GBTClassifier(
-            maxDepth=4, stepSize=0.05, maxIter=overrides.get("maxIter", 200), subsamplingRate=0.8, seed=seed
+            maxDepth=4, stepSize=0.05, maxIter=overrides.get("maxIter", 200), subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
         )
         return OneVsRest(classifier=base, weightCol="weight")
     raise KeyError(f"unknown model: {name}")
@@ -73,6 +74,8 @@ def fit(train: DataFrame, name: str, seed: int = 0, vector: str = "vector", **ov
     """Weighted fit; rows need label, cluster_id and an array vector."""
     weighted = _features(training_weights(train), vector)
     indexer = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
+    if name == "linear_svm" and "regParam" not in overrides:
+        overrides["regParam"] = 1.0 / weighted.agg(F.sum("weight")).first()[0]
     model = estimator(name, seed, **overrides)
     model = model.setLabelCol("__y").setFeaturesCol("features")
     ready = indexer.transform(weighted).select("features", "__y", "weight")

@@ -15,7 +15,7 @@ from kinfold.queries.base import define, known_classes, query, rounded, scored
 from kinfold.session import durable
 
 RUN = ["design", "seed", "fold"]
-MIN = 150  # class size that still calibrates on its own; splits the classes of the test tables
+MIN = cal.MIN_CLASS_ROWS  # class size that still calibrates on its own
 
 
 def rows_and_classes(spark, sf, role=None):
@@ -28,8 +28,8 @@ def rows_and_classes(spark, sf, role=None):
 define("cal", """cal AS (SELECT *, 1e0 - p AS s FROM scored WHERE role = 'calibration' AND class = label),
 gq AS (SELECT design, seed, fold, count(*) AS n, coalesce(list(s ORDER BY s)[CAST(ceil((count(*) + 1) * 0.95e0) AS INTEGER)], 1e0) AS g FROM cal GROUP BY ALL),
 oq AS (SELECT design, seed, fold, class, count(*) AS n_rows, coalesce(list(s ORDER BY s)[CAST(ceil((count(*) + 1) * 0.95e0) AS INTEGER)], 1e0) AS o FROM cal GROUP BY ALL),
-thr AS (SELECT design, seed, fold, class, c.j, coalesce(n_rows, 0) AS n_rows, g AS global_threshold, CASE WHEN coalesce(n_rows, 0) >= 150 THEN o ELSE g END AS threshold,
-  CASE WHEN coalesce(n_rows, 0) >= 150 THEN 'class-conditional' ELSE 'pooled-fallback' END AS threshold_source FROM gq CROSS JOIN classes c LEFT JOIN oq USING (design, seed, fold, class)),
+thr AS (SELECT design, seed, fold, class, c.j, coalesce(n_rows, 0) AS n_rows, g AS global_threshold, CASE WHEN coalesce(n_rows, 0) >= 20 THEN o ELSE g END AS threshold,
+  CASE WHEN coalesce(n_rows, 0) >= 20 THEN 'class-conditional' ELSE 'pooled-fallback' END AS threshold_source FROM gq CROSS JOIN classes c LEFT JOIN oq USING (design, seed, fold, class)),
 mx AS (SELECT design, seed, fold, role, row_id, cluster_id, label, parent, max(p) AS confidence FROM scored GROUP BY ALL),
 md AS (SELECT design, seed, fold, cluster_id, median(confidence) AS m FROM mx WHERE role = 'calibration' GROUP BY ALL),
 tau AS (SELECT design, seed, fold, count(*) AS n, list(m ORDER BY m)[CAST(floor((count(*) - 1) * (1e0 - 0.95e0)) AS INTEGER) + 1] AS tau,
@@ -110,7 +110,7 @@ define("dec", """pp AS (SELECT design, seed, fold, role, row_id, cluster_id, lab
 pcal AS (SELECT *, 1e0 - pp AS s FROM pp WHERE role = 'calibration' AND top = parent),
 pg AS (SELECT design, seed, fold, coalesce(list(s ORDER BY s)[CAST(ceil((count(*) + 1) * 0.95e0) AS INTEGER)], 1e0) AS g FROM pcal GROUP BY ALL),
 po AS (SELECT design, seed, fold, top, count(*) AS n_rows, coalesce(list(s ORDER BY s)[CAST(ceil((count(*) + 1) * 0.95e0) AS INTEGER)], 1e0) AS o FROM pcal GROUP BY ALL),
-pthr AS (SELECT design, seed, fold, top, coalesce(n_rows, 0) AS n_rows, g AS global_threshold, CASE WHEN coalesce(n_rows, 0) >= 150 THEN o ELSE g END AS threshold FROM pg CROSS JOIN (SELECT DISTINCT class_parent AS top FROM classes) LEFT JOIN po USING (design, seed, fold, top)),
+pthr AS (SELECT design, seed, fold, top, coalesce(n_rows, 0) AS n_rows, g AS global_threshold, CASE WHEN coalesce(n_rows, 0) >= 20 THEN o ELSE g END AS threshold FROM pg CROSS JOIN (SELECT DISTINCT class_parent AS top FROM classes) LEFT JOIN po USING (design, seed, fold, top)),
 lset AS (SELECT s.design, s.seed, s.fold, s.row_id, list(s.class ORDER BY s.j) FILTER (1e0 - p <= threshold) AS ls, list(s.class ORDER BY p DESC, s.j)[1] AS predicted FROM scored s JOIN thr t USING (design, seed, fold, class) GROUP BY ALL),
 pset AS (SELECT s.design, s.seed, s.fold, s.row_id, list(s.top ORDER BY s.top) FILTER (1e0 - pp <= threshold) AS ps, list(s.top ORDER BY pp DESC, s.top)[1] AS parent_argmax FROM pp s JOIN pthr t USING (design, seed, fold, top) GROUP BY ALL),
 rep0 AS (SELECT m.*, coalesce(ls, []) AS ls, coalesce(ps, []) AS ps, predicted, parent_argmax, tau, confidence >= tau AS conf FROM mx m JOIN lset USING (design, seed, fold, row_id) JOIN pset USING (design, seed, fold, row_id) JOIN tau USING (design, seed, fold)),
