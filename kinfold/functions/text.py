@@ -24,10 +24,6 @@ def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
-def is_ascii(column: Column) -> Column:
-    return ~column.rlike(r"[^\x00-\x7F]")
-
-
 def _squeeze(column: Column) -> Column:
     # fixed values: the characters Unicode counts as whitespace
     blanks = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -55,6 +51,16 @@ def fold_identity(column: Column) -> Column:
     return _squeeze(F.regexp_replace(folded, r"\|", " "))
 
 
+def fold_case(column: Column) -> Column:
+    """Compatibility-normalised and case-folded."""
+    return _nfkc_casefold(column.cast("string"))
+
+
+def fold_label(column: Column) -> Column:
+    """Comparison form of labels and paths: compatibility-normalised, case-folded, separators as blanks."""
+    return normalize_ascii(_nfkc_casefold(F.coalesce(column.cast("string"), F.lit(""))))
+
+
 def first_token(column: Column) -> Column:
     trimmed = F.trim(column)
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"\s+")[0])

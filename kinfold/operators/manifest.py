@@ -71,9 +71,9 @@ def match_longest_substring(paths: DataFrame, names: DataFrame, path: str, name:
     those lengths, again as an equi-join on text. Probes per path are bounded by
     path length x number of distinct name lengths.
     """
-    wanted = names.select(F.lower(F.col(name)).alias("__key"), F.col(name).alias("__name")).distinct()
+    wanted = names.select(tx.fold_case(F.col(name)).alias("__key"), F.col(name).alias("__name")).distinct()
     lengths = wanted.agg(F.collect_set(F.length("__key")).alias("__lengths"))
-    haystack = F.lower(tx.normalize_ascii(F.col(path)))
+    haystack = tx.fold_label(F.col(path))
     texts = paths.select(path).distinct().withColumn("__text", haystack)
     probes = (
         texts.join(F.broadcast(lengths), F.lit(True))
@@ -103,11 +103,9 @@ def resolve_clusters(records: DataFrame, names: DataFrame) -> DataFrame:
     ``records``: source_path, genus, epithet, strain, directory_label (normalised text).
     ``names``: name. Adds ``cluster_name``.
     """
-    catalogue = names.select(F.lower(tx.normalize_ascii(F.col("name"))).alias("__key"), F.col("name")).groupBy(
+    catalogue = names.select(tx.fold_label(F.col("name")).alias("__key"), F.col("name")).groupBy(
         "__key").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("__name"))
-    parts = lambda *columns: F.lower(
-        tx.normalize_ascii(F.concat_ws(" ", *[F.when(F.length(c) > 0, F.col(c)) for c in columns]))
-    )
+    parts = lambda *columns: tx.fold_label(F.concat_ws(" ", *[F.when(F.length(c) > 0, F.col(c)) for c in columns]))
     first = catalogue.select(F.col("__key").alias("__k1"), F.col("__name").alias("__n1"))
     second = catalogue.select(F.col("__key").alias("__k2"), F.col("__name").alias("__n2"))
     keyed = records.withColumn("__k1", parts("directory_label", "strain")).withColumn(

@@ -118,3 +118,12 @@ def test_source_holdout(spark):
     assert {r["role"] for r in splits.filter("cluster_id = 'A5'").collect()} == {"test_source"}
     dropped = m.filter("cluster_id != 'A6'")
     assert {r["label"] for r in sp.source_cohorts(dropped, ["H"])[0].collect()} == {"B"}
+
+
+def test_names_match_beyond_ascii(spark):
+    from kinfold.operators import manifest as mf
+
+    paths = spark.createDataFrame([("x/STRASSE_ﬁn/1",), ("y/Ångström/2",)], "path string")
+    names = spark.createDataFrame([("Straße fin",), ("ångström",)], "name string")
+    got = {r["path"]: r["matched"] for r in mf.match_longest_substring(paths, names, "path", "name").collect()}
+    assert got == {"x/STRASSE_ﬁn/1": "Straße fin", "y/Ångström/2": "ångström"}
