@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import small_batches, text_slices
 
-META, LIMIT, WIDEST = "▁", 500_000, 1024
+META, LIMIT, WIDEST, AT_ONCE = "▁", 350_000, 1024, 400_000
 GAP = "\ud800"  # stands in no text
 _RUNS = re.compile(f"{META}+[^{META}]*")
 
@@ -239,13 +239,21 @@ class Encoder:
         new -= again
         long = [u for u in new if u[:1] == META or len(u) > WIDEST]
         plain = list(new.difference(long))
-        whole = [META + u for u in plain]
-        if whole:
-            self.known.update(zip(plain, self.pieces.finish(whole, *self.pieces.encode_units(whole)), strict=True))
+        sizes = np.cumsum([len(u) + 2 for u in plain])
+        for start, end in zip(*self.cuts(sizes), strict=True):  # the suffixes of AT_ONCE characters at a time
+            whole = [META + u for u in plain[start:end]]
+            self.known.update(zip(plain[start:end], self.pieces.finish(whole, *self.pieces.encode_units(whole)), strict=True))
         for u in long:
             self.known[u] = self.pieces.merged_ids(u if u[:1] == META else META + u)
         return [b"".join(map(self.known.__getitem__, units)) for units in split]
 
+    @staticmethod
+    def cuts(sizes: np.ndarray) -> tuple[list[int], list[int]]:
+        if not len(sizes):
+            return [], []
+        starts = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1], AT_ONCE))).tolist()
+        return starts, [*starts[1:], len(sizes)]
+
     @staticmethod
     def units(text: str | None) -> list[str]:
         """Units after their one meta symbol; those with a run of them in full."""
@@ -276,12 +284,12 @@ def encode(docs: DataFrame, model: str, keep: tuple[str | Column, ...] = ("doc_i
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(model)
-        for batch in text_slices(batches, 12_000_000):
+        for batch in text_slices(batches, 4_000_000):
             ids = run(batch.column("_text").to_pylist())
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*names, "n_pieces", "ids"])
 
-    small_batches(docs.sparkSession, 4000)
+    small_batches(docs.sparkSession, 1000)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(go, f"{kinds}, n_pieces long, ids binary")
 
