@@ -191,8 +191,8 @@ def links(points: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
     own = F.pmod(F.xxhash64("key", "visitor"), F.col("blocks")).cast("int")
     rows = cut.select("cell", "visitor", "key", *names, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pair = F.struct(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    dealt = rows.select(F.xxhash64("cell", pair["x"], pair["y"]).alias("spot"), "cell", pair["x"].alias("x"), pair["y"].alias("y"), "visitor", "key", *names)
-    ordered = dealt.repartition("cell", "x", "y").sortWithinPartitions("spot", "cell", "x", "y", "visitor", "key")
+    dealt = rows.select(F.xxhash64("cell", pair["x"], pair["y"]).alias("spot"), "visitor", "key", *names)
+    ordered = dealt.repartition("spot").sortWithinPartitions("spot", "visitor", "key")  # cells whose spots collide only meet in vain
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
