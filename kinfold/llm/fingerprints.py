@@ -31,6 +31,8 @@ from kinfold.llm.common import small_batches, stage, text_slices, with_row_key
 from kinfold.llm.components import components
 
 BLOCK = 4096
+#: Bits of a set's sketch, texts sampled for common shingles, and how many of those are kept.
+ODD, SAMPLE, COMMON = 1024, 4096, 200_000
 SEGMENT, AXES = 4, 8
 
 
@@ -121,10 +123,14 @@ def grid(points: DataFrame, lanes: int) -> DataFrame:
     return points.select("key", *[f"f{k}" for k in range(lanes)]).mapInArrow(place, kinds)
 
 
-def forest(cells: np.ndarray, visitor: np.ndarray, keys: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest(
+    cells: np.ndarray, visitor: np.ndarray, keys: np.ndarray, lanes: np.ndarray, radius: int | np.ndarray, roots: np.ndarray | None = None, thin: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forest of the links in sorted runs of cells (owners first): keys of both ends, and distances.
 
-    Pairs are an owner and any later member of its run, taken lag by lag over all runs at once.
+    Pairs are an owner and any later member of its run, taken lag by lag over all runs at once. A pair's
+    limit is ``radius``, or the sum of both members' shares if it is an array. Members of equal ``roots``
+    aren't paired. Without ``thin`` all links are returned.
     """
     n = len(cells)
     ends = np.searchsorted(cells, cells, side="right")
@@ -163,18 +169,22 @@ def forest(cells: np.ndarray, visitor: np.ndarray, keys: np.ndarray, lanes: np.n
     while len(active):
         other = active + lag
         dist = np.bitwise_count(lanes[active] ^ lanes[other]).sum(1, dtype=np.int64)
-        hit = (dist <= radius) & (keys[active] != keys[other])
+        most = radius if np.ndim(radius) == 0 else radius[active] + radius[other]
+        hit = (dist <= most) & (keys[active] != keys[other])
+        if roots is not None:
+            hit &= roots[active] != roots[other]
         if hit.any():
             links.append((active[hit], other[hit], dist[hit]))
             held += int(hit.sum())
-            if held > 2_000_000:
+            if thin and held > 2_000_000:
                 spanning()
         lag += 1
         active = active[active + lag < ends[active]]
     if not links:
         return (np.zeros(0, np.int64),) * 3
-    spanning()
-    a, b, d = links[0]
+    if thin:
+        spanning()
+    a, b, d = (np.concatenate(x) for x in zip(*links, strict=True))
     return keys[a], keys[b], d
 
 
@@ -245,31 +255,180 @@ def shingle_table(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(cut, "key long, parts array<long>")
 
 
-def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hashed(text: str | None, size: int) -> tuple[int, np.ndarray]:
+    """A hash of the word sequence, and the distinct hashes of its shingles."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    return xxh64_intdigest(b" ".join(words)), np.fromiter(set(map(xxh64_intdigest, shingles(words, size))), np.uint64)
+
+
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """``_row``, ``content`` (a hash of the word sequence), ``n`` (distinct shingles) and ``odd``.
+
+    Each shingle flips one of ``ODD`` bits, so two sketches differ in no more bits than their sets do in members.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 8_000_000):
+            content, sizes, odd = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                content[row], found = hashed(text, size)
+                sizes[row] = len(found)
+                flips = np.bincount((found >> np.uint64(20)).astype(np.int64) % ODD, minlength=ODD)
+                odd.append(np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(sizes), pa.array(odd, pa.binary())], names=["_row", "content", "n", "odd"])
+
+    small_batches(texts.sparkSession)
+    return texts.select("_row", "_text").mapInArrow(compute, "_row long, content long, n int, odd binary")
+
+
+def common_shingles(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of about ``SAMPLE`` texts have, and in how many of ``total`` texts they may be.
+
+    Only the order of prefixes and the cut of crowded cells depend on it, never which pairs are found.
+    """
+    share = min(1.0, SAMPLE / max(1, total))
+    some = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < share * 1_000_000).select("_text").distinct()
+    counts = shingle_table(some.select(F.lit(0).cast("long").alias("key"), F.col("_text").alias("text")), size).select(F.explode("parts").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    rows = counts.filter("n > 1").orderBy(F.desc("n"), "x").limit(COMMON).collect()  # at most COMMON rows
+    found = sorted((r["x"], r["n"]) for r in rows)
+    return np.array([x for x, _ in found], np.int64), np.ceil(np.array([n for _, n in found]) / share).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``spot`` and ``key``: each text in the cells of its prefix, the shingles that come first in one order for all texts.
+
+    Of ``n`` shingles a near copy misses at most n - ceil(similarity * n), so one more than that many always
+    hold a shared one that is also in the other text's prefix, whatever the order. Rare shingles come first.
+    A crowded shingle's texts are dealt into blocks, and each two blocks meet in a spot.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        known, counts = shared.value
+        seen: set[int] = set()
+        for batch in text_slices(batches, 4_000_000):
+            spots, keys = [], []
+            for text in batch.column(0).to_pylist():
+                content, found = hashed(text, size)
+                if content in seen or not len(found):
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(content)
+                parts = found.view(np.int64)
+                often = np.zeros(len(parts), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, parts), len(known) - 1)
+                    often = np.where(known[at] == parts, counts[at], 0)
+                first = np.lexsort((parts, often))[: len(parts) - int(np.ceil(similarity * len(parts) - 1e-9)) + 1]
+                parts, blocks = parts[first], -(-often[first] // BLOCK)
+                mine = [parts[blocks <= 1]]
+                for part, n in zip(parts[blocks > 1].tolist(), blocks[blocks > 1].tolist(), strict=True):
+                    own = xxh64_intdigest(content.to_bytes(8, "little")) % n
+                    pairs = [(part & (2**64 - 1), min(own, k), max(own, k)) for k in range(n)]
+                    mine.append(np.array([xxh64_intdigest(b"%d %d %d" % x) for x in pairs], np.uint64).view(np.int64))
+                spots += mine
+                keys.append(np.full(sum(map(len, mine)), content, np.uint64).view(np.int64))
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(spots or none)), pa.array(np.concatenate(keys or none))], names=["spot", "key"])
+
+    small_batches(texts.sparkSession)
+    return texts.select("_text").mapInArrow(place, "spot long, key long")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables that never cut a run of equal values of a sorted column."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+        values = table.column(column).to_numpy()
+        last = int(np.searchsorted(values, values[-1], side="left")) if len(values) else 0
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def shared_spots(placed: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` in spots of two texts or more, one spot for all that hold the same texts."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "spot"):
+            spots, keys = (table.column(c).to_numpy() for c in ("spot", "key"))
+            new = np.append(True, (spots[1:] != spots[:-1]) | (keys[1:] != keys[:-1]))
+            spots, keys = spots[new], keys[new]
+            same = spots[1:] == spots[:-1]
+            many = np.append(same, False) | np.append(False, same)
+            spots, keys = spots[many], keys[many]
+            if len(spots):
+                starts = np.flatnonzero(np.append(True, spots[1:] != spots[:-1]))
+                sums = np.add.reduceat(mixed(keys.view(np.uint64), 1), starts)  # texts of equal sums only meet in vain
+                spots = np.repeat(sums, np.diff(np.append(starts, len(spots)))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(keys)], names=["spot", "key"])
+
+    small_batches(placed.sparkSession, 20_000)
+    return placed.repartition("spot").sortWithinPartitions("spot", "key").mapInArrow(keep, "spot long, key long").distinct()
+
+
+def candidates(members: DataFrame, similarity: float, thin: bool) -> DataFrame:
+    """Pairs ``a, b`` of ``members`` (``spot, key, root, n, odd``) that share a spot but no root and may be similar enough.
+
+    Sets of that similarity differ in at most (1 - s) / (1 + s) of their sizes' sum. ``thin``: a spot leaves
+    a spanning forest of its pairs, closest first.
+    """
+    ratio = (1 - similarity) / (1 + similarity)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "spot"):
+            spots, keys, roots, sizes = (table.column(c).to_numpy() for c in ("spot", "key", "root", "n"))
+            odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(spots), -1)
+            a, b, _ = forest(spots, np.zeros(len(spots), np.int8), keys, odd, sizes * ratio + 1e-6, roots, thin)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    small_batches(members.sparkSession, 20_000)
+    ordered = members.repartition("spot").sortWithinPartitions("spot", "key").select("spot", "key", "root", "n", "odd")
+    return ordered.mapInArrow(pair, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest id stays.
 
-    Near copies share at least ``similarity`` (Jaccard) of their distinct shingles of ``size`` words. A few
-    changed words change many shingles but few words, so candidates come from fingerprints over the
-    distinct words, of ``lanes`` x 64 bits and within ``radius`` bits; the links left by the grid join
-    are then checked exactly on the shingles. Texts with the same words in the same order are copies;
-    those without words (null, empty, blank) are copies of each other. Null ids yield to others.
+    Near copies share at least ``similarity`` (Jaccard) of their distinct shingles of ``size`` words; all such
+    pairs are found, up to collisions of 64-bit hashes. They meet in the cells of their prefixes. First each cell
+    leaves a spanning forest of its pairs, which is checked on the shingles; then all pairs of cells that the
+    checked links leave unconnected are. Texts with the same words in the same order are copies; those
+    without words (null, empty, blank) are copies of each other. Null ids yield to others.
     """
     rows = with_row_key(docs.select("*"), "_row")
-    names = [f"f{k}" for k in range(lanes)]
     keyed = rows.select(F.col("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    prints = fingerprints(keyed, 1, 42, lanes, True, "_row", "_text").withColumnRenamed("doc_id", "_row")
-    ids = keyed.select("_row", "_id")
-    whole = stage(prints, "prints")
+    whole = stage(sketches(keyed, size), "sketches")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
-    points = stage(whole.join(ids, "_row").groupBy("content").agg(first, *[F.min(n).alias(n) for n in names]).withColumnRenamed("content", "key"), "points")
-    near = stage(links(points, radius, lanes).select("a", "b").distinct(), "links")
-    nodes = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    wanted = points.select("key", F.col("first._row").alias("_row")).join(nodes, "key")
-    parts = stage(shingle_table(keyed.join(wanted, "_row").select("key", F.col("_text").alias("text")), size), "parts")
-    pairs = near.join(parts.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(parts.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    sure = pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
-    groups = components(sure)
+    points = stage(whole.join(keyed.select("_row", "_id"), "_row").groupBy("content").agg(first, F.min("n").alias("n"), F.min("odd").alias("odd")).withColumnRenamed("content", "key"), "points")
+    common = common_shingles(keyed, size, points.count())
+    spots = stage(shared_spots(prefixes(keyed, size, similarity, common)), "spots")
+
+    def similar(near: DataFrame) -> DataFrame:
+        nodes = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+        wanted = points.select("key", F.col("first._row").alias("_row")).join(nodes, "key")
+        parts = stage(shingle_table(keyed.join(wanted, "_row").select("key", F.col("_text").alias("text")), size), "parts")
+        pairs = near.join(parts.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(parts.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+    sizes = points.select("key", "n", "odd")
+    near = stage(candidates(spots.join(sizes, "key").withColumn("root", F.col("key")), similarity, True), "links")
+    sure = stage(similar(near), "sure")
+    groups = components(sure).withColumnRenamed("node", "key")
+    named = spots.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed_spots = named.groupBy("spot").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("spot")
+    left = stage(candidates(named.join(mixed_spots, "spot").join(sizes, "key"), similarity, False).join(near, ["a", "b"], "left_anti"), "links")
+    groups = components(sure.unionByName(similar(left)))
     placed = points.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     stay = placed.groupBy(F.coalesce("root", "key").alias("group")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return rows.join(stay, "_row", "left_semi").drop("_row")

@@ -101,6 +101,24 @@ def test_keep_one(spark):
     assert fingerprints.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_past_failed_links(spark):
+    random_ = random.Random(11)
+    words = ["".join(random_.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    rows, want = [], []
+    for k in range(6):  # 1 to 30: the same words in other orders; 31: a near copy of 1 alone
+        base = random_.sample(words, 300)
+        near = list(base)
+        for at in random_.sample(range(300), 5):
+            near[at] = random_.choice(words)
+        rows += [(100 * k + 1, " ".join(base)), (100 * k + 31, " ".join(near))]
+        for i in range(2, 31):
+            parts = [base[i : i + 4] for i in range(0, 300, 4)]
+            random_.shuffle(parts)
+            rows.append((100 * k + i, " ".join(w for p in parts for w in p)))
+        want += range(100 * k + 1, 100 * k + 31)
+    assert sorted(r.doc_id for r in fingerprints.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 LANGS = {"en": "the quick brown fox jumps over lazy dogs while reading books about weather", "de": "der schnelle braune fuchs springt über den faulen hund während er bücher liest",
          "ru": "быстрая коричневая лиса прыгает через ленивую собаку и читает книги о погоде"}
 
