@@ -141,6 +141,24 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string"), none).collect()} == {"und"}
 
 
+def test_keep_one_finds_all_pairs(spark):
+    random_ = random.Random(12)
+    words = ["".join(random_.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    line = random_.choices(words, k=12)
+    rows = []
+    for k in range(40):  # copies with up to a fourth added or dropped at once; every text has one line in common
+        base = random_.choices(words, k=random_.randint(12, 200)) + line
+        part = max(1, int(len(base) * random_.uniform(0.1, 0.25)))
+        rows += [base, random_.choices(words, k=part) + base, base + random_.choices(words, k=part), base[part:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    random_.shuffle(rows)
+    sets = {i: set(fingerprints.shingles(fingerprints.words_of(t), 5)) for i, t in rows}
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 60
+    kept = fingerprints.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups(sets, pairs).values()))
+
+
 def test_best_path_is_viterbi():
     random_ = np.random.default_rng(2)
     for _ in range(40):
