@@ -4,7 +4,7 @@ A word (a run of letters) has a score for each learned language: the sum over it
 log probability of the letter with its two neighbours. The script of its first letter leaves only
 languages whose training texts use that script; if none does, all stay. Viterbi over the words with
 a penalty for each switch labels spans; a text whose single best language can't be beaten on any
-stretch by more than the penalty is one span, which needs no search. The label of a text is the
+stretch by more than half the penalty is one span, which needs no search. The label of a text is the
 language with most letters, ties to the smaller name; its score is that language's share of letters.
 
 Null and empty texts and texts without letters: ``und``, score 0, no spans. With nothing to learn
@@ -133,7 +133,7 @@ def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
     best = int(np.argmax(total))
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), gain]), axis=0)[:-1]
-    if (gain - low).max() <= switch:  # no stretch pays for leaving the best language
+    if (gain - low).max() <= switch / 2:  # k stretches without the best language have k - 1 switches at least, and in one language alone no gain
         return np.full(len(scores), best)
     k, back = scores.shape[1], []
     value = scores[0].tolist()

@@ -168,6 +168,18 @@ def test_best_path_is_viterbi():
         assert math.isclose(worth(language.best_path(scores, 2.0).tolist()), max(map(worth, paths)))
 
 
+def test_best_path_without_the_best_language():
+    scores = np.array([[0.0, 15.0, -20.0], [0.0, -20.0, 15.0]])
+    assert language.best_path(scores, 16.0).tolist() == [1, 2]
+    random_ = np.random.default_rng(3)
+    for _ in range(200):
+        scores = random_.normal(size=(4, 3)) * 3
+        scores[:, 0] += 1.0
+        paths = [[a, b, c, d] for a in range(3) for b in range(3) for c in range(3) for d in range(3)]
+        worth = lambda p: sum(scores[i, k] for i, k in enumerate(p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        assert math.isclose(worth(language.best_path(scores, 4.0).tolist()), max(map(worth, paths)))
+
+
 def test_toxicity(spark):
     random_ = random.Random(7)
     words = ["".join(random_.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
