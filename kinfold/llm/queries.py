@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bitplanes, fingerprints, katz, language, norm_buckets, packing, posting_lists, suffix_pieces, toxicity, url_cascade
+from kinfold.llm import bitplanes, fingerprints, katz, language, merkle, norm_buckets, packing, posting_lists, suffix_pieces, toxicity, url_cascade
 from kinfold.llm.common import crc_fold, new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -98,3 +98,11 @@ def suffix_pieces_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     encoded = suffix_pieces.encode(docs, model, ("doc_id", F.crc32(plain.cast("binary")).alias("_crc")))
     out = suffix_pieces.decode(encoded, model)
     return out.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), (F.crc32(F.col("decoded").cast("binary")) == F.col("_crc")).alias("round_trip"))
+
+
+@query("op11_merkle_manifest")
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    even = F.coalesce(crc_fold("doc_id", 2) == 0, F.lit(False))
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, tampered).drop("source", "path")
