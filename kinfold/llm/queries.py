@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bitplanes, fingerprints, katz, language, merkle, norm_buckets, packing, posting_lists, suffix_pieces, toxicity, url_cascade
+from kinfold.llm import bitplanes, fingerprints, katz, language, merkle, norm_buckets, packing, posting_lists, resampling, suffix_pieces, toxicity, url_cascade
 from kinfold.llm.common import crc_fold, new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -106,3 +106,8 @@ def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     even = F.coalesce(crc_fold("doc_id", 2) == 0, F.lit(False))
     tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.manifest(docs, tampered).drop("source", "path")
+
+
+@query("op12_target_resampling")
+def target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.draw(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
