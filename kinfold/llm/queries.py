@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bitplanes, fingerprints, katz, language, merkle, norm_buckets, packing, posting_lists, resampling, suffix_pieces, toxicity, url_cascade
+from kinfold.llm import bitplanes, fingerprints, hyperminhash, katz, language, merkle, norm_buckets, packing, posting_lists, resampling, suffix_pieces, toxicity, url_cascade
 from kinfold.llm.common import crc_fold, new_path, query
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -111,3 +111,8 @@ def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_target_resampling")
 def target_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.draw(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_hyperminhash_groups")
+def hyperminhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf, "documents"), size=2)
