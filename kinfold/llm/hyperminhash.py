@@ -280,7 +280,7 @@ def mixed_spots(shared: DataFrame, groups: DataFrame, points: DataFrame) -> Data
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
-    rows = with_row_key(docs.select("*")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_row")
+    rows = with_row_key(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_row")
     prints = stage(sketched(rows, size), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     points = stage(prints.filter("n > 0").groupBy("key").agg(first, F.min("n").alias("n"), F.min("registers").alias("registers")), "points")

@@ -114,7 +114,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     ``tampered`` is what the text is when it's checked (the text itself if not given); the other columns are of
     the original table. ``path`` lists the digests beside a leaf and its ancestors, lowest level first.
     """
-    rows = with_row_key(docs)
+    rows = with_row_key(docs.select(*FIELDS))
     own = [F.col(c) for c in FIELDS]
     seen = F.col("text") if tampered is None else tampered
     leaves = stage(rows.select(

@@ -167,7 +167,7 @@ def draw(docs: DataFrame, target: DataFrame, percent: int = 5, least_words: int
 
     ``percent`` of the rows with at least ``least_words`` words are drawn, rounded down. ``target`` has a ``text``.
     """
-    keyed = with_row_key(docs.select("*")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_row")
+    keyed = with_row_key(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_row")
     gain = gains(bucket_counts(keyed, buckets), bucket_counts(target, buckets))
     scored = weights(keyed, gain).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
     table = stage(scored.select("doc_id", "_row", "n_words", "n_features", "weight", "score", *key_columns()), "scores")
