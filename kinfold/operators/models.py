@@ -1,65 +1,37 @@
-"""Spark ML classifiers with per-row weights, grouped out-of-fold scores and permutation control."""
+"""Classifiers with per-row weights for all cells of a grid, grouped out-of-fold scores and permutation control."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import arrays as ar
 from kinfold.functions.hashing import hash_key
-from kinfold.operators.ranking import hash_rank
-from kinfold.operators.splits import cluster_folds, label_shape
+from kinfold.operators.boosting import Settings, fit_boosted
+from kinfold.operators.forests import fit_forest
+from kinfold.operators.margins import fit_margins
+from kinfold.operators.ranking import _null_safe_join, hash_rank
 from kinfold.operators.weights import training_weights
 from kinfold.session import durable
 
+# fixed values: model parameters
+TREES, ROUNDS, OUTER_FOLDS = 300, 200, 3
+MODELS = ("tree_ensemble", "linear_svm", "boosted_trees")
 
-def estimator(name: str, seed: int = 0, **overrides):
-    """A fixed-parameter classifier; trees grow to Spark's greatest depth of 30, in place of pure leaves."""
-    # fixed values: model parameters
-    if name == "linear_svm":
-        # Spark averages the loss over the weights: C = 1 is a penalty of one over their sum, which ``fit`` passes
-        base = LinearSVC(regParam=overrides.get("regParam", 1e-3), maxIter=overrides.get("maxIter", 50), standardization=False)
-        return OneVsRest(classifier=base, weightCol="weight")
-    if name == "tree_ensemble":
-        return RandomForestClassifier(
-            numTrees=overrides.get("numTrees", 300), featureSubsetStrategy="sqrt", bootstrap=False,
-            minInstancesPerNode=1, maxDepth=overrides.get("maxDepth", 30), seed=seed, weightCol="weight",
-        )
-    if name == "boosted_trees":
-        base = GBTClassifier(
-            maxDepth=4, stepSize=0.05, maxIter=overrides.get("maxIter", 200), subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
-        )
-        return OneVsRest(classifier=base, weightCol="weight")
-    raise KeyError(f"unknown model: {name}")
 
+class FittedClassifier:
+    """A fitted model of every cell with its lexically sorted class list."""
 
-def _features(df: DataFrame, vector: str = "vector") -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    def __init__(self, model, keys: Sequence[str]):
+        self.model, self.classes, self.keys = model, model.classes, list(keys)
 
+    def logits(self, df: DataFrame, vector: str = "vector", out: str = "logits", unit: str = "row_id") -> DataFrame:
+        """Uniform scores: decision values of linear margins, log-probabilities of trees."""
+        return self.model.logits(df, vector, unit, out)
 
-class FittedClassifier:
-    """A fitted Spark ML model with its lexically sorted class list."""
-
-    def __init__(self, model: Model, classes: list[str]):
-        self.model, self.classes = model, classes
-
-    def logits(self, df: DataFrame, vector: str = "vector", out: str = "logits") -> DataFrame:
-        """Uniform scores: raw margins for one-vs-rest, log-probabilities for forests."""
-        scored = self.model.transform(_features(df, vector))
-        if "probability" in scored.columns:
-            values = ar.probability_to_logits(vector_to_array("probability"))
-        else:
-            values = vector_to_array("rawPrediction")
-        keep = [c for c in df.columns if c != out]
-        return scored.select(*keep, values.alias(out))
-
-    def predict(self, df: DataFrame, vector: str = "vector", temperature: float = 1.0) -> DataFrame:
+    def predict(self, df: DataFrame, vector: str = "vector", temperature: Column | float = 1.0) -> DataFrame:
         names = ar.class_array(self.classes)
         scored = self.logits(df, vector).withColumn("probability", ar.softmax(F.col("logits"), temperature))
         label, score, margin = ar.runner_up(F.col("probability"), names)
@@ -70,38 +42,58 @@ class FittedClassifier:
         )
 
 
-def fit(train: DataFrame, name: str, seed: int = 0, vector: str = "vector", **overrides) -> FittedClassifier:
-    """Weighted fit; rows need label, cluster_id and an array vector."""
-    weighted = _features(training_weights(train), vector)
-    indexer = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
-    if name == "linear_svm" and "regParam" not in overrides:
-        overrides["regParam"] = 1.0 / weighted.agg(F.sum("weight")).first()[0]
-    model = estimator(name, seed, **overrides)
-    model = model.setLabelCol("__y").setFeaturesCol("features")
-    ready = indexer.transform(weighted).select("features", "__y", "weight")
-    return FittedClassifier(model.fit(ready), list(indexer.labels))
+def fit(train: DataFrame, name: str, seed: int = 0, vector: str = "vector", keys: Sequence[str] = (), weight: str | None = None, **overrides) -> FittedClassifier:
+    """Fit every cell of ``train``; rows need the keys, row_id, label, cluster_id and an array vector.
 
-
-def out_of_fold_logits(train: DataFrame, name: str, seed: int = 0, folds: int = 3, vector: str = "vector",
-                       **overrides) -> tuple[DataFrame, list[str]]:
+    Rows weigh what ``weight`` says, else as ``training_weights`` do. Cells draw alike: a tree tries the same
+    features and shares of thresholds in every cell, so that cells differ by their rows alone.
+    """
+    keys = list(keys)
+    rows = training_weights(train, keys) if weight is None else train.withColumn("weight", F.col(weight))
+    if name == "tree_ensemble":
+        model = fit_forest(rows, keys, overrides.get("numTrees", TREES), seed, vector, deepest=overrides.get("maxDepth"))
+    elif name == "linear_svm":
+        model = fit_margins(rows, keys, overrides.get("maxIter", 200), vector=vector)
+    elif name == "boosted_trees":
+        model = fit_boosted(rows, keys, Settings(rounds=overrides.get("maxIter", ROUNDS), seed=seed), vector)
+    else:
+        raise KeyError(f"unknown model: {name}")
+    return FittedClassifier(model, keys)
+
+
+def inner_folds(train: DataFrame, keys: Sequence[str], folds: int, seed: int) -> DataFrame:
+    """``(keys, label, cluster_id, test_fold, k)``: whole clusters, at most as many folds as a cell's smallest label has clusters."""
+    keys = list(keys)
+    clusters = train.select(*keys, "label", "cluster_id").distinct()
+    labels = clusters.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    counts = labels.groupBy(*keys).agg(F.least(F.lit(folds), F.min("n")).cast("int").alias("k"))
+    ranked = hash_rank(clusters, [*keys, "label"], hash_key(F.lit(seed), F.col("cluster_id")), ["cluster_id"], "__r")
+    dealt = _null_safe_join(ranked, counts, keys) if keys else ranked.crossJoin(F.broadcast(counts))  # one row
+    return dealt.select(*keys, "label", "cluster_id", "k", ((F.col("__r") - 1) % F.col("k")).cast("int").alias("test_fold"))
+
+
+def fit_with_folds(train: DataFrame, name: str, seed: int = 0, folds: int = OUTER_FOLDS, vector: str = "vector",
+                   keys: Sequence[str] = (), **overrides) -> tuple[FittedClassifier, DataFrame]:
+    """(model, training rows with ``logits`` of a model that hasn't seen their cluster), all cells and folds in one fit.
+
+    A fold's model is a cell of its own (``inner``, -1 for the one of all rows). Rows keep the weight they have
+    among all training rows. Cells whose folds would be fewer than two are scored by the model that has seen them.
+    """
+    keys = list(keys)
+    weighted = training_weights(train, keys)
+    placed = durable(_null_safe_join(weighted, inner_folds(train, keys, folds, seed), [*keys, "label", "cluster_id"]))
+    last = F.when(F.col("k") < 2, F.lit(-1)).otherwise(F.col("k") - 1)
+    copies = placed.withColumn("inner", F.explode(F.sequence(F.lit(-1), last))).filter("inner != test_fold")
+    fitted = fit(copies.drop("test_fold", "k"), name, seed, vector, [*keys, "inner"], "weight", **overrides)
+    held = placed.withColumn("inner", F.when(F.col("k") < 2, F.lit(-1)).otherwise(F.col("test_fold")))
+    return fitted, fitted.logits(held.drop("test_fold", "k", "weight"), vector).drop("inner")
+
+
+def out_of_fold_logits(train: DataFrame, name: str, seed: int = 0, folds: int = OUTER_FOLDS, vector: str = "vector",
+                       keys: Sequence[str] = (), **overrides) -> tuple[DataFrame, list[str]]:
     """Grouped out-of-fold scores aligned to the full class list; in-sample when folds < 2."""
-    k = min(folds, label_shape(train).smallest_clusters)
-    if k < 2:
-        fitted = fit(train, name, seed, vector, **overrides)
-        return fitted.logits(train, vector), fitted.classes
-    assigned = durable(train.join(cluster_folds(train, [seed], k).drop("seed"), ["label", "cluster_id"]))
-    classes = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
-    parts = []
-    for fold in range(k):
-        held = assigned.filter(F.col("test_fold") == fold)
-        fitted = fit(assigned.filter(F.col("test_fold") != fold).drop("test_fold"), name, seed, vector, **overrides)
-        parts.append(fitted.logits(held, vector).withColumn(
-            "logits", ar.align_scores(F.col("logits"), ar.class_array(fitted.classes), ar.class_array(classes))
-        ))
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    return scores, classes
+    fitted, scores = fit_with_folds(train, name, seed, folds, vector, keys, **overrides)
+    return scores, fitted.classes
 
 
 def permuted_labels(clusters: DataFrame, permutations: int, seed: int) -> DataFrame:
