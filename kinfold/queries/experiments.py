@@ -28,8 +28,8 @@ coh AS (SELECT * FROM (SELECT r.row_id, cluster_id, label, row_number() OVER (PA
 rk0 AS (SELECT i.*, seed, row_number() OVER (PARTITION BY seed, label ORDER BY {tok("'strain'", "'intensity'", 'seed', 'label', 'cluster_id')}, cluster_id) - 1 AS cluster_rank FROM inv i, (SELECT unnest([11, 12]) AS seed)),
 rk1 AS (SELECT *, CASE WHEN cluster_rank < 5 * q THEN cluster_rank // q ELSE -1 END AS block FROM rk0),
 crl AS (SELECT 'intensity' AS experiment, seed, rotation, label, cluster_id, q, cluster_rank, block, CASE WHEN block = rotation THEN 'evaluation' WHEN block = (rotation + 1) % 5 THEN 'donor' ELSE 'baseline_train' END AS cluster_role FROM rk1, (SELECT unnest([0, 1, 2, 3, 4]) AS rotation)),
-prs0 AS (SELECT e.experiment, e.seed, e.rotation, e.label, e.cluster_rank % e.q AS pair_rank, e.cluster_id AS evaluation_cluster, d.cluster_id AS donor_cluster FROM crl e JOIN crl d ON e.seed = d.seed AND e.rotation = d.rotation AND e.label = d.label
-  AND e.cluster_role = 'evaluation' AND d.cluster_role = 'donor' AND e.cluster_rank % e.q = d.cluster_rank % d.q),
+prs0 AS (SELECT experiment, seed, rotation, label, cluster_rank % q AS pair_rank, max(cluster_id) FILTER (cluster_role = 'evaluation') AS evaluation_cluster, max(cluster_id) FILTER (cluster_role = 'donor') AS donor_cluster
+  FROM crl WHERE cluster_role IN ('evaluation', 'donor') GROUP BY ALL),
 prs AS (SELECT *, substr({tok('"pair"'.replace('"', "'"), 'experiment', 'seed', 'rotation', 'label', 'evaluation_cluster', 'donor_cluster')}, 1, 20) AS pair_id, {tok("'exposure'", 'experiment', 'seed', 'rotation', 'evaluation_cluster')} AS exposure_hash FROM prs0),
 asg AS (SELECT c.experiment, c.seed, c.rotation, c.label, c.cluster_id, row_id, selected_rank, cluster_role, pair_id, CASE cluster_role WHEN 'evaluation' THEN CASE WHEN selected_rank = 0 THEN 'evaluation_query' ELSE 'same_cluster_candidate' END
   WHEN 'donor' THEN CASE WHEN selected_rank < 4 THEN 'donor_candidate' ELSE 'donor_unused' END ELSE 'baseline_train' END AS row_role
