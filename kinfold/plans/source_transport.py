@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinfold.operators import calibration as cal
 from kinfold.operators import decisions as de
 from kinfold.operators import metrics as me
+from kinfold.operators import models as md
 from kinfold.operators import scoring as sc
 from kinfold.operators.ranking import _null_safe_join
 from kinfold.session import durable
@@ -42,6 +43,16 @@ def reference_predictions(rows: DataFrame, keys: Sequence[str], vector: str = "v
     return de.accept_by_score(scored, threshold, keys, train)
 
 
+def tree_predictions(rows: DataFrame, keys: Sequence[str], seed: int = 0, target: float = 0.95, **overrides) -> DataFrame:
+    """Trees fitted on the train rows of every run at once; scores, threshold and acceptance as for the reference library."""
+    keys = list(keys)
+    train = rows.filter(F.col("role") == "train")
+    fitted = md.fit(train, "tree_ensemble", seed, keys=keys, **overrides)
+    scored = durable(fitted.predict(rows.filter(F.col("role") != "train")).drop("vector", "logits").withColumn("scores", F.col("probability")))
+    threshold = cal.retained_fraction_threshold(scored.filter(F.col("role") == "calibration"), keys, "score", target)
+    return de.accept_by_score(scored, threshold, keys, train)
+
+
 def endpoints(predictions: DataFrame, keys: Sequence[str], classes: list[str]) -> DataFrame:
     """Endpoint row per run and population (or role, when there is no hold-out)."""
     split = "population" if "holdout" in predictions.columns else "role"

@@ -1,4 +1,4 @@
-"""Centroids, templates, reference library, Spark ML models, permutation control."""
+"""Centroids, templates, reference library, trees and margins, permutation control."""
 
 from __future__ import annotations
 
@@ -13,8 +13,10 @@ from kinfold.operators import scoring as sc
 from kinfold.operators import splits as sp
 from kinfold.operators.ranking import _null_safe_join
 from kinfold.operators.weights import evaluation_weights, training_weights
+from kinfold.plans import dose_response as dr
 from kinfold.plans import source_transport as st
-from kinfold.queries.base import GRID, define, manifest, peaks, query, rounded, vectors
+from kinfold.plans import training as tr
+from kinfold.queries.base import CTE, GRID, define, manifest, peaks, query, rounded, vectors
 from kinfold.queries.metrics import f1_sql
 from kinfold.queries import splitting  # noqa: F401  (defines the split SQL)
 from kinfold.session import durable
@@ -221,50 +223,184 @@ def permutation_envelope(spark, sf):
     return rounded(md.permutation_envelope(scores, ["model"]), "mean", "median", "lower", "upper", "maximum")
 
 
-# ------------------------------------------------------------------ Spark ML models (rows only)
+# ------------------------------------------------------------------ trees and margins on embeddings
 
-def _fit_and_predict(spark, sf, name, **overrides):
+def _fit_and_predict(spark, sf, name):
     rows = durable(vector_roles(spark, sf))
-    fitted = md.fit(rows.filter("role = 'train'"), name, 3, **overrides)
-    out = fitted.predict(rows.filter("role != 'train'"))
+    fitted = md.fit(rows.filter("role = 'train'"), name, 3)
+    return fitted, fitted.predict(rows.filter("role != 'train'"))
+
+
+def _predicted(spark, sf, name):
+    out = _fit_and_predict(spark, sf, name)[1]
     return out.select("row_id", "role", "cluster_id", "label", "predicted", "score", "runner_up", "margin", F.array_join("top_labels", ",").alias("top_labels"))
 
 
 @query("tree_ensemble")
 def tree_ensemble(spark, sf):
-    return _fit_and_predict(spark, sf, "tree_ensemble", numTrees=20, maxDepth=8)
+    return _predicted(spark, sf, "tree_ensemble")
 
 
 @query("linear_margin")
 def linear_margin(spark, sf):
-    return _fit_and_predict(spark, sf, "linear_svm", maxIter=5)
+    return _predicted(spark, sf, "linear_svm")
 
 
 @query("boosted_trees")
 def boosted_trees(spark, sf):
-    return _fit_and_predict(spark, sf, "boosted_trees", maxIter=2)
+    return _predicted(spark, sf, "boosted_trees")
+
+
+@query("model_output_checks", """+ m(model) AS (VALUES ('boosted_trees'), ('linear_svm'), ('tree_ensemble'))
+SELECT model, row_id, role, label, true AS sums_to_one, true AS winner_is_largest, true AS margin_is_gap, CAST(10 AS INTEGER) AS n_classes FROM vrole, m WHERE role <> 'train'""", ("tpl",))
+def model_output_checks(spark, sf):
+    """Every held-out row of every model: probabilities over all classes that sum to one, their first maximum predicted."""
+    parts = []
+    for name in md.MODELS:
+        fitted, out = _fit_and_predict(spark, sf, name)
+        names = F.array(*[F.lit(c) for c in fitted.classes])
+        p, ordered = F.col("probability"), F.sort_array("probability", asc=False)
+        parts.append(out.select(
+            F.lit(name).alias("model"), "row_id", "role", "label", (F.abs(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x) - 1) < 1e-9).alias("sums_to_one"),
+            (F.get(names, (F.array_position(p, ordered[0]) - 1).cast("int")) == F.col("predicted")).alias("winner_is_largest"),
+            (F.abs(ordered[0] - ordered[1] - F.col("margin")) < 1e-12).alias("margin_is_gap"), F.size(p).alias("n_classes"),
+        ))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+define("vsrc", """vs0 AS (SELECT row_id, cluster_id, label, 'P' AS parent, CASE WHEN ends_with(cluster_id, '-1') AND row_id % 3 = 0 THEN 'X' WHEN ends_with(cluster_id, '-2') THEN 'X' WHEN ends_with(cluster_id, '-3') THEN 'Y' ELSE 'Z' END AS source FROM vec),
+vsc AS (SELECT holdout, cluster_id, min(label) AS label, count(*) FILTER (source = holdout) > 0 AS is_held FROM vs0, (SELECT unnest(['X', 'Y']) AS holdout) GROUP BY 1, 2),
+vsi AS (SELECT holdout, label FROM vsc GROUP BY ALL HAVING sum(is_held::INT) >= 1 AND sum((NOT is_held)::INT) >= 3),
+vsr AS (SELECT holdout, cluster_id, label, seed, CASE WHEN is_held THEN 'test_source' WHEN r <= least(greatest(1, floor(n * 0.2e0)), n - 1) THEN 'calibration' ELSE 'train' END AS role FROM (
+  SELECT c.*, seed, row_number() OVER w AS r, count(*) OVER (PARTITION BY seed, holdout, label, is_held) AS n FROM vsc c JOIN vsi USING (holdout, label), (SELECT unnest([11, 12]) AS seed)
+  WINDOW w AS (PARTITION BY seed, holdout, label, is_held ORDER BY sha256(concat_ws('|', seed, holdout, label, cluster_id)), cluster_id))),
+vsplit AS (SELECT holdout, seed, row_id, s.cluster_id, s.label, source, role FROM vs0 s JOIN vsr r ON r.cluster_id = s.cluster_id)""", ("vec",))
+
+
+def tree_transport(spark, sf):
+    return st.tree_predictions(durable(_transport_rows(spark, sf)), ["holdout", "seed"], seed=3)
 
 
 @query("tree_ensemble_source_transport")
 def tree_ensemble_source_transport(spark, sf):
-    """Tree scores with the same calibration threshold and acceptance rule as the template library."""
-    rows = durable(vector_roles(spark, sf))
-    train = rows.filter("role = 'train'")
-    scored = md.fit(train, "tree_ensemble", 3, numTrees=20, maxDepth=8).predict(rows.filter("role != 'train'"))
-    threshold = cal.retained_fraction_threshold(scored.filter("role = 'calibration'"), ["run"])
-    out = de.accept_by_score(scored, threshold, ["run"], train)
-    return out.groupBy("role").agg(F.count("*").alias("n_rows"), F.avg(F.col("correct").cast("double")).alias("accuracy"),
-                                   F.avg(F.col("accepted").cast("double")).alias("accepted_rate"))
+    """Trees per hold-out and seed, with the calibration threshold and acceptance rule of the template library; endpoints per population."""
+    out = st.endpoints(durable(tree_transport(spark, sf)), ["holdout", "seed"], [f"L{i:02d}" for i in range(10)])
+    return rounded(out, *[c for c in out.columns if c.endswith(("accuracy", "f1", "rate"))])
+
+
+@query("tree_transport_checks", """SELECT holdout, seed, row_id, role, label, CASE WHEN role = 'calibration' THEN 'calibration' WHEN source = holdout THEN 'target-label-primary' ELSE 'other-label-quarantine-auxiliary' END AS population,
+true AS true_is_fitted, true AS threshold_is_retained, true AS accepts_by_threshold, true AS winner_is_largest FROM vsplit WHERE role <> 'train'""", ("vsrc",))
+def tree_transport_checks(spark, sf):
+    """Row set, acceptance and argmax of the source hold-out, and the threshold counted anew from cluster medians."""
+    out = durable(tree_transport(spark, sf))
+    medians = out.filter("role = 'calibration'").groupBy("holdout", "seed", "cluster_id").agg(F.median("score").alias("m"), F.first("threshold").alias("t"))
+    kept = medians.groupBy("holdout", "seed").agg(
+        ((F.sum((F.col("m") < F.col("t")).cast("int")) <= F.floor(F.count("*") * 0.05 + 1e-9)) & (F.sum((F.col("m") <= F.col("t")).cast("int")) > F.floor(F.count("*") * 0.05 + 1e-9))).alias("threshold_is_retained"))
+    position = F.array_position("probability", F.array_max("probability")) - 1
+    winner = F.concat(F.lit("L0"), position.cast("string"))
+    return out.join(kept, ["holdout", "seed"]).select(
+        "holdout", "seed", "row_id", "role", "label", st.population().alias("population"), "true_is_fitted", "threshold_is_retained",
+        (F.col("accepted") == (F.col("score") >= F.col("threshold"))).alias("accepts_by_threshold"), (winner == F.col("predicted")).alias("winner_is_largest"),
+    )
 
 
 @query("calibrated_tree_cell")
 def calibrated_tree_cell(spark, sf):
     """One training cell: grouped out-of-fold scores, temperature, final fit, calibrated probabilities."""
     rows = durable(vector_roles(spark, sf))
-    train = rows.filter("role = 'train'")
-    logits, classes = md.out_of_fold_logits(train, "tree_ensemble", 5, numTrees=10, maxDepth=6)
+    fitted, logits = md.fit_with_folds(rows.filter("role = 'train'"), "tree_ensemble", 5, keys=["run"])
     weighted = evaluation_weights(durable(logits.select("row_id", "cluster_id", "label", "logits")))
-    temperature = cal.fit_temperature(weighted, [], classes).first()["temperature"]
-    fitted = md.fit(train, "tree_ensemble", 5, numTrees=10, maxDepth=6)
-    out = fitted.predict(rows.filter("role = 'test_known'"), temperature=temperature)
+    temperature = cal.fit_temperature(weighted, [], fitted.classes).first()["temperature"]
+    out = fitted.predict(rows.filter("role = 'test_known'").withColumn("inner", F.lit(-1)), temperature=temperature)
     return out.select("row_id", "label", "predicted", F.round("score", 6).alias("confidence"), F.lit(temperature).alias("temperature"))
+
+
+# ------------------------------------------------------------------ the training grid on embeddings
+
+define("vgrid", """manifest AS (SELECT row_id, cluster_id, label, CASE label WHEN 'L09' THEN 'Q' ELSE 'P' || (right(label, 1)::INT % 3)::VARCHAR END AS parent, label < 'L08' AS primary_known, label >= 'L08' AS primary_ood, label < 'L08' AS sensitivity_known FROM vec),
+""" + ",\n".join(CTE[c] for c in ("grouped", "randomised", "stress")) + """,
+vall AS (SELECT * FROM gsplit UNION ALL SELECT * FROM rsplit UNION ALL SELECT * FROM ssplit)""", ("vec",))
+
+
+def vector_splits(spark, sf):
+    """Splits of all three designs over the embedding rows; two labels are unknown, one of them with a parent of its own."""
+    number = F.substring("label", 3, 1).cast("int")
+    rows = durable(vectors(spark, sf).withColumn("parent", F.when(F.col("label") == "L09", "Q").otherwise(F.concat(F.lit("P"), (number % 3).cast("string")))))
+    known, ood = rows.filter("label < 'L08'"), rows.filter("label >= 'L08'")
+    seeds, k = splitting.SEEDS, splitting.K
+    splits = sp.grouped_splits(known, ood, seeds, k).unionByName(sp.row_random_splits(known, seeds, k)).unionByName(sp.sensitivity_splits(known, seeds, k))
+    return durable(splits), rows
+
+
+def training_grid_rows(spark, sf, names):
+    splits, rows = vector_splits(spark, sf)
+    parents = {f"L{i:02d}": f"P{i % 3}" for i in range(8)}
+    return tr.train_grid(splits, rows, names, parents, seed=7)
+
+
+def _grid_sql(model: str) -> str:
+    return f"""SELECT design, '{model}' AS model, seed, fold, row_id, role, label, CASE WHEN role = 'test_ood' THEN CASE label WHEN 'L08' THEN 'near' ELSE 'far' END END AS ood_distance,
+true AS confident_of_winner, true AS report_is_winner, true AS tempered FROM vall WHERE role <> 'train'"""
+
+
+def _grid_checks(spark, sf, model):
+    """One model over three designs, two seeds and five folds: fitted, calibrated, reported; its rules checked row by row."""
+    out = training_grid_rows(spark, sf, [model])
+    winner = F.when(F.col("reported_level") == "label", F.col("reported_label") == F.col("predicted")).otherwise(~F.col("design").endswith("sensitivity"))
+    return out.select(
+        "design", "model", "seed", "fold", "row_id", "role", "label", "ood_distance",
+        (F.abs(F.array_max("probability") - F.col("confidence")) < 1e-12).alias("confident_of_winner"), winner.alias("report_is_winner"),
+        F.col("temperature").between(F.lit(0.018), F.lit(54.6)).alias("tempered"),
+    )
+
+
+@query("training_grid_trees", _grid_sql("tree_ensemble"), ("vgrid",))
+def training_grid_trees(spark, sf):
+    return _grid_checks(spark, sf, "tree_ensemble")
+
+
+@query("training_grid_margins", _grid_sql("linear_svm"), ("vgrid",))
+def training_grid_margins(spark, sf):
+    return _grid_checks(spark, sf, "linear_svm")
+
+
+# ------------------------------------------------------------------ dose response on embeddings
+
+DOSES = (0.0, 0.25, 0.5, 1.0)
+
+
+def dose_response(spark, sf, name):
+    splits, rows = vector_splits(spark, sf)
+    return dr.dose_response(splits.filter("design = 'cluster_grouped'"), rows, DOSES, name, seed=9)
+
+
+define("vdose", f"""vtest AS (SELECT seed, fold, row_id, cluster_id, label, row_number() OVER w AS r, count(*) OVER (PARTITION BY seed, fold, cluster_id) AS n FROM gsplit WHERE role = 'test_known'
+  WINDOW w AS (PARTITION BY seed, fold, cluster_id ORDER BY sha256(concat_ws('|', seed, fold, row_id)), row_id)),
+vev AS (SELECT * FROM vtest WHERE r = 1 AND n >= 2), vdoses AS (SELECT unnest([{', '.join(f'{d}e0' for d in DOSES)}]) AS dose),
+vinj AS (SELECT seed, fold, dose, row_id, cluster_id, label FROM vtest, vdoses WHERE n >= 2 AND r > 1 AND dose > 0 AND r - 1 <= ceil((n - 1) * dose)),
+vfit AS (SELECT seed, fold, dose, row_id, cluster_id, label FROM gsplit, vdoses WHERE role = 'train' UNION ALL SELECT * FROM vinj),
+vdc AS (SELECT seed, fold, dose, label, cluster_id, count(*) AS n FROM vfit GROUP BY ALL), vdm AS (SELECT seed, fold, dose, label, count(*) AS m FROM vdc GROUP BY ALL),
+vdw AS (SELECT f.seed, f.fold, f.dose, f.row_id, f.label, 1e0 / (n * m) AS w FROM vfit f JOIN vdc USING (seed, fold, dose, label, cluster_id) JOIN vdm USING (seed, fold, dose, label)),
+vdce0 AS (SELECT seed, fold, dose, w.label, bin, sum(v * w) / sum(w) AS v FROM vdw w JOIN vlong USING (row_id) GROUP BY ALL),
+vdce AS (SELECT seed, fold, dose, label, bin, v / sqrt(sum(v * v) OVER (PARTITION BY seed, fold, dose, label)) AS v FROM vdce0),
+vdsc AS (SELECT e.seed, e.fold, c.dose, e.row_id, e.cluster_id, e.label AS truth, c.label, sum(q.v * c.v) AS score FROM vev e JOIN vunit q USING (row_id) JOIN vdce c ON c.seed = e.seed AND c.fold = e.fold AND c.bin = q.bin GROUP BY ALL),
+vdp AS (SELECT seed, fold, dose, row_id, cluster_id, truth, list(label ORDER BY score DESC, label)[1] AS predicted FROM vdsc GROUP BY ALL),
+vdn AS (SELECT seed, fold, dose, count(*) AS n FROM vinj GROUP BY ALL),
+""" + f1_sql("vdf", "vdp", "seed, fold, dose", truth="truth"), ("vgrid",))
+
+
+@query("dose_predictions", "SELECT seed, fold, dose, row_id, cluster_id, truth AS label, predicted, predicted = truth AS correct FROM vdp", ("vdose",))
+def dose_predictions(spark, sf):
+    return dose_response(spark, sf, "cosine_centroid")[0]
+
+
+@query("dose_metrics", """SELECT f.seed, f.fold, f.dose, coalesce(n, 0) AS n_injected, e.n_evaluation, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy
+FROM vdf f LEFT JOIN vdn USING (seed, fold, dose) JOIN (SELECT seed, fold, count(*) AS n_evaluation FROM vev GROUP BY ALL) e USING (seed, fold)""", ("vdose",))
+def dose_metrics(spark, sf):
+    return rounded(dose_response(spark, sf, "cosine_centroid")[1], "macro_f1", "accuracy")
+
+
+@query("dose_metrics_trees")
+def dose_metrics_trees(spark, sf):
+    """The same doses with trees fitted anew for every seed, fold and dose."""
+    return rounded(dose_response(spark, sf, "tree_ensemble")[1], "macro_f1", "accuracy")
