@@ -297,7 +297,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     tried = tried.select(F.least("hub", "key").alias("hub"), F.greatest("hub", "key").alias("key"))
     groups = components(links)
     for thin in (True, False):
-        near = across(mixed_spots(shared.select("cell", "key"), groups.withColumnRenamed("node", "key"), points), similarity, thin)
+        # the closest pairs only spare the last pass work: a quarter of the cells finds most of them
+        seen = shared.filter(F.pmod("cell", F.lit(4)) == 0) if thin else shared
+        near = across(mixed_spots(seen.select("cell", "key"), groups.withColumnRenamed("node", "key"), points), similarity, thin)
         new = stage(near.join(tried, ["hub", "key"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
         links = links.unionByName(stage(verified(new, texts, size, similarity), "links"))
