@@ -332,20 +332,21 @@ def vector_splits(spark, sf):
     return durable(splits), rows
 
 
-def training_grid_rows(spark, sf, names):
+def training_grid_rows(spark, sf, names, design=None):
     splits, rows = vector_splits(spark, sf)
+    splits = splits.filter(F.col("design") == design) if design else splits
     parents = {f"L{i:02d}": f"P{i % 3}" for i in range(8)}
     return tr.train_grid(splits, rows, names, parents, seed=7)
 
 
-def _grid_sql(model: str) -> str:
+def _grid_sql(model: str, rows: str) -> str:
     return f"""SELECT design, '{model}' AS model, seed, fold, row_id, role, label, CASE WHEN role = 'test_ood' THEN CASE label WHEN 'L08' THEN 'near' ELSE 'far' END END AS ood_distance,
-true AS confident_of_winner, true AS report_is_winner, true AS tempered FROM vall WHERE role <> 'train'"""
+true AS confident_of_winner, true AS report_is_winner, true AS tempered FROM {rows} WHERE role <> 'train'"""
 
 
-def _grid_checks(spark, sf, model):
-    """One model over three designs, two seeds and five folds: fitted, calibrated, reported; its rules checked row by row."""
-    out = training_grid_rows(spark, sf, [model])
+def _grid_checks(spark, sf, model, design=None):
+    """One model over the cells of the split table, two seeds and five folds a design: fitted, calibrated, reported; its rules checked row by row."""
+    out = training_grid_rows(spark, sf, [model], design)
     winner = F.when(F.col("reported_level") == "label", F.col("reported_label") == F.col("predicted")).otherwise(~F.col("design").endswith("sensitivity"))
     return out.select(
         "design", "model", "seed", "fold", "row_id", "role", "label", "ood_distance",
@@ -354,12 +355,13 @@ def _grid_checks(spark, sf, model):
     )
 
 
-@query("training_grid_trees", _grid_sql("tree_ensemble"), ("vgrid",))
+@query("training_grid_trees", _grid_sql("tree_ensemble", "gsplit"), ("vgrid",))
 def training_grid_trees(spark, sf):
-    return _grid_checks(spark, sf, "tree_ensemble")
+    """The grouped design: 10 cells with three inner folds each, 12,000 trees."""
+    return _grid_checks(spark, sf, "tree_ensemble", "cluster_grouped")
 
 
-@query("training_grid_margins", _grid_sql("linear_svm"), ("vgrid",))
+@query("training_grid_margins", _grid_sql("linear_svm", "vall"), ("vgrid",))
 def training_grid_margins(spark, sf):
     return _grid_checks(spark, sf, "linear_svm")
 
