@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import small_batches, stage, text_slices, with_row_key
 from kinfold.llm.components import components
+from kinfold.llm.exact import bodies, mixed_spots, verified
+from kinfold.llm.words import shingles, words_of
 
 BLOCK = 4096
 #: Bits of a set's sketch, texts sampled for common shingles, and how many of those are kept.
@@ -36,19 +38,6 @@ ODD, SAMPLE, COMMON = 1024, 4096, 200_000
 SEGMENT, AXES = 4, 8
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(words: list[bytes], size: int) -> list[bytes]:
-    if len(words) <= size:
-        return [b" ".join(words)] if words else []
-    if size == 1:
-        return words
-    return list(map(b" ".join, zip(*[words[i:] for i in range(size)], strict=False)))
-
-
 def majority_bits(hashes: np.ndarray) -> np.ndarray:
     """The bits (as one unsigned 64-bit integer) that are set in over half of the hashes."""
     if not len(hashes):
@@ -264,23 +253,23 @@ def hashed(text: str | None, size: int) -> tuple[int, np.ndarray]:
 
 
 def sketches(texts: DataFrame, size: int) -> DataFrame:
-    """``_row``, ``content`` (a hash of the word sequence), ``n`` (distinct shingles) and ``odd``.
+    """``_row``, ``content`` (a hash of the word sequence), ``n`` (distinct shingles), fingerprint ``f0`` and ``odd``.
 
-    Each shingle flips one of ``ODD`` bits, so two sketches differ in no more bits than their sets do in members.
+    A bit of the fingerprint is set if it is in over half of the distinct shingles' hashes. Each shingle flips one of ``ODD`` bits, so two sketches differ in no more bits than their sets do in members.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 8_000_000):
-            content, sizes, odd = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), []
+            content, sizes, odd = np.zeros((2, batch.num_rows), np.uint64), np.zeros(batch.num_rows, np.int32), []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                content[row], found = hashed(text, size)
-                sizes[row] = len(found)
+                content[0, row], found = hashed(text, size)
+                content[1, row], sizes[row] = majority_bits(found)[0], len(found)
                 flips = np.bincount((found >> np.uint64(20)).astype(np.int64) % ODD, minlength=ODD)
                 odd.append(np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(sizes), pa.array(odd, pa.binary())], names=["_row", "content", "n", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, content.view(np.int64)), pa.array(sizes), pa.array(odd, pa.binary())], names=["_row", "content", "f0", "n", "odd"])
 
     small_batches(texts.sparkSession)
-    return texts.select("_row", "_text").mapInArrow(compute, "_row long, content long, n int, odd binary")
+    return texts.select("_row", "_text").mapInArrow(compute, "_row long, content long, f0 long, n int, odd binary")
 
 
 def common_shingles(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +344,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Ta
 
 
 def shared_spots(placed: DataFrame) -> DataFrame:
-    """The rows of ``prefixes`` in spots of two texts or more, one spot for all that hold the same texts."""
+    """``spot, key, m``: the rows of ``prefixes`` in spots of two texts or more, one spot for ``m`` that hold the same texts."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "spot"):
@@ -372,11 +361,11 @@ def shared_spots(placed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(keys)], names=["spot", "key"])
 
     small_batches(placed.sparkSession, 20_000)
-    return placed.repartition("spot").sortWithinPartitions("spot", "key").mapInArrow(keep, "spot long, key long").distinct()
+    return placed.repartition("spot").sortWithinPartitions("spot", "key").mapInArrow(keep, "spot long, key long").groupBy("spot", "key").agg(F.count("*").alias("m"))
 
 
 def candidates(members: DataFrame, similarity: float, thin: bool) -> DataFrame:
-    """Pairs ``a, b`` of ``members`` (``spot, key, root, n, odd``) that share a spot but no root and may be similar enough.
+    """Pairs ``hub, key`` of ``members`` (``spot, key, root, n, odd``) that share a spot but no root and may be similar enough.
 
     Sets of that similarity differ in at most (1 - s) / (1 + s) of their sizes' sum. ``thin``: a spot leaves
     a spanning forest of its pairs, closest first.
@@ -389,46 +378,73 @@ def candidates(members: DataFrame, similarity: float, thin: bool) -> DataFrame:
             odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(spots), -1)
             a, b, _ = forest(spots, np.zeros(len(spots), np.int8), keys, odd, sizes * ratio + 1e-6, roots, thin)
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["hub", "key"])
 
     small_batches(members.sparkSession, 20_000)
     ordered = members.repartition("spot").sortWithinPartitions("spot", "key").select("spot", "key", "root", "n", "odd")
-    return ordered.mapInArrow(pair, "a long, b long").distinct()
+    return ordered.mapInArrow(pair, "hub long, key long").distinct()
+
+
+def possible(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """The ``hub, key`` pairs whose sizes and sketches (``n, odd`` of ``points``) allow the similarity."""
+    ratio = (1 - similarity) / (1 + similarity)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            most = (batch.column("a").to_numpy() + batch.column("b").to_numpy()) * ratio + 1e-6
+            yield batch.select(["hub", "key"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
+
+    small_batches(pairs.sparkSession, 20_000)
+    hubs = points.select(F.col("key").alias("hub"), F.col("n").alias("a"), F.col("odd").alias("x"))
+    own = points.select("key", F.col("n").alias("b"), F.col("odd").alias("y"))
+    near = pairs.join(own, "key").join(hubs, "hub").filter(F.least("a", "b") >= similarity * F.greatest("a", "b") - 1e-9)
+    return near.select("hub", "key", "a", "x", "b", "y").mapInArrow(choose, "hub long, key long")
+
+
+def best_hubs(spots: DataFrame) -> DataFrame:
+    """``hub, key``: each text with the one that it meets in most cells of those that come first in a cell."""
+    hubs = spots.groupBy("spot").agg(F.min("key").alias("hub"))
+    counted = spots.join(hubs, "spot").filter("hub != key").groupBy("key", "hub").agg(F.sum("m").alias("m"))
+    return counted.groupBy("key").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub")).select("hub", "key")
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest id stays.
 
     Near copies share at least ``similarity`` (Jaccard) of their distinct shingles of ``size`` words; all such
-    pairs are found, up to collisions of 64-bit hashes. They meet in the cells of their prefixes. First each cell
-    leaves a spanning forest of its pairs, which is checked on the shingles; then all pairs of cells that the
-    checked links leave unconnected are. Texts with the same words in the same order are copies; those
-    without words (null, empty, blank) are copies of each other. Null ids yield to others.
+    pairs are found, up to collisions of 64-bit hashes. The closest are linked first, by the fingerprints' grid
+    and by the text that each meets in most cells of its prefix. Only cells of prefixes in which these links
+    leave several groups are looked at again: once for a spanning forest of the groups' closest pairs, then
+    for all pairs of groups still apart. Every link is checked on the full sets. Texts with the same words in
+    the same order are copies; those without words (null, empty, blank) are copies of each other. Null ids
+    yield to others.
     """
     rows = with_row_key(docs.select("*"), "_row")
     keyed = rows.select(F.col("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     whole = stage(sketches(keyed, size), "sketches")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
-    points = stage(whole.join(keyed.select("_row", "_id"), "_row").groupBy("content").agg(first, F.min("n").alias("n"), F.min("odd").alias("odd")).withColumnRenamed("content", "key"), "points")
+    least = [F.min(c).alias(c) for c in ("f0", "n", "odd")]
+    points = stage(whole.join(keyed.select("_row", "_id"), "_row").groupBy("content").agg(first, *least).withColumnRenamed("content", "key"), "points")
     common = common_shingles(keyed, size, points.count())
     spots = stage(shared_spots(prefixes(keyed, size, similarity, common)), "spots")
-
-    def similar(near: DataFrame) -> DataFrame:
-        nodes = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-        wanted = points.select("key", F.col("first._row").alias("_row")).join(nodes, "key")
-        parts = stage(shingle_table(keyed.join(wanted, "_row").select("key", F.col("_text").alias("text")), size), "parts")
-        pairs = near.join(parts.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(parts.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-    sizes = points.select("key", "n", "odd")
-    near = stage(candidates(spots.join(sizes, "key").withColumn("root", F.col("key")), similarity, True), "links")
-    sure = stage(similar(near), "sure")
-    groups = components(sure).withColumnRenamed("node", "key")
-    named = spots.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed_spots = named.groupBy("spot").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("spot")
-    left = stage(candidates(named.join(mixed_spots, "spot").join(sizes, "key"), similarity, False).join(near, ["a", "b"], "left_anti"), "links")
-    groups = components(sure.unionByName(similar(left)))
+    wanted = spots.select("key").distinct().join(points.select("key", F.col("first._row").alias("_row")), "key")
+    texts = stage(bodies(keyed.select("_row", F.col("_text").alias("text")), wanted), "bodies")
+
+    sketch = points.select("key", "n", "odd")
+    close = links(points.filter("n > 0").select("key", "f0"), 3).select(F.col("a").alias("hub"), F.col("b").alias("key"))
+    met = close.unionByName(best_hubs(spots)).select(F.least("hub", "key").alias("hub"), F.greatest("hub", "key").alias("key")).distinct()
+    tried = stage(possible(met, sketch, similarity), "pairs")
+    found = stage(verified(tried, texts, size, similarity), "links")
+    groups = components(found)
+    cells = spots.select(F.col("spot").alias("cell"), "key")
+    for thin in (True, False):
+        apart = mixed_spots(cells, groups.withColumnRenamed("node", "key"), sketch, BLOCK)
+        near = possible(candidates(apart, similarity, thin), sketch, similarity)
+        new = stage(near.join(tried, ["hub", "key"], "left_anti"), "pairs")
+        tried = tried.unionByName(new)
+        found = found.unionByName(stage(verified(new, texts, size, similarity), "links"))
+        groups = components(found)
     placed = points.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     stay = placed.groupBy(F.coalesce("root", "key").alias("group")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return rows.join(stay, "_row", "left_semi").drop("_row")

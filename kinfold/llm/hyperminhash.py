@@ -28,25 +28,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import shuffle_partitions, stage, text_slices, with_row_key
+from kinfold.llm.common import stage, text_slices, with_row_key
 from kinfold.llm.components import components
-from kinfold.llm.fingerprints import mixed, shingles, whole_runs, words_of
+from kinfold.llm.exact import bodies, hash_set, mixed_spots, verified
+from kinfold.llm.fingerprints import mixed, whole_runs
 
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
 MANTISSA, MOST_ZEROS, EMPTY = 11, 30, 0xFFFF
-BLOCK, PART = 1024, 512
-
-
-def hash_set(text: str | bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; bytes are words joined by blanks."""
-    from xxhash import xxh64_intdigest
-
-    words = text.split(b" ") if isinstance(text, bytes) and text else words_of(text or None)
-    return np.unique(np.fromiter(map(xxh64_intdigest, set(shingles(words, size))), np.uint64))
+BLOCK = 1024
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -178,49 +171,6 @@ def estimated(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFra
     return near.select("hub", "key", "a", "x", "b", "y").mapInArrow(choose, "hub long, key long")
 
 
-def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key`` and ``body``, its words joined by blanks and compressed, for ``wanted`` (``key, _row``)."""
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zstandard import ZstdCompressor
-
-        for batch in text_slices(batches, 8_000_000):
-            small = [ZstdCompressor(3).compress(b" ".join(words_of(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["_row", "body"])
-
-    return docs.select("_row", "text").mapInArrow(shrink, "_row long, body binary").join(wanted, "_row").select("key", "body")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links ``a, b``: the ``hub, key`` pairs whose full sets reach the similarity."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    split = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key")
-    heads = split.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("key"), F.lit(0).alias("role"))
-    rows = split.withColumn("role", F.lit(1)).unionByName(heads).join(texts, "key")
-    dealt = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "key").select("hub", "key", "role", "body")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zstandard import ZstdDecompressor
-
-        hub, own, percent = None, np.zeros(0, np.uint64), round(100 * similarity)
-        for batch in batches:
-            a, b = [], []
-            for head, key, role, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if role == 0 and head == hub:
-                    continue  # another part of the same hub
-                found = hash_set(ZstdDecompressor().decompress(body), size)
-                if role == 0:
-                    hub, own = head, found
-                    continue
-                both = len(np.intersect1d(own, found, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(found) - both):
-                    a.append(head)
-                    b.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(check, "a long, b long")
-
-
 def across(rows: DataFrame, similarity: float, thin: bool) -> DataFrame:
     """Pairs ``hub, key`` of different groups in ``rows`` (``spot, key, root, n, registers``) that may be similar.
 
@@ -264,20 +214,6 @@ def across(rows: DataFrame, similarity: float, thin: bool) -> DataFrame:
     return dealt.mapInArrow(pair, "hub long, key long").distinct()
 
 
-def mixed_spots(shared: DataFrame, groups: DataFrame, points: DataFrame) -> DataFrame:
-    """Rows for ``across``: cells of ``shared`` in which there are several groups, cut into pairs of blocks if crowded."""
-    named = shared.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    several = named.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x != y")
-    rows = named.join(several.select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "cell")
-    own: Column = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    pairs = rows.select("cell", "key", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spots = pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("spot"), "key", "root")
-    # cells that hold the same points are looked at once
-    same = spots.groupBy("spot").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.count("*").alias("m"))
-    one = spots.join(same.groupBy("h", "m").agg(F.min("spot").alias("spot")), "spot", "left_semi")
-    return one.join(points.select("key", "n", "registers"), "key")
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     rows = with_row_key(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_row")
@@ -299,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     for thin in (True, False):
         # the closest pairs only spare the last pass work: a quarter of the cells finds most of them
         seen = shared.filter(F.pmod("cell", F.lit(4)) == 0) if thin else shared
-        near = across(mixed_spots(seen.select("cell", "key"), groups.withColumnRenamed("node", "key"), points), similarity, thin)
+        near = across(mixed_spots(seen.select("cell", "key"), groups.withColumnRenamed("node", "key"), points.select("key", "n", "registers"), BLOCK), similarity, thin)
         new = stage(near.join(tried, ["hub", "key"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
         links = links.unionByName(stage(verified(new, texts, size, similarity), "links"))

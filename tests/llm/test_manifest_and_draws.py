@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import hyperminhash, merkle, resampling
+from kinfold.llm import exact, hyperminhash, merkle, resampling
 from kinfold.llm.ordering import ranked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, _row int"
@@ -217,7 +217,7 @@ def test_groups_equal_all_pairs(spark):
 
 def test_crowded_cells_and_hubs_are_cut(spark, monkeypatch):
     monkeypatch.setattr(hyperminhash, "BLOCK", 16)
-    monkeypatch.setattr(hyperminhash, "PART", 8)
+    monkeypatch.setattr(exact, "PART", 8)
     rnd = random.Random(4)
     base = [f"w{rnd.randint(0, 300)}" for _ in range(120)]
     rows = [(i, " ".join(w if rnd.random() >= 0.04 else f"v{rnd.randint(0, 99)}" for w in base)) for i in range(150)]
