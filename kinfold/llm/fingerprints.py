@@ -428,14 +428,18 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
     points = stage(whole.join(keyed.select("_row", "_id"), "_row").groupBy("content").agg(first, *least).withColumnRenamed("content", "key"), "points")
     common = common_shingles(keyed, size, points.count())
     spots = stage(shared_spots(prefixes(keyed, size, similarity, common)), "spots")
-    wanted = spots.select("key").distinct().join(points.select("key", F.col("first._row").alias("_row")), "key")
-    texts = stage(bodies(keyed.select("_row", F.col("_text").alias("text")), wanted), "bodies")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("key").unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
+        wanted = stage(ends.join(points.select("key", F.col("first._row").alias("_row")), "key"), "ends")
+        own = keyed.join(wanted, "_row", "left_semi").select("_row", F.col("_text").alias("text"))
+        return stage(verified(pairs, stage(bodies(own, wanted), "bodies"), size, similarity), "links")
 
     sketch = points.select("key", "n", "odd")
     close = links(points.filter("n > 0").select("key", "f0"), 3).select(F.col("a").alias("hub"), F.col("b").alias("key"))
     met = close.unionByName(best_hubs(spots)).select(F.least("hub", "key").alias("hub"), F.greatest("hub", "key").alias("key")).distinct()
     tried = stage(possible(met, sketch, similarity), "pairs")
-    found = stage(verified(tried, texts, size, similarity), "links")
+    found = similar(tried)
     groups = components(found)
     cells = spots.select(F.col("spot").alias("cell"), "key")
     for thin in (True, False):
@@ -443,8 +447,10 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
         near = possible(candidates(apart, similarity, thin), sketch, similarity)
         new = stage(near.join(tried, ["hub", "key"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
-        found = found.unionByName(stage(verified(new, texts, size, similarity), "links"))
-        groups = components(found)
+        more = similar(new)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            groups = components(found)
     placed = points.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     stay = placed.groupBy(F.coalesce("root", "key").alias("group")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return rows.join(stay, "_row", "left_semi").drop("_row")
