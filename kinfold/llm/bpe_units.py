@@ -2,7 +2,7 @@
 
 A space after a character that is not white space always begins a new word of the byte-level
 pattern, so a text may be cut there and its parts encoded apart. Parts repeat, and a worker
-remembers the latest of them.
+remembers the latest of them. The vocabulary's added tokens are cut out first: each is one id.
 """
 
 from __future__ import annotations
@@ -69,12 +69,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokens = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
+        self.added = {text: array("I", [k]).tobytes() for text, k in tokens.items()}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})") if tokens else None
+        tokenizer.encode_special_tokens = True  # no unit holds one of them any more
         self.first, self.rest = Units(tokenizer, ""), Units(tokenizer, " ")
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[part] if k % 2 else self(part) for k, part in enumerate(self.cut.split(text)))
         if len(self.rest) > LIMIT:
             self.rest = Units(self.rest.tokenizer, " ", self.rest)
         if len(self.first) > LIMIT // 10:
