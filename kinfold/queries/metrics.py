@@ -107,9 +107,9 @@ def instance_mean(spark, sf):
 
 
 @query("average_over_folds", """SELECT design, model, seed, row_id, cluster_id, label, parent, ood_distance, round(avg(confidence), 6) AS confidence, round(avg(accepted::INT), 6) AS accepted
-FROM op WHERE model = 'm_b' AND seed = 2 GROUP BY ALL""", ("ood_p",))
+FROM op GROUP BY ALL""", ("ood_p",))
 def average_over_folds(spark, sf):
-    out = rt.average_over_folds(unknown(spark, sf).filter("model = 'm_b' AND seed = 2"), RUNK, ["confidence", "accepted"])
+    out = rt.average_over_folds(unknown(spark, sf), RUNK, ["confidence", "accepted"])
     return rounded(out, "confidence", "accepted")
 
 
@@ -190,15 +190,14 @@ def softmax_logits(spark, sf):
     return long.select("design", "seed", "fold", "row_id", F.col("x.c").alias("class"), F.round("x.z", 6).alias("logit"), F.round("x.s", 6).alias("p"))
 
 
-@query("align_scores", """+ k AS (SELECT max(k) AS k FROM classes) SELECT row_id, CASE WHEN j = 0 THEN -50e0 ELSE round(p, 6) END AS score, class FROM scored WHERE design = 'row_random' AND seed = 1 AND role = 'test_known'""", ("scored",))
+@query("align_scores", """+ k AS (SELECT max(k) AS k FROM classes) SELECT design, seed, fold, row_id, CASE WHEN j = 0 THEN -50e0 ELSE round(p, 6) END AS score, class FROM scored WHERE role = 'test_known'""", ("scored",))
 def align_scores(spark, sf):
     classes, rows = prob_rows(spark, sf)
-    some = rows.filter("design = 'row_random' AND seed = 1")
     local = F.reverse(F.slice(ar.class_array(classes), 2, len(classes)))
     values = F.reverse(F.slice("probability", 2, len(classes)))
     aligned = ar.align_scores(values, local, ar.class_array(classes))
-    long = some.select("row_id", F.explode(F.arrays_zip(ar.class_array(classes).alias("class"), aligned.alias("score"))).alias("x"))
-    return long.select("row_id", F.col("x.class").alias("class"), F.round("x.score", 6).alias("score"))
+    long = rows.select("design", "seed", "fold", "row_id", F.explode(F.arrays_zip(ar.class_array(classes).alias("class"), aligned.alias("score"))).alias("x"))
+    return long.select("design", "seed", "fold", "row_id", F.col("x.class").alias("class"), F.round("x.score", 6).alias("score"))
 
 
 define("prw", """pk AS (SELECT * FROM prow WHERE role = 'test_known'),
