@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cosine: balanced posting lists.
 
-Centroids are fitted by balanced k-means on at most ``SAMPLE`` vectors (smallest hashes of the ids):
+Centroids are fitted by balanced k-means on at most ``SAMPLE`` vectors (smallest hashes of the rows):
 a centroid that draws over twice its share splits with the weakest. Every vector goes to its nearest
 centroid and, near a boundary, to up to ``COPIES`` centroids within ``REPLICATE`` of that distance.
-A list longer than a block is cut into blocks by a hash of the id, so a crowded list is searched by
+A list longer than a block is cut into blocks by a hash of the row, so a crowded list is searched by
 many tasks. Centroids are linked to their nearest others in a graph that every task holds in memory
 (bounded by the sample); a best-first walk from some entry points finds candidates, and a query takes
 the lists within ``PRUNE`` times its nearest distance, and further ones until they hold ``LEAST``
@@ -106,7 +106,7 @@ class Graph:
 
 
 def assign(vectors: DataFrame, graph: Graph, queries: bool) -> DataFrame:
-    """``list, vec_id, vector``: the lists that hold a vector, or that a query searches; ``place`` counts from 0."""
+    """``list, vec_id, row, vector``: the lists that hold a vector, or that a query searches; ``place`` counts from 0."""
     shared = vectors.sparkSession.sparkContext.broadcast(graph)  # LISTS centroids at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def assign(vectors: DataFrame, graph: Graph, queries: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points = unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
+            points = unit(batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1))
             if queries:
                 found = [g.near(p, PRUNE, LEAST) for p in points]
             else:
@@ -127,20 +127,20 @@ def assign(vectors: DataFrame, graph: Graph, queries: bool) -> DataFrame:
             at = pa.array(rows)
             lists = pa.array(np.concatenate([np.array(f, np.int32) for f in found]))
             places = pa.array(np.concatenate([np.arange(len(f), dtype=np.int32) for f in found]))
-            yield pa.RecordBatch.from_arrays([lists, places, batch.column(0).take(at), batch.column(1).take(at)], names=["list", "place", "vec_id", "vector"])
+            yield pa.RecordBatch.from_arrays([lists, places, *(batch.column(c).take(at) for c in ("vec_id", "row", "vector"))], names=["list", "place", "vec_id", "row", "vector"])
 
     small_batches(vectors.sparkSession, 2048)
-    return vectors.mapInArrow(place, "list int, place int, vec_id long, vector array<double>")
+    return vectors.mapInArrow(place, "list int, place int, vec_id long, row long, vector array<double>")
 
 
-def cosines(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int) -> Iterator[tuple]:
+def cosines(ids: np.ndarray, rows: np.ndarray, points: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, top: int) -> Iterator[tuple]:
     near = unit(queries) @ unit(points).T
     norms = np.sqrt((points * points).sum(1))
-    for k in range(len(query_ids)):
-        at = best_rows(near[k], ids, query_ids[k], top, 1e-9)
+    for k in range(len(query_rows)):
+        at = best_rows(near[k], rows, query_rows[k], top, 1e-9)
         exact = (points[at] * queries[k]).sum(1) / (norms[at] * np.sqrt((queries[k] * queries[k]).sum()))
-        order = np.lexsort((ids[at], -exact))[:top]
-        yield query_ids[k], ids[at][order], exact[order]
+        order = np.lexsort((rows[at], ids[at], -exact))[:top]
+        yield k, at[order], exact[order]
 
 
 def search(table: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -150,7 +150,7 @@ def search(table: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", vec
     count = vectors.count()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows at most
+    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect()  # SAMPLE rows at most
     points = unit(np.array([r["vector"] for r in sample]))
     lists = int(min(LISTS, max(1, count // SHARE), max(1, len(points) // 8)))
     graph = Graph(fit_centres(points, lists))
@@ -161,11 +161,11 @@ def search(table: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", vec
     asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
     cuts = spark.createDataFrame([(k, -(-sizes[k][0] // BLOCK), -(-asked[k] // QUERIES)) for k in sizes if k in asked] or [(-1, 1, 1)], "list int, many int, asks int")
     # vectors of block v and queries of block q of a list meet in block (list, v, q)
-    salt = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.when(F.col("side") == 0, F.col("many")).otherwise(F.col("asks"))).cast("int")
+    salt = F.pmod(F.xxhash64("row", F.lit(3)), F.when(F.col("side") == 0, F.col("many")).otherwise(F.col("asks"))).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("asks")).otherwise(F.col("many")) - 1)).alias("other")
-    both = postings.select(F.lit(0).cast("byte").alias("side"), "list", "vec_id", "vector").unionByName(probes.select(F.lit(1).cast("byte").alias("side"), "list", "vec_id", "vector"))
-    rows = both.join(F.broadcast(cuts), "list").select("side", "list", "vec_id", "vector", "many", "asks", salt.alias("salt"), each)
+    both = postings.select(F.lit(0).cast("byte").alias("side"), "list", "vec_id", "row", "vector").unionByName(probes.select(F.lit(1).cast("byte").alias("side"), "list", "vec_id", "row", "vector"))
+    rows = both.join(F.broadcast(cuts), "list").select("side", "list", "vec_id", "row", "vector", "many", "asks", salt.alias("salt"), each)
     v, q = F.when(F.col("side") == 0, F.col("salt")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("salt"))
     block = (F.col("list").cast("long") * (1 << 40)) + v.cast("long") * (1 << 20) + q
-    sides = rows.select(block.alias("block"), "side", "vec_id", "vector")
-    return merge_top(search_blocks(sides, lambda i, p, k, x: cosines(i, p, k, x, top), "double"), top)
+    sides = rows.select(block.alias("block"), "side", "vec_id", "row", "vector")
+    return merge_top(search_blocks(sides, lambda i, r, p, k, x: cosines(i, r, p, k, x, top), "double"), top)

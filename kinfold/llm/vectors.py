@@ -13,15 +13,14 @@ from pyspark.sql.window import Window
 from kinfold.llm.common import small_batches
 
 BLOCK, QUERIES = 4096, 1024
-SIDES = "block long, side byte, vec_id long, vector array<double>"
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero: bool = False) -> DataFrame:
-    """``vec_id, vector`` (double) of the rows that take part.
+    """``vec_id, row, vector`` (double) of the rows that take part; to be staged, as ``row`` numbers them.
 
     Null ids, null or empty vectors and vectors with a null or non-finite component don't; zero vectors
-    only with ``zero``. Vectors of another length than most (ties: the shorter) don't. Rows that repeat
-    an id count once: the smallest of its vectors.
+    only with ``zero``. Vectors of another length than most (ties: the shorter) don't. Rows that share
+    an id are rows of their own: each is a candidate, and each a query if its id is one's.
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     good = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).filter(
@@ -30,25 +29,26 @@ def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         good = good.filter(F.exists("vector", lambda x: x != 0))
     sizes = good.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
     own = good.filter(F.size("vector") == (sizes[0]["n"] if sizes else 0))
-    return own.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return own.select("vec_id", F.monotonically_increasing_id().alias("row"), "vector")
 
 
-def best_rows(scores: np.ndarray, ids: np.ndarray, own: int, top: int, slack: float) -> np.ndarray:
-    """Places of what can be among the ``top`` scores, all those within ``slack`` of the last included."""
-    able = np.where(ids == own, -np.inf, scores)
+def best_rows(scores: np.ndarray, rows: np.ndarray, own: int, top: int, slack: float) -> np.ndarray:
+    """Places of what can be among the ``top`` scores but for the query's own row, all those within ``slack`` of the last included."""
+    able = np.where(rows == own, -np.inf, scores)
     if len(able) > top:
         limit = np.partition(able, len(able) - top)[len(able) - top]
         return np.flatnonzero((able >= limit - slack) & (able > -np.inf))
     return np.flatnonzero(able > -np.inf)
 
 
-def search_blocks(sides: DataFrame, score: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]], kind: str) -> DataFrame:
+def search_blocks(sides: DataFrame, score: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]], kind: str) -> DataFrame:
     """Meet the two sides of each block: vectors (side 0) and queries (side 1), both of bounded number.
 
-    ``score(vector ids, vectors, query ids, queries)`` yields (query, ids, scores). Blocks come in order,
-    so a task holds one at a time.
+    ``score(vector ids, their rows, vectors, rows of queries, queries)`` yields (place of the query, places
+    of vectors, scores). Blocks come in order, so a task holds one at a time.
     """
     ordered = sides.repartition("block").sortWithinPartitions("block", "side")
+    names = ["query_id", "query_row", "vec_id", "row", "score"]
     of = pa.int64() if kind == "long" else pa.float64()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,16 +56,18 @@ def search_blocks(sides: DataFrame, score: Callable[[np.ndarray, np.ndarray, np.
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             blocks, side = table.column("block").to_numpy(), table.column("side").to_numpy()
-            ids, flat = table.column("vec_id").to_numpy(), table.column("vector").combine_chunks().flatten().to_numpy()
+            ids, rows, flat = table.column("vec_id").to_numpy(), table.column("row").to_numpy(), table.column("vector").combine_chunks().flatten().to_numpy()
             points = flat.reshape(len(ids), -1)
             for start in np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist():
                 end = int(np.searchsorted(blocks, blocks[start], side="right"))
                 cut = start + int((side[start:end] == 0).sum())
                 if start < cut < end:
-                    out = list(score(ids[start:cut], points[start:cut], ids[cut:end], points[cut:end]))
+                    out = list(score(ids[start:cut], rows[start:cut], points[start:cut], rows[cut:end], points[cut:end]))
                     if out:
-                        queries = np.concatenate([np.full(len(i), q) for q, i, _ in out])
-                        yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]), of)], names=["query_id", "vec_id", "score"])
+                        query = cut + np.repeat([k for k, _, _ in out], [len(at) for _, at, _ in out])
+                        place = start + np.concatenate([at for _, at, _ in out])
+                        scores = pa.array(np.concatenate([s for _, _, s in out]), of)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ids[query], rows[query], ids[place], rows[place])), scores], names=names)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -81,11 +83,11 @@ def search_blocks(sides: DataFrame, score: Callable[[np.ndarray, np.ndarray, np.
             yield from found(rest.combine_chunks())
 
     small_batches(sides.sparkSession, 4096)
-    return ordered.mapInArrow(meet, f"query_id long, vec_id long, score {kind}")
+    return ordered.mapInArrow(meet, f"query_id long, query_row long, vec_id long, row long, score {kind}")
 
 
 def merge_top(found: DataFrame, top: int) -> DataFrame:
-    """The best ``top`` of each query: ``query_id, rank, vec_id, score``."""
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The best ``top`` of each query row: ``query_id, rank, vec_id, score``."""
+    once = found.groupBy("query_row", "row").agg(F.max("query_id").alias("query_id"), F.max("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

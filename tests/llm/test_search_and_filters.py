@@ -62,10 +62,16 @@ def vector_rows(n=400):
 
 
 def brute(points, top, score):
-    out = {}
-    for q in [i for i in points if i % 50 == 0]:
-        out[q] = sorted(((-score(points[q], points[v]), v) for v in points if v != q))[:top]
-    return out
+    """(query id, its finds) of every query row; rows that share an id are rows of their own."""
+    out = []
+    for at, (q, point) in enumerate(points):
+        if q % 50 == 0:
+            out.append((q, sorted((-score(point, other), v) for k, (v, other) in enumerate(points) if k != at)[:top]))
+    return sorted(out)
+
+
+def cosine(a, b):
+    return float(a @ b / math.sqrt((a @ a) * (b @ b)))
 
 
 def test_vector_searches(spark, monkeypatch):
@@ -74,20 +80,33 @@ def test_vector_searches(spark, monkeypatch):
         monkeypatch.setattr(module, "QUERIES", 3)
     rows = vector_rows()
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    points = {i: np.array(v, float) for i, v, _ in rows[:401] if v is not None}
+    points = [(i, np.array(v, float)) for i, v, _ in [*rows[:400], rows[-1]]]
     near = defaultdict(list)
-    for r in posting_lists.search(table, every_fiftieth).orderBy("query_id", "rank").collect():
+    for r in posting_lists.search(table, every_fiftieth).collect():
         near[r.query_id].append((r["rank"], r.vec_id, r.score))
-    want = brute(points, 5, lambda a, b: float(a @ b / math.sqrt((a @ a) * (b @ b))))
-    assert set(near) == set(want) and all([k for k, *_ in v] == [1, 2, 3, 4, 5] for v in near.values())
-    hits = [len({v for _, v, _ in near[q]} & {v for _, v in want[q]}) for q in want]
-    assert sum(hits) >= 0.9 * 5 * len(want)
-    assert all(abs(s - float(points[q] @ points[v] / math.sqrt((points[q] @ points[q]) * (points[v] @ points[v])))) < 1e-12 for q in near for _, v, s in near[q])
-    whole = {i: np.floor(256 * p) for i, p in points.items()} | {401: np.zeros(8)}
-    exact = defaultdict(list)
-    for r in norm_buckets.search(table, every_fiftieth).orderBy("query_id", "rank").collect():
-        exact[r.query_id].append((-r.score, r.vec_id))
-    assert dict(exact) == brute(whole, 5, lambda a, b: int(a @ b))
+    want = defaultdict(list)
+    for q, finds in brute(points, 5, cosine):
+        want[q] += [v for _, v in finds]
+    assert set(near) == set(want) and all(sorted(k for k, *_ in near[q]) == sorted([1, 2, 3, 4, 5] * (len(want[q]) // 5)) for q in want)
+    hits = sum((Counter(v for _, v, _ in near[q]) & Counter(want[q])).total() for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    own = dict(points)
+    assert all(abs(s - cosine(own[q], own[v])) < 1e-12 for q in near for _, v, s in near[q])
+    whole = [(i, np.floor(256 * p)) for i, p in points] + [(401, np.zeros(8))]
+    exact = [(r.query_id, r["rank"], r.vec_id, r.score) for r in norm_buckets.search(table, every_fiftieth).collect()]
+    assert sorted(exact) == sorted((q, k, v, -s) for q, finds in brute(whole, 5, lambda a, b: int(a @ b)) for k, (s, v) in enumerate(finds, 1))
+
+
+def test_rows_that_share_an_id(spark):
+    """A third of all rows and two queries with one id: each row is a candidate, also of its namesake."""
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [1.0, 3.0]), (2, [2.0, 2.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])] + [(7, [1.0, 0.01 * k]) for k in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    points = [(i, np.array(v)) for i, v in rows]
+    near = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in posting_lists.search(table, every_fiftieth, 9).collect()]
+    assert sorted(near) == sorted((q, k, v, round(-s, 9)) for q, finds in brute(points, 9, cosine) for k, (s, v) in enumerate(finds, 1))
+    whole = [(i, np.floor(256 * p)) for i, p in points]
+    exact = [(r.query_id, r["rank"], r.vec_id, r.score) for r in norm_buckets.search(table, every_fiftieth, 9).collect()]
+    assert sorted(exact) == sorted((q, k, v, -s) for q, finds in brute(whole, 9, lambda a, b: int(a @ b)) for k, (s, v) in enumerate(finds, 1))
 
 
 def test_vector_searches_on_few_rows(spark):
