@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from kinfold.functions.hashing import draw
 from kinfold.operators.metrics import confusion, scores_from_confusion
 from kinfold.operators.ranking import _null_safe_join, hash_rank
-from kinfold.session import spread
+from kinfold.session import durable, spread
 
 SLOT_CHUNK = 4096
+#: Cluster records (a few names and numbers each) up to this count are sent to every task.
+SENT_RECORDS = 200_000
 
 
 def percentile_interval(draws: DataFrame, keys: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
@@ -37,6 +39,18 @@ def number_clusters(clusters: DataFrame, stratum: Sequence[str], unit: str = "cl
     return ranked.withColumn("index", F.col("__r") - 1).drop("__r")
 
 
+def meet_draws(draws: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each draw with the records that it picked.
+
+    Draws come from a generator, which the optimizer's size estimates leave out: they are never the side
+    that is sent or built. Records are staged and counted; up to ``SENT_RECORDS`` are sent to every task, so
+    that draws are summed where they arise, more are merged with the draws by key.
+    """
+    records = durable(records)
+    small = records.count() <= SENT_RECORDS
+    return _null_safe_join(draws, F.broadcast(records) if small else records.hint("merge"), keys)
+
+
 def resample(numbered: DataFrame, keys: Sequence[str], stratum: Sequence[str], replicates: int, seed: int) -> DataFrame:
     """``(replicate, keys, stratum, index)``: one row per draw, n draws per stratum and replicate.
 
@@ -57,7 +71,7 @@ def clustered_rate(df: DataFrame, value: str, replicates: int, seed: int, keys:
     stats = df.groupBy(*keys, "cluster_id").agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))
     numbered = number_clusters(stats, keys)
     draws = resample(numbered, keys, [], replicates, seed)
-    return _null_safe_join(draws, numbered.drop("n_units", "cluster_id"), [*keys, "index"]).groupBy(
+    return meet_draws(draws, numbered.drop("n_units", "cluster_id"), [*keys, "index"]).groupBy(
         *keys, "replicate").agg((F.sum("__s") / F.sum("__n")).alias(value))
 
 
@@ -106,7 +120,7 @@ def paired_f1(df: DataFrame, arms: dict[str, str], replicates: int, seed: int, k
     numbered = number_clusters(stats.select(*keys, *stratum, "cluster_id").distinct(), [*keys, *stratum])
     draws = resample(numbered, keys, stratum, replicates, seed)
     indexed = _null_safe_join(stats, numbered.drop("n_units"), [*keys, *stratum, "cluster_id"]).drop("cluster_id")
-    drawn = _null_safe_join(draws, indexed, [*keys, *stratum, "index"])
+    drawn = meet_draws(draws, indexed, [*keys, *stratum, "index"])
     counts = drawn.groupBy(*keys, "replicate", *within, "true_label", "predicted_label").agg(
         *[F.sum(a).alias(a) for a in amounts]
     )
@@ -154,7 +168,7 @@ def hierarchical(df: DataFrame, values: Sequence[str], replicates: int, seed: in
     )
     pick = draw(F.col("n_units"), F.lit(seed), F.col("replicate"), *[F.col(k) for k in keys], F.col("occurrence"))
     occurrences = occurrences.select(*keys, "replicate", "occurrence", pick.alias("index"))
-    drawn = _null_safe_join(occurrences, labels.select(*keys, "index", "label", "__size"), [*keys, "index"])
+    drawn = meet_draws(occurrences, labels.select(*keys, "index", "label", "__size"), [*keys, "index"])
     # two generators, so no array grows with the size of a label
     chunks = drawn.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__size") - 1) / SLOT_CHUNK))))
     last = F.least(F.col("__size"), (F.col("__chunk") + 1) * SLOT_CHUNK) - 1
@@ -162,7 +176,7 @@ def hierarchical(df: DataFrame, values: Sequence[str], replicates: int, seed: in
     at = draw(F.col("__size"), F.lit(seed), F.col("replicate"), *[F.col(k) for k in keys], F.col("occurrence"), F.col("__slot"))
     picks = slots.select(*keys, "replicate", "occurrence", "label", at.alias("index"))
     indexed = _null_safe_join(stats, numbered.drop("n_units"), [*keys, "label", "cluster_id"]).drop("cluster_id")
-    sampled = _null_safe_join(picks, indexed, [*keys, "label", "index"])
+    sampled = meet_draws(picks, indexed, [*keys, "label", "index"])
     if not overall:
         sampled = sampled.groupBy(*keys, "replicate", *instance, "occurrence").agg(*[F.avg(v).alias(v) for v in values])
     per = sampled.groupBy(*keys, "replicate", *instance).agg(*[F.avg(v).alias(v) for v in values])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.operators import contamination as ct
 from kinfold.plans import contamination_study as study
 from kinfold.queries.base import define, query, rounded, rows, vectors
-from kinfold.queries.inference import hash8
+from kinfold.queries.inference import B, hash8
 from kinfold.queries.metrics import f1_sql
 from kinfold.operators.features import explode_vectors
 from kinfold.session import durable
@@ -182,7 +182,7 @@ def condition_scores(spark, sf):
 
 define("bootc", f"""bcl AS (SELECT DISTINCT experiment, level, level_token, label, cluster_id FROM pdp),
 bcn AS (SELECT *, row_number() OVER (PARTITION BY experiment, level, level_token, label ORDER BY sha256(cluster_id::VARCHAR), cluster_id) - 1 AS i, count(*) OVER (PARTITION BY experiment, level, level_token, label) AS k FROM bcl),
-bcd AS (SELECT experiment, level, level_token, label, b AS replicate, {hash8('8', 'b', 'experiment', "level::DECIMAL(3,1)", 'level_token', 'label', 'i')} % k AS i FROM bcn, range(20) AS r(b)),
+bcd AS (SELECT experiment, level, level_token, label, b AS replicate, {hash8('8', 'b', 'experiment', "level::DECIMAL(3,1)", 'level_token', 'label', 'i')} % k AS i FROM bcn, range({B}) AS r(b)),
 bcx AS (SELECT d.experiment, d.level, d.level_token, d.replicate, p.label, p.predicted_leakage, p.predicted_control FROM bcd d JOIN bcn n USING (experiment, level, level_token, label, i) JOIN pdp p ON p.level = n.level AND p.cluster_id = n.cluster_id),
 """ + f1_sql("bl", "bcx", "experiment, level, level_token, replicate", pred="predicted_leakage") + ",\n" + f1_sql("bk", "bcx", "experiment, level, level_token, replicate", pred="predicted_control"), ("armp",))
 
@@ -190,17 +190,17 @@ bcx AS (SELECT d.experiment, d.level, d.level_token, d.replicate, p.label, p.pre
 @query("contamination_replicates", """SELECT level_token, replicate, round(bl.macro_f1, 6) AS macro_f1_leakage, round(bk.macro_f1, 6) AS macro_f1_control, round(bl.macro_f1 - bk.macro_f1, 6) AS macro_f1_delta, round(bl.accuracy - bk.accuracy, 6) AS accuracy_delta
 FROM bl JOIN bk USING (experiment, level, level_token, replicate)""", ("bootc",))
 def contamination_replicates(spark, sf):
-    out = ct.cluster_bootstrap(durable(ct.pair_predictions(arm_predictions(spark, sf))), 20, 8)
+    out = ct.cluster_bootstrap(durable(ct.pair_predictions(arm_predictions(spark, sf))), B, 8)
     return rounded(out.select("level_token", "replicate", "macro_f1_leakage", "macro_f1_control", "macro_f1_delta", "accuracy_delta"),
                    "macro_f1_leakage", "macro_f1_control", "macro_f1_delta", "accuracy_delta")
 
 
 @query("contamination_intervals", """+ u AS (SELECT level_token, bl.macro_f1 - bk.macro_f1 AS v FROM bl JOIN bk USING (experiment, level, level_token, replicate)), """
-       + f1_sql("pl", "pdp", "level_token", pred="predicted_leakage") + ",\n" + f1_sql("pc", "pdp", "level_token", pred="predicted_control") + """
-SELECT level_token, 'macro_f1_delta' AS metric, round(any_value(pl.macro_f1 - pc.macro_f1), 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, CAST(20 AS BIGINT) AS replicates
+       + f1_sql("pl", "pdp", "level_token", pred="predicted_leakage") + ",\n" + f1_sql("pc", "pdp", "level_token", pred="predicted_control") + f"""
+SELECT level_token, 'macro_f1_delta' AS metric, round(any_value(pl.macro_f1 - pc.macro_f1), 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, CAST({B} AS BIGINT) AS replicates
 FROM u JOIN pl USING (level_token) JOIN pc USING (level_token) GROUP BY level_token""", ("bootc",))
 def contamination_intervals(spark, sf):
-    out = study.aggregate(durable(arm_predictions(spark, sf)), 20, 8)["intervals"].filter("metric = 'macro_f1_delta'")
+    out = study.aggregate(durable(arm_predictions(spark, sf)), B, 8)["intervals"].filter("metric = 'macro_f1_delta'")
     return rounded(out.select("level_token", "metric", "estimate", "ci_low", "ci_high", "replicates"), "estimate", "ci_low", "ci_high")
 
 

@@ -13,7 +13,7 @@ from kinfold.queries.calibration import explicit_rule
 from kinfold.queries.metrics import f1_sql, known, unknown
 from kinfold.session import durable
 
-B = 40
+B = 2_000
 
 
 def hash8(*parts: str) -> str:
@@ -26,9 +26,9 @@ cd AS (SELECT design, model, b AS replicate, {hash8('5', 'b', 'design', 'model',
 cr AS (SELECT d.design, d.model, d.replicate, sum(s) * 1e0 / sum(n) AS accepted FROM cd d JOIN cn USING (design, model, i) GROUP BY ALL)""", ("known_p",))
 
 
-@query("clustered_rate_replicates", "SELECT design, model, replicate, round(accepted, 6) AS accepted FROM cr", ("cb",))
+@query("clustered_rate_replicates", "SELECT design, model, replicate, accepted FROM cr", ("cb",))
 def clustered_rate_replicates(spark, sf):
-    return rounded(bs.clustered_rate(known(spark, sf), "accepted", B, 5, ["design", "model"]), "accepted")
+    return bs.clustered_rate(known(spark, sf), "accepted", B, 5, ["design", "model"])
 
 
 @query("clustered_rate_interval", f"SELECT design, model, round(quantile_cont(accepted, 0.025), 6) AS ci_low, round(quantile_cont(accepted, 0.975), 6) AS ci_high, CAST({B} AS BIGINT) AS replicates FROM cr GROUP BY ALL", ("cb",))
@@ -156,5 +156,5 @@ def holm_endpoints(spark, sf):
 @query("bootstrap_tables")
 def bootstrap_tables(spark, sf):
     rows = decision_rows(spark, sf).filter("design = 'cluster_grouped'").withColumn("model", F.lit("m_a"))
-    table, _ = os_.bootstrap_tables(durable(rows), 20, 6, ["corrected_accept", "legacy_accept", "corrected_any_correct"], explicit=explicit_rule())
+    table, _ = os_.bootstrap_tables(durable(rows), B, 6, ["corrected_accept", "legacy_accept", "corrected_any_correct"], explicit=explicit_rule())
     return rounded(table, "estimate", "ci_low", "ci_high")

@@ -172,7 +172,7 @@ def source_transport(spark, sf):
 
 # ------------------------------------------------------------------ permutation control
 
-PERM = 10
+PERM = 100
 define("perm", f"""pcl AS (SELECT DISTINCT cluster_id, label FROM vec), pg AS (SELECT *, b AS permutation FROM pcl, range({PERM}) AS r(b)),
 ps AS (SELECT permutation, cluster_id, row_number() OVER (PARTITION BY permutation ORDER BY sha256(concat_ws('|', 'slot', 77, permutation, cluster_id)), cluster_id) AS r FROM pg),
 pl AS (SELECT permutation, label, row_number() OVER (PARTITION BY permutation ORDER BY sha256(concat_ws('|', 'label', 77, permutation, cluster_id)), cluster_id) AS r FROM pg),

@@ -213,3 +213,14 @@ def test_equal_cluster_means_tie_at_any_partitioning(spark):
     found = {tuple(cv.detection_metrics(rt.cluster_scores(df.repartition(n), ["run"]), ["run"]).first()) for n in (1, 4, 8)}
     assert len(found) == 1
     assert cv.detection_metrics(rt.cluster_scores(df, ["run"]), ["run"]).first()["auroc"] == 0.5
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_draws_meet_records_either_way(spark, monkeypatch, sent):
+    """Records above the limit are merged by key instead of sent; both count every draw once."""
+    monkeypatch.setattr(bs, "SENT_RECORDS", sent)
+    records = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), (None, 0, 5.0)], "k string, index long, v double")
+    draws = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1), (None, 0)], "k string, index long")
+    met = bs.meet_draws(draws, records, ["k", "index"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (sent > 0) and sorted(r.v for r in met.collect()) == [1.0, 2.0, 2.0, 5.0]
