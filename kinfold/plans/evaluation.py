@@ -11,6 +11,7 @@ from kinfold.operators import bootstrap as bs
 from kinfold.operators import curves as cv
 from kinfold.operators import metrics as me
 from kinfold.operators import rates as rt
+from kinfold.session import durable
 from kinfold.operators.ranking import _null_safe_join
 from kinfold.operators.weights import evaluation_weights
 
@@ -98,6 +99,7 @@ def near_endpoint(ood: DataFrame, replicates: int, seed: int, keys: Sequence[str
 
 
 def _endpoint(draws: DataFrame, point: DataFrame, keys: list[str], value: str, name: str, null: float) -> DataFrame:
+    draws = durable(draws)  # one row a replicate, read twice
     interval = bs.percentile_interval(draws, keys, value)
     p = bs.one_sided_p(draws, keys, value, null)
     base = point.select(*keys, F.lit(name).alias("endpoint"), F.col(value).alias("estimate"), F.lit(null).alias("null_value"))

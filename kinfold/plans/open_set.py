@@ -82,7 +82,7 @@ def bootstrap_tables(decisions: DataFrame, replicates: int, seed: int, outcomes:
     tables, draws = [], []
     for part, overall, estimand in ((macro, False, "label-macro"), (pooled, True, "overall-cluster")):
         point = bs.hierarchical_point(part, group, instance, values, overall)
-        drawn = bs.hierarchical(part, values, replicates, seed, group, overall=overall)
+        drawn = durable(bs.hierarchical(part, values, replicates, seed, group, overall=overall))
         counts = part.groupBy(*group).agg(
             F.sum("__rows").alias("n_predictions"),
             F.countDistinct("cluster_id").alias("n_clusters"), F.countDistinct("label").alias("n_labels"),
