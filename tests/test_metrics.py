@@ -224,3 +224,23 @@ def test_draws_meet_records_either_way(spark, monkeypatch, sent):
     met = bs.meet_draws(draws, records, ["k", "index"])
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in plan) == (sent > 0) and sorted(r.v for r in met.collect()) == [1.0, 2.0, 2.0, 5.0]
+
+
+def test_drawn_sums_equal_a_join_and_hold_no_row_per_draw_and_record(spark, monkeypatch):
+    monkeypatch.setattr(bs, "BLOCK", 7)
+    monkeypatch.setattr(bs, "PACKED", 50)
+    monkeypatch.setattr(bs, "COUNTED", 40)
+    draws = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"), (F.col("id") % 11).alias("replicate"), (F.col("id") * 37 % 23).alias("index"))
+    records = spark.range(60).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"), (F.col("id") % 20).alias("index"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"), F.col("id").alias("n"), (F.col("id") / 4).alias("v"))
+    got = bs.drawn_sums(draws, records, ["k"], "replicate", ["g"], ["n", "v"])
+    plain = draws.alias("d").join(records.alias("r"), (F.col("d.k").eqNullSafe(F.col("r.k"))) & (F.col("d.index") == F.col("r.index")))
+    want = plain.groupBy("d.k", "replicate", "g").agg(F.sum("n"), F.sum("v"))
+    assert dict(got.dtypes)["n"] == "bigint" and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert "Join" not in pack_plan(bs.pack_draws(draws.select(F.lit(1).cast("long").alias("place"), F.col("replicate").alias("run"), "index")))
+
+
+def pack_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
