@@ -244,3 +244,19 @@ def test_drawn_sums_equal_a_join_and_hold_no_row_per_draw_and_record(spark, monk
 
 def pack_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_slots_are_the_draws_of_the_hash_rule(spark, monkeypatch):
+    monkeypatch.setattr(bs, "BLOCK", 16)
+    monkeypatch.setattr(bs, "SLOT_CHUNK", 10)
+    sizes = spark.createDataFrame([("a", None, 45), ("b", 0.25, 3)], "k string, level double, n_units long")
+    packed = bs.resample(sizes, ["k", "level"], [], 4, 7)
+    got = {}
+    for r in packed.collect():
+        got.setdefault((r["place"], r["run"]), []).extend((np.frombuffer(r["body"], "<u2").astype(int) + 16 * r["block"]).tolist())
+    names = {r["p"]: r["k"] for r in sizes.select(bs._number(["k", "level"]).alias("p"), "k").collect()}
+    for (place, run), found in got.items():
+        k, level, n = ("a", "", 45) if names[place] == "a" else ("b", "0.25", 3)
+        want = [int(hashlib.sha256(f"7|{run}|{k}|{level}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+        assert sorted(found) == sorted(want)
+    assert len(got) == 8
