@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import arrays as ar
 from kinfold.functions.hashing import hash_key
 from kinfold.operators.boosting import Settings, fit_boosted
+from kinfold.operators.features import explode_vectors
 from kinfold.operators.forests import fit_forest
 from kinfold.operators.margins import fit_margins
 from kinfold.operators.ranking import _null_safe_join, hash_rank
+from kinfold.operators.runs import matrix
 from kinfold.operators.weights import training_weights
-from kinfold.session import durable
+from kinfold.session import durable, spread
 
 # fixed values: model parameters
 TREES, ROUNDS, OUTER_FOLDS = 300, 200, 3
+#: Bytes of the centroids that are sent to the tasks at once.
+GROUP = 32_000_000
 MODELS = ("tree_ensemble", "linear_svm", "boosted_trees")
 
 
@@ -109,6 +115,68 @@ def permuted_labels(clusters: DataFrame, permutations: int, seed: int) -> DataFr
     return slots.join(source, ["permutation", "__r"]).drop("__r")
 
 
+def permuted_centroid_confusion(vectors: DataFrame, placed: DataFrame, permutations: int, folds: int) -> DataFrame:
+    """``(permutation, true_label, predicted_label, n)``: every row scored by centroids that haven't seen its cluster.
+
+    ``vectors``: row_id, cluster_id, vector; ``placed``: permutation, cluster_id, label, fold. Rows of a cluster weigh alike, as
+    clusters of a label do, so centroids are fitted on sums of clusters. A row is read once for all permutations, and
+    only counts leave a task. Centroids are sent for as many permutations at once as ``GROUP`` bytes hold.
+    """
+    classes = [r[0] for r in placed.select("label").distinct().orderBy("label").collect()]  # the classes of a study
+    names = ar.class_array(classes)
+    placed = durable(placed.select("permutation", "cluster_id", "fold", (F.array_position(names, F.col("label")) - 1).cast("int").alias("y")))
+    sizes = vectors.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    sums = explode_vectors(vectors, "vector", ["cluster_id"]).groupBy("cluster_id", "bin").agg(F.sum("value").alias("s"), F.count("*").alias("k"))
+    means = sums.join(sizes, "cluster_id").select("cluster_id", "bin", (F.col("s") / F.col("n")).alias("s"), (F.col("k") / F.col("n")).alias("k"))
+    fitted = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("part != fold").join(means, "cluster_id")
+    long = fitted.groupBy("permutation", "part", "y", "bin").agg((F.sum("s") / F.sum("k")).alias("v"))
+    centroids = durable(long.groupBy("permutation", "part", "y").agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("v")).select(
+        "permutation", "part", "y", F.transform("v", lambda e: e["v"]).alias("v")))
+    d = centroids.agg(F.max(F.size("v"))).first()[0] or 1
+    step = max(1, GROUP // (8 * folds * len(classes) * d)) if classes else permutations
+    rows, context, parts = durable(spread(vectors.select("cluster_id", "vector"))), vectors.sparkSession.sparkContext, []
+    for low in range(0, permutations, step):
+        own = (F.col("permutation") >= low) & (F.col("permutation") < low + step)
+        model: dict[tuple, tuple[list, list]] = {}
+        for r in centroids.filter(own).orderBy("permutation", "part", "y").collect():  # below GROUP bytes
+            known, unit = model.setdefault((r["permutation"] - low, r["part"]), ([], []))
+            v = np.array(r["v"])
+            known.append(r["y"])
+            unit.append(v / (np.linalg.norm(v) or 1.0))
+        shared = context.broadcast({cell: (np.array(known), np.stack(unit)) for cell, (known, unit) in model.items()})
+        at = F.array_sort(F.collect_list(F.struct("permutation", "fold", "y")))  # one entry a permutation
+        packed = placed.filter(own).groupBy("cluster_id").agg(at.alias("at")).select("cluster_id", "at.fold", "at.y")
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared, low=low, many=min(step, permutations - low)) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((many, len(classes), len(classes)), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, fold, truth = matrix(batch.column("vector")), matrix(batch.column("fold"), np.int64), matrix(batch.column("y"), np.int64)
+                norms = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norms > 0, norms, 1.0)
+                for p in range(many):
+                    for part in np.unique(fold[:, p]).tolist():
+                        if (p, part) not in shared.value:
+                            continue
+                        mine = np.flatnonzero(fold[:, p] == part)
+                        known, unit = shared.value[p, part]
+                        # einsum keeps one summation order per pair, so equal centroids tie exactly
+                        predicted = known[np.einsum("ij,kj->ik", x[mine], unit).argmax(1)]
+                        counts[p] += np.bincount(truth[mine, p] * len(classes) + predicted, minlength=len(classes) ** 2).reshape(len(classes), -1)
+            p, t, f = np.nonzero(counts)
+            columns = [p + low, t, f, counts[p, t, f]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["permutation", "t", "p", "n"])
+
+        found = rows.join(packed, "cluster_id").select("vector", "fold", "y").mapInArrow(count, "permutation long, t long, p long, n long")
+        parts.append(found)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    label = lambda c: F.get(names, F.col(c).cast("int"))
+    return found.groupBy(F.col("permutation").cast("int").alias("permutation"), label("t").alias("true_label"), label("p").alias("predicted_label")).agg(F.sum("n").alias("n"))
+
+
 def permutation_envelope(scores: DataFrame, keys: Sequence[str], value: str = "macro_f1") -> DataFrame:
     """Chance envelope over permutations (their number is a parameter, so the list is bounded)."""
     return scores.groupBy(*keys).agg(

@@ -202,14 +202,8 @@ def permutation_scores(spark, sf):
     v = vectors(spark, sf)
     labels = durable(md.permuted_labels(v.select("cluster_id", "label").distinct(), PERM, 77))
     folds = hash_rank(labels, ["permutation", "label"], hash_key(F.lit("fold"), F.col("permutation"), F.col("cluster_id")), ["cluster_id"], "r")
-    rows = v.drop("label").join(folds.select("permutation", "cluster_id", "label", ((F.col("r") - 1) % 5).cast("int").alias("tf")), "cluster_id")
-    keys = ["permutation", "fold"]
-    train = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter("fold != tf")
-    centroids = sc.weighted_centroids(training_weights(train, keys), keys)
-    test = rows.withColumn("fold", F.col("tf"))
-    best = sc.rank_labels(sc.centroid_scores(test, durable(centroids), keys), keys)
-    scored = best.select(*keys, "row_id", "predicted").join(test.select(*keys, "row_id", "label"), [*keys, "row_id"])
-    return me.classification_scores(scored, ["permutation"])
+    placed = folds.select("permutation", "cluster_id", "label", ((F.col("r") - 1) % 5).cast("int").alias("fold"))
+    return me.scores_from_confusion(md.permuted_centroid_confusion(v.drop("label"), placed, PERM, 5), ["permutation"])
 
 
 @query("permutation_scores", "SELECT permutation, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM pf", ("permf",))
