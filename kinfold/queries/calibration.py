@@ -19,10 +19,10 @@ MIN = cal.MIN_CLASS_ROWS  # class size that still calibrates on its own
 
 
 def rows_and_classes(spark, sf, role=None):
-    """Scored rows as a written table: the operators below read them in several branches."""
+    """Scored rows, those of one role as a written table; all of them are made anew from the staged base where they are summed."""
     parents = known_classes(spark, sf)
     rows = scored(spark, sf, parents)
-    return durable(rows if role is None else rows.filter(F.col("role") == role)), parents
+    return (rows if role is None else durable(rows.filter(F.col("role") == role))), parents
 
 
 define("cal", """cal AS (SELECT *, 1e0 - p AS s FROM scored WHERE role = 'calibration' AND class = label),
