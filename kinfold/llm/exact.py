@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import small_batches, text_slices
+from kinfold.llm.common import small_batches, stage, text_slices
+from kinfold.llm.components import components
 from kinfold.llm.words import shingles, words_of
 
 PART = 512
+#: Points of a cell from which on cells that share points may be taken together.
+CROWD = 16
 
 
 def hash_set(text: str | bytes | None, size: int) -> np.ndarray:
@@ -76,16 +79,55 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return dealt.mapInArrow(check, "a long, b long")
 
 
+def rows_made(size: str, blocks: Column) -> Column:
+    """How many rows ``size`` points make that meet in ``blocks`` blocks, two by two."""
+    return F.col(size) * F.greatest(F.lit(1), blocks - 1)
+
+
+def pairs_met(size: str, blocks: Column) -> Column:
+    """Twice the pairs that ``size`` points are compared in: blocks of two meet as one, each of more meets all others."""
+    return F.col(size).cast("double") * F.col(size) * F.greatest(F.lit(1.0), 2 - 2 / blocks)
+
+
+def crowds(rows: DataFrame, block: int) -> DataFrame:
+    """``key, crowd, blocks``: points of ``rows`` (``cell, key, m``) that should meet as one crowd, not cell by cell.
+
+    Points that share cells of ``CROWD`` points or more make a crowd, directly or by way of others. Near copies
+    meet in many cells; as a crowd each pair meets once or twice. A crowd is only taken if this makes no more rows and
+    no more pairs than its cells do, so that crowds strung together by chance stay in their cells.
+    """
+    large = rows.filter(F.col("m") >= CROWD)
+    hubs = large.groupBy("cell").agg(F.min("key").alias("hub"), F.max("m").alias("m"))
+    ties = components(large.join(hubs.select("cell", "hub"), "cell").select(F.col("hub").alias("a"), F.col("key").alias("b")))
+    named = ties.select(F.col("node").alias("key"), F.col("root").alias("crowd"))
+    cut = F.ceil(F.col("m") / block)
+    in_cells = hubs.join(named.withColumnRenamed("key", "hub"), "hub").groupBy("crowd").agg(F.sum(rows_made("m", cut)).alias("made"), F.sum(pairs_met("m", cut)).alias("met"))
+    sizes = named.groupBy("crowd").agg(F.count("*").alias("p")).withColumn("blocks", F.ceil(F.col("p") / (block // 2)).cast("int"))
+    less = (rows_made("p", F.col("blocks")) <= F.col("made")) & (pairs_met("p", F.col("blocks")) <= F.col("met"))
+    return stage(named.join(sizes.join(in_cells, "crowd").filter(less).select("crowd", "blocks"), "crowd").select("key", "crowd", "blocks"), "crowds")
+
+
 def mixed_spots(shared: DataFrame, groups: DataFrame, points: DataFrame, block: int) -> DataFrame:
-    """``spot, root`` and the columns of ``points``: the cells of ``shared`` in which there are several ``groups``.
+    """``spot, root`` and the columns of ``points``: where points of several ``groups`` meet that share a cell of ``shared``.
 
-    Cells are counted; one of more than ``block`` points is cut into blocks that meet two by two.
+    Points that share large cells over and over meet as a crowd; a cell that lies within one isn't looked at. Other
+    cells are spots of their own. Both are counted; where there are more than ``block`` points (half as many for a
+    crowd) they are cut into blocks that meet two by two.
     """
     named = shared.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = named.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x != y")
-    rows = named.join(several.select("cell", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "cell")
+    rows = stage(named.join(several.select("cell", "m"), "cell").select("cell", "key", "root", "m"), "mixed")
+    met = rows.select("cell", "key", "root", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    if not rows.filter(F.col("m") >= CROWD).isEmpty():
+        crowd = crowds(rows, block)
+        inside = rows.join(crowd.select("key", "crowd"), "key", "left").groupBy("cell").agg(F.min("crowd").alias("x"), F.max("crowd").alias("y"), F.count("crowd").alias("n"), F.max("m").alias("m"))
+        outside = inside.filter("n < m OR x != y").select("cell")
+        whole = rows.select("key", "root").distinct().join(crowd, "key").select(F.xxhash64(F.lit("crowd"), "crowd").alias("cell"), "key", "root", "blocks")
+        met = met.join(outside, "cell", "left_semi").unionByName(whole)
     own: Column = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    pairs = rows.select("cell", "key", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = met.select("cell", "key", "root", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # a block meets itself wherever it meets another
+    pairs = pairs.filter("blocks = 1 OR own != other")
     spots = pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("spot"), "key", "root")
     # cells that hold the same points are looked at once
     same = spots.groupBy("spot").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.count("*").alias("m"))

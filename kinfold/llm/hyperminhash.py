@@ -9,10 +9,12 @@ with a chance of (1 - 0.8^6)^64, about 4 in a billion, and less the more alike i
 Texts of equal sets are one point. Each point is first checked against the point it meets in the most cells
 among those that come first in one; only cells in which the links leave several groups are looked at again:
 there points of different groups are compared by their registers, first for a spanning forest of the
-closest, then, between groups still apart, for all that may be similar. A pair is only checked if its
+closest, then, between groups still apart, for all that may be similar. Near copies that meet in many cells
+meet as one crowd instead, if that is less work. A pair is only checked if its 1,024-bit parity sketches differ in
+no more bits than the similarity allows, which loses none, and if its
 estimate, corrected for registers that agree by chance, is within five standard errors of the threshold.
 Checks are exact, on the full sets: the texts of a hub's partners pass by the hub's own text one by one.
-Crowded cells are cut into blocks that meet two by two, crowded hubs into parts; neither needs to fit in a task.
+Crowded cells and crowds are cut into blocks that meet two by two, crowded hubs into parts; none needs to fit in a task.
 
 Fewer words than a shingle has: the whole sequence is the only one. Texts without words (null, empty or
 blank) have no set and are linked with nothing. A null id never names a group unless all ids of it are
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import stage, text_slices, with_row_key
 from kinfold.llm.components import components
 from kinfold.llm.exact import bodies, hash_set, mixed_spots, verified
-from kinfold.llm.fingerprints import mixed, whole_runs
+from kinfold.llm.fingerprints import ODD, mixed, whole_runs
 
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
@@ -126,22 +128,39 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, s
     return fits, estimate
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """``ODD`` bits, each flipped by every hash that falls on it: two sets differ in no fewer members than in bits."""
+    flips = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % ODD, minlength=ODD)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def bits_of(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint64).reshape(len(values), ODD // 64)
+
+
+def within(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of two tables of parities (of sets with ``a`` and ``b`` members) don't rule out a similarity."""
+    differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return differ <= (a + b) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, _row`` with ``key`` (a hash of the set), ``n`` and packed ``registers``."""
+    """``doc_id, _row`` with ``key`` (a hash of the set), ``n``, packed ``registers`` and parities ``odd``."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in text_slices(batches, 8_000_000):
-            keys, sizes, packs = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            keys, sizes, packs, odd = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 found = hash_set(text, size)
                 keys[row], sizes[row] = xxh64_intdigest(found.tobytes()), len(found)
                 packs.append(packed(registers(found)))
-            columns = [batch.column(0), batch.column(1), pa.array(keys.view(np.int64)), pa.array(sizes), pa.array(packs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "key", "n", "registers"])
+                odd.append(parities(found))
+            columns = [batch.column(0), batch.column(1), pa.array(keys.view(np.int64)), pa.array(sizes), pa.array(packs, pa.binary()), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "key", "n", "registers", "odd"])
 
-    return docs.select("doc_id", "_row", "text").mapInArrow(compute, "doc_id long, _row long, key long, n long, registers binary")
+    return docs.select("doc_id", "_row", "text").mapInArrow(compute, "doc_id long, _row long, key long, n long, registers binary, odd binary")
 
 
 def banded(points: DataFrame) -> DataFrame:
@@ -157,22 +176,25 @@ def banded(points: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """The ``hub, key`` pairs that may be similar enough by their registers."""
+    """The ``hub, key`` pairs that may be similar enough by their parities and registers."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 2_000_000):
+            sizes = (batch.column(c).to_numpy() for c in ("a", "b"))
+            near = within(*(bits_of(batch.column(c).to_pylist()) for c in ("u", "v")), *sizes, similarity)
+            batch = batch.filter(pa.array(near))
             x, y = (unpacked(batch.column(c).to_pylist()) for c in ("x", "y"))
             fits, _ = may_be_similar(x, y, batch.column("a").to_numpy(), batch.column("b").to_numpy(), similarity)
             yield batch.select(["hub", "key"]).filter(pa.array(fits))
 
-    own = points.select("key", F.col("n").alias("b"), F.col("registers").alias("y"))
-    hubs = points.select(F.col("key").alias("hub"), F.col("n").alias("a"), F.col("registers").alias("x"))
+    own = points.select("key", F.col("n").alias("b"), F.col("registers").alias("y"), F.col("odd").alias("v"))
+    hubs = points.select(F.col("key").alias("hub"), F.col("n").alias("a"), F.col("registers").alias("x"), F.col("odd").alias("u"))
     near = pairs.join(own, "key").join(hubs, "hub").filter(F.least("a", "b") >= similarity * F.greatest("a", "b") - 1e-9)
-    return near.select("hub", "key", "a", "x", "b", "y").mapInArrow(choose, "hub long, key long")
+    return near.select("hub", "key", "a", "x", "u", "b", "y", "v").mapInArrow(choose, "hub long, key long")
 
 
 def across(rows: DataFrame, similarity: float, thin: bool) -> DataFrame:
-    """Pairs ``hub, key`` of different groups in ``rows`` (``spot, key, root, n, registers``) that may be similar.
+    """Pairs ``hub, key`` of different groups in ``rows`` (``spot, key, root, n, registers, odd``) that may be similar.
 
     ``thin``: a spot leaves a spanning forest over its groups, closest pairs first.
     """
@@ -180,7 +202,7 @@ def across(rows: DataFrame, similarity: float, thin: bool) -> DataFrame:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "spot"):
             spots, keys, roots, sizes = (table.column(c).to_numpy() for c in ("spot", "key", "root", "n"))
-            own = unpacked(table.column("registers").to_pylist())
+            own, odd = unpacked(table.column("registers").to_pylist()), bits_of(table.column("odd").to_pylist())
             found: list[tuple[np.ndarray, ...]] = []
             ends = np.searchsorted(spots, spots, side="right")
             active, lag = np.arange(len(spots)), 1
@@ -188,6 +210,9 @@ def across(rows: DataFrame, similarity: float, thin: bool) -> DataFrame:
                 apart = active[(roots[active] != roots[active + lag]) & (keys[active] != keys[active + lag])]
                 for at in range(0, len(apart), 8192):
                     x = apart[at : at + 8192]
+                    x = x[within(odd[x], odd[x + lag], sizes[x], sizes[x + lag], similarity)]
+                    if not len(x):
+                        continue
                     fits, estimate = may_be_similar(own[x], own[x + lag], sizes[x], sizes[x + lag], similarity)
                     if fits.any():
                         found.append((x[fits], x[fits] + lag, estimate[fits]))
@@ -210,7 +235,7 @@ def across(rows: DataFrame, similarity: float, thin: bool) -> DataFrame:
             both = np.unique(np.stack([np.minimum(keys[a], keys[b]), np.maximum(keys[a], keys[b])], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["hub", "key"])
 
-    dealt = rows.repartition("spot").sortWithinPartitions("spot", "key").select("spot", "key", "root", "n", "registers")
+    dealt = rows.repartition("spot").sortWithinPartitions("spot", "key").select("spot", "key", "root", "n", "registers", "odd")
     return dealt.mapInArrow(pair, "hub long, key long").distinct()
 
 
@@ -219,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     rows = with_row_key(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_row")
     prints = stage(sketched(rows, size), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    points = stage(prints.filter("n > 0").groupBy("key").agg(first, F.min("n").alias("n"), F.min("registers").alias("registers")), "points")
+    points = stage(prints.filter("n > 0").groupBy("key").agg(first, F.min("n").alias("n"), F.min("registers").alias("registers"), F.min("odd").alias("odd")), "points")
     placed = banded(points)
     met = placed.groupBy("cell").agg(F.min("key").alias("hub"), F.max("key").alias("other")).filter("hub != other").select("cell", "hub")
     shared = stage(placed.join(met, "cell"), "cells")
@@ -235,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     for thin in (True, False):
         # the closest pairs only spare the last pass work: a quarter of the cells finds most of them
         seen = shared.filter(F.pmod("cell", F.lit(4)) == 0) if thin else shared
-        near = across(mixed_spots(seen.select("cell", "key"), groups.withColumnRenamed("node", "key"), points.select("key", "n", "registers"), BLOCK), similarity, thin)
+        near = across(mixed_spots(seen.select("cell", "key"), groups.withColumnRenamed("node", "key"), points.select("key", "n", "registers", "odd"), BLOCK), similarity, thin)
         new = stage(near.join(tried, ["hub", "key"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
         links = links.unionByName(stage(verified(new, texts, size, similarity), "links"))

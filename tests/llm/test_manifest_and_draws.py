@@ -226,6 +226,58 @@ def test_crowded_cells_and_hubs_are_cut(spark, monkeypatch):
     assert sorted(got) == sorted(plain_groups(rows, 2))
 
 
+@pytest.mark.parametrize("block", [1024, 32])
+def test_points_that_share_many_cells_meet_as_a_crowd(spark, block):
+    rnd = random.Random(6)
+    cells = {c: rnd.sample(range(60), 50) for c in range(40)} | {50: [0, 100], 51: [100, 101, 102], 52: list(range(40))}
+    cells |= {60 + i: [*range(1000 + 10 * i, 1020 + 10 * i)] for i in range(30)}  # a chain, less work cell by cell
+    root = {k: 0 if k < 40 else k for c in cells.values() for k in c}
+    shared = spark.createDataFrame([(c, k) for c, keys in cells.items() for k in keys], "cell long, key long")
+    groups = spark.createDataFrame([(k, 0) for k in range(40)], "key long, root long")
+    points = spark.createDataFrame([(k, 1) for k in root], "key long, n long")
+    spots = defaultdict(set)
+    for r in exact.mixed_spots(shared, groups, points, block).collect():
+        assert r["root"] == root[r["key"]] and r["key"] not in spots[r["spot"]]
+        spots[r["spot"]].add(r["key"])
+    met = {(a, b) for keys in spots.values() for a in keys for b in keys}
+    assert all((a, b) in met for keys in cells.values() for a in keys for b in keys if root[a] != root[b])
+    assert sum(map(len, spots.values())) <= 60 * max(1, -(-60 // (block // 2)) - 1) + 5 + 30 * 20  # 2,605 rows cell by cell
+    assert not any(0 <= a < 60 and b >= 1000 for a, b in met)
+
+
+def test_pairs_just_too_far_apart_are_not_checked(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(150)]
+        for j in rnd.sample(range(1, 149), 6):
+            words[j] = f"v{i} {j}"
+        rows.append((i, " ".join(words)))
+    checked = []
+
+    def counted(pairs, *more):
+        checked.append(pairs.count())
+        return exact.verified(pairs, *more)
+
+    monkeypatch.setattr(hyperminhash, "verified", counted)
+    got = [tuple(r) for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()]
+    assert sorted(got) == sorted(plain_groups(rows, 2))
+    assert sum(checked) <= 60  # of 1,770 pairs, 0.7 alike
+
+
+def test_parities_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 9, 45, 180, 900, 9_000):
+        for _ in range(20):
+            whole = np.unique(rng.integers(0, 2**64, 2 * n, np.uint64))[:n]
+            rng.shuffle(whole)
+            both = -(-4 * n // 5)  # the union has n members: just 0.8
+            cut = rng.integers(both, n + 1)
+            sets = whole[:cut], np.r_[whole[:both], whole[cut:]]
+            x, y = (hyperminhash.bits_of([hyperminhash.parities(s)]) for s in sets)
+            assert hyperminhash.within(x, y, *(np.array([len(s)]) for s in sets), 0.8)[0]
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(1)
     for n, m in ((30, 30), (400, 320), (20_000, 18_000), (3_000, 3_000)):
