@@ -33,3 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
             return now.unionByName(now.select(F.col("root").alias("node"), "root").distinct())
         mark = (found["n"], found["h"])
     raise ValueError(f"components don't settle within {MAX_ROUNDS} rounds")
+
+
+def extended(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """``groups`` (as ``components`` returns them) with the links ``more(a, b)``: only these pass through rounds, between the groups."""
+    names = groups.select(F.col("node").alias("x"), F.col("root").alias("y"))
+    ends = more.select("a", "b").join(names, F.col("a") == F.col("x"), "left").select(F.coalesce("y", "a").alias("a"), "b")
+    ends = ends.join(names, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b"))
+    merged = components(ends).select(F.col("node").alias("x"), F.col("root").alias("y"))
+    moved = groups.join(merged, F.col("root") == F.col("x"), "left").select("node", F.coalesce("y", "root").alias("root"))
+    fresh = merged.join(groups.select("node"), F.col("x") == F.col("node"), "left_anti").select(F.col("x").alias("node"), F.col("y").alias("root"))
+    return stage(moved.unionByName(fresh), "groups")

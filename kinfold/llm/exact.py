@@ -22,6 +22,8 @@ from kinfold.llm.words import shingles, words_of
 PART = 512
 #: Points of a cell from which on cells that share points may be taken together.
 CROWD = 16
+#: Such cells that two points of a crowd share; points that share fewer gain little by meeting once.
+TIES = 4
 
 
 def hash_set(text: str | bytes | None, size: int) -> np.ndarray:
@@ -89,41 +91,62 @@ def pairs_met(size: str, blocks: Column) -> Column:
     return F.col(size).cast("double") * F.col(size) * F.greatest(F.lit(1.0), 2 - 2 / blocks)
 
 
-def crowds(rows: DataFrame, block: int) -> DataFrame:
-    """``key, crowd, blocks``: points of ``rows`` (``cell, key, m``) that should meet as one crowd, not cell by cell.
+def mixed_rows(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``cell, key, root, m, hub``: the cells of ``shared`` that hold points of several ``groups``, their sizes and first points."""
+    named = shared.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = named.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.min("key").alias("hub")).filter("x != y")
+    return stage(named.join(several.select("cell", "m", "hub"), "cell").select("cell", "key", "root", "m", "hub"), "mixed")
+
+
+def tied(rows: DataFrame) -> DataFrame | None:
+    """``key, crowd``: points of ``rows`` (of ``mixed_rows``) that may meet as one crowd; None if no cell is large.
 
-    Points that share cells of ``CROWD`` points or more make a crowd, directly or by way of others. Near copies
-    meet in many cells; as a crowd each pair meets once or twice. A crowd is only taken if this makes no more rows and
-    no more pairs than its cells do, so that crowds strung together by chance stay in their cells.
+    Points that share ``TIES`` cells of ``CROWD`` points or more with the first point of each make a crowd, directly or
+    by way of others. One shared cell is no tie: the larger a table, the more texts are strung together by single ones.
     """
     large = rows.filter(F.col("m") >= CROWD)
-    hubs = large.groupBy("cell").agg(F.min("key").alias("hub"), F.max("m").alias("m"))
-    ties = components(large.join(hubs.select("cell", "hub"), "cell").select(F.col("hub").alias("a"), F.col("key").alias("b")))
-    named = ties.select(F.col("node").alias("key"), F.col("root").alias("crowd"))
+    if large.isEmpty():
+        return None
+    ties = large.filter(F.col("hub") != F.col("key")).groupBy("hub", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= TIES)
+    return components(ties.select(F.col("hub").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("root").alias("crowd"))
+
+
+def crowds(rows: DataFrame, ties: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``cell, key, root, blocks``: points of ``rows`` that meet as one crowd of ``ties``, and each ``cell`` that lies within one.
+
+    Near copies meet in many cells; as a crowd each pair meets once or twice. A crowd is only taken if this makes no more rows
+    and no more pairs than the cells that lie within it do.
+    """
+    named = stage(rows.join(ties, "key", "left").select("cell", "key", "root", "m", "crowd"), "named")
+    held = named.groupBy("cell").agg(F.min("crowd").alias("crowd"), F.max("crowd").alias("y"), F.count("crowd").alias("n"), F.max("m").alias("m"))
+    within = held.filter("n = m AND crowd = y").select("cell", "crowd", "m")
     cut = F.ceil(F.col("m") / block)
-    in_cells = hubs.join(named.withColumnRenamed("key", "hub"), "hub").groupBy("crowd").agg(F.sum(rows_made("m", cut)).alias("made"), F.sum(pairs_met("m", cut)).alias("met"))
-    sizes = named.groupBy("crowd").agg(F.count("*").alias("p")).withColumn("blocks", F.ceil(F.col("p") / (block // 2)).cast("int"))
+    in_cells = within.groupBy("crowd").agg(F.sum(rows_made("m", cut)).alias("made"), F.sum(pairs_met("m", cut)).alias("met"))
+    members = named.filter("crowd IS NOT NULL").select("key", "root", "crowd").distinct()
+    sizes = members.groupBy("crowd").agg(F.count("*").alias("p")).withColumn("blocks", F.ceil(F.col("p") / (block // 2)).cast("int"))
     less = (rows_made("p", F.col("blocks")) <= F.col("made")) & (pairs_met("p", F.col("blocks")) <= F.col("met"))
-    return stage(named.join(sizes.join(in_cells, "crowd").filter(less).select("crowd", "blocks"), "crowd").select("key", "crowd", "blocks"), "crowds")
+    taken = stage(sizes.join(in_cells, "crowd").filter(less).select("crowd", "blocks"), "crowds")
+    whole = members.join(taken, "crowd").select(F.xxhash64(F.lit("crowd"), "crowd").alias("cell"), "key", "root", "blocks")
+    return whole, within.join(taken, "crowd", "left_semi").select("cell")
 
 
 def mixed_spots(shared: DataFrame, groups: DataFrame, points: DataFrame, block: int) -> DataFrame:
-    """``spot, root`` and the columns of ``points``: where points of several ``groups`` meet that share a cell of ``shared``.
+    """``spot, root`` and the columns of ``points``: where points of several ``groups`` meet that share a cell of ``shared``."""
+    rows = mixed_rows(shared, groups)
+    return meeting(rows, tied(rows), points, block)
+
 
-    Points that share large cells over and over meet as a crowd; a cell that lies within one isn't looked at. Other
+def meeting(rows: DataFrame, ties: DataFrame | None, points: DataFrame, block: int) -> DataFrame:
+    """``spot, root`` and the columns of ``points``: where the points of ``rows`` (of ``mixed_rows``) meet.
+
+    Points that share several large cells meet as a crowd of ``ties``; a cell that lies within one isn't looked at. Other
     cells are spots of their own. Both are counted; where there are more than ``block`` points (half as many for a
     crowd) they are cut into blocks that meet two by two.
     """
-    named = shared.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    several = named.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x != y")
-    rows = stage(named.join(several.select("cell", "m"), "cell").select("cell", "key", "root", "m"), "mixed")
     met = rows.select("cell", "key", "root", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    if not rows.filter(F.col("m") >= CROWD).isEmpty():
-        crowd = crowds(rows, block)
-        inside = rows.join(crowd.select("key", "crowd"), "key", "left").groupBy("cell").agg(F.min("crowd").alias("x"), F.max("crowd").alias("y"), F.count("crowd").alias("n"), F.max("m").alias("m"))
-        outside = inside.filter("n < m OR x != y").select("cell")
-        whole = rows.select("key", "root").distinct().join(crowd, "key").select(F.xxhash64(F.lit("crowd"), "crowd").alias("cell"), "key", "root", "blocks")
-        met = met.join(outside, "cell", "left_semi").unionByName(whole)
+    if ties is not None:
+        whole, within = crowds(rows, ties, block)
+        met = met.join(within, "cell", "left_anti").unionByName(whole)
     own: Column = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     pairs = met.select("cell", "key", "root", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # a block meets itself wherever it meets another

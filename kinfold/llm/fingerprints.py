@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import small_batches, stage, text_slices, with_row_key
-from kinfold.llm.components import components
-from kinfold.llm.exact import bodies, mixed_spots, verified
+from kinfold.llm.components import components, extended
+from kinfold.llm.exact import bodies, meeting, mixed_rows, tied, verified
 from kinfold.llm.words import shingles, words_of
 
 BLOCK = 4096
@@ -280,9 +280,10 @@ def common_shingles(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray
     share = min(1.0, SAMPLE / max(1, total))
     some = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < share * 1_000_000).select("_text").distinct()
     counts = shingle_table(some.select(F.lit(0).cast("long").alias("key"), F.col("_text").alias("text")), size).select(F.explode("parts").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    rows = counts.filter("n > 1").orderBy(F.desc("n"), "x").limit(COMMON).collect()  # at most COMMON rows
-    found = sorted((r["x"], r["n"]) for r in rows)
-    return np.array([x for x, _ in found], np.int64), np.ceil(np.array([n for _, n in found]) / share).astype(np.int64)
+    rows = counts.filter("n > 1").orderBy(F.desc("n"), "x").limit(COMMON).toArrow()  # at most COMMON rows, 16 bytes each
+    found, often = (rows.column(c).to_numpy() for c in ("x", "n"))
+    order = np.argsort(found)
+    return found[order], np.ceil(often[order] / share).astype(np.int64)
 
 
 def prefixes(texts: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -439,18 +440,17 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
     close = links(points.filter("n > 0").select("key", "f0"), 3).select(F.col("a").alias("hub"), F.col("b").alias("key"))
     met = close.unionByName(best_hubs(spots)).select(F.least("hub", "key").alias("hub"), F.greatest("hub", "key").alias("key")).distinct()
     tried = stage(possible(met, sketch, similarity), "pairs")
-    found = similar(tried)
-    groups = components(found)
+    groups = components(similar(tried))
     cells = spots.select(F.col("spot").alias("cell"), "key")
     for thin in (True, False):
-        apart = mixed_spots(cells, groups.withColumnRenamed("node", "key"), sketch, BLOCK)
-        near = possible(candidates(apart, similarity, thin), sketch, similarity)
+        apart = mixed_rows(cells, groups.withColumnRenamed("node", "key"))
+        ties = tied(apart) if thin else ties  # both passes look at much the same cells
+        near = possible(candidates(meeting(apart, ties, sketch, BLOCK), similarity, thin), sketch, similarity)
         new = stage(near.join(tried, ["hub", "key"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
         more = similar(new)
         if not more.isEmpty():
-            found = found.unionByName(more)
-            groups = components(found)
+            groups = extended(groups, more)
     placed = points.select("key", "first").join(groups.withColumnRenamed("node", "key"), "key", "left")
     stay = placed.groupBy(F.coalesce("root", "key").alias("group")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return rows.join(stay, "_row", "left_semi").drop("_row")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import stage, text_slices, with_row_key
-from kinfold.llm.components import components
+from kinfold.llm.components import components, extended
 from kinfold.llm.exact import bodies, hash_set, mixed_spots, verified
 from kinfold.llm.fingerprints import ODD, mixed, whole_runs
 
@@ -254,17 +254,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     counted = shared.filter("hub != key").groupBy("key", "hub").agg(F.count("*").alias("m"))
     best = counted.groupBy("key").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub"))
     tried = stage(estimated(best, points, similarity), "pairs")
-    links = stage(verified(tried, texts, size, similarity), "links")
+    groups = components(stage(verified(tried, texts, size, similarity), "links"))
     tried = tried.select(F.least("hub", "key").alias("hub"), F.greatest("hub", "key").alias("key"))
-    groups = components(links)
     for thin in (True, False):
         # the closest pairs only spare the last pass work: a quarter of the cells finds most of them
         seen = shared.filter(F.pmod("cell", F.lit(4)) == 0) if thin else shared
         near = across(mixed_spots(seen.select("cell", "key"), groups.withColumnRenamed("node", "key"), points.select("key", "n", "registers", "odd"), BLOCK), similarity, thin)
         new = stage(near.join(tried, ["hub", "key"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
-        links = links.unionByName(stage(verified(new, texts, size, similarity), "links"))
-        groups = components(links)
+        groups = extended(groups, stage(verified(new, texts, size, similarity), "links"))
 
     named = points.select("key", "first.doc_id").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import exact, hyperminhash, merkle, resampling
+from kinfold.llm import components, exact, hyperminhash, merkle, resampling
 from kinfold.llm.ordering import ranked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, _row int"
@@ -245,6 +245,40 @@ def test_points_that_share_many_cells_meet_as_a_crowd(spark, block):
     assert not any(0 <= a < 60 and b >= 1000 for a, b in met)
 
 
+def test_single_shared_cells_tie_no_crowd(spark, monkeypatch):
+    seen = []
+
+    def counted(edges):
+        seen.append(edges.count())
+        return components.components(edges)
+
+    monkeypatch.setattr(exact, "components", counted)
+    chain = [(c, 19 * c + i) for c in range(100) for i in range(20)]  # each cell shares one point with the next
+    crowd = [(1000 + c, 5000 + i) for c in range(6) for i in range(30) if i % 7 != c]  # large cells shared again and again
+    rows = exact.mixed_rows(spark.createDataFrame(chain + crowd, "cell long, key long"), spark.createDataFrame([], "key long, root long"))
+    found = {r["key"]: r["crowd"] for r in exact.tied(rows).collect()}
+    assert set(found) == set(range(5000, 5030)) and set(found.values()) == {5000}
+    assert seen[0] <= 60  # some 1,900 more if every shared cell were a tie
+    few = spark.createDataFrame([(1, 2), (1, 3)], "cell long, key long")
+    assert exact.tied(exact.mixed_rows(few, spark.createDataFrame([], "key long, root long"))) is None
+
+
+def test_extended_groups(spark, monkeypatch):
+    rnd = random.Random(12)
+    first = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(150)]
+    more = [(rnd.randint(0, 500), rnd.randint(0, 500)) for _ in range(60)] + [(7, 7), first[0]]
+    table = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    groups = components.components(table(first))
+    want = {tuple(r) for r in components.components(table(first + more)).collect()}
+    seen = []
+    whole = components.components
+    monkeypatch.setattr(components, "components", lambda edges: seen.append(edges.filter("a != b").count()) or whole(edges))
+    got = [tuple(r) for r in components.extended(groups, table(more)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert seen[0] <= 60  # only the new links, between groups
+    assert {tuple(r) for r in components.extended(groups, table([])).collect()} == {tuple(r) for r in groups.collect()}
+
+
 def test_pairs_just_too_far_apart_are_not_checked(spark, monkeypatch):
     rnd = random.Random(8)
     rows = []
