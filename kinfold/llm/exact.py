@@ -98,16 +98,16 @@ def mixed_rows(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return stage(named.join(several.select("cell", "m", "hub"), "cell").select("cell", "key", "root", "m", "hub"), "mixed")
 
 
-def tied(rows: DataFrame) -> DataFrame | None:
+def tied(rows: DataFrame, least: int = TIES) -> DataFrame | None:
     """``key, crowd``: points of ``rows`` (of ``mixed_rows``) that may meet as one crowd; None if no cell is large.
 
-    Points that share ``TIES`` cells of ``CROWD`` points or more with the first point of each make a crowd, directly or
-    by way of others. One shared cell is no tie: the larger a table, the more texts are strung together by single ones.
+    Points that share ``least`` cells of ``CROWD`` points or more with the first point of each make a crowd, directly or
+    by way of others. Where a cell is a single shingle, one is no tie: the larger a table, the more texts are strung together.
     """
     large = rows.filter(F.col("m") >= CROWD)
     if large.isEmpty():
         return None
-    ties = large.filter(F.col("hub") != F.col("key")).groupBy("hub", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= TIES)
+    ties = large.filter(F.col("hub") != F.col("key")).groupBy("hub", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return components(ties.select(F.col("hub").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("root").alias("crowd"))
 
 
@@ -131,9 +131,12 @@ def crowds(rows: DataFrame, ties: DataFrame, block: int) -> tuple[DataFrame, Dat
 
 
 def mixed_spots(shared: DataFrame, groups: DataFrame, points: DataFrame, block: int) -> DataFrame:
-    """``spot, root`` and the columns of ``points``: where points of several ``groups`` meet that share a cell of ``shared``."""
+    """``spot, root`` and the columns of ``points``: where points of several ``groups`` meet that share a cell of ``shared``.
+
+    Such a cell is rarely shared by chance, so that one large cell is tie enough.
+    """
     rows = mixed_rows(shared, groups)
-    return meeting(rows, tied(rows), points, block)
+    return meeting(rows, tied(rows, 1), points, block)
 
 
 def meeting(rows: DataFrame, ties: DataFrame | None, points: DataFrame, block: int) -> DataFrame:
