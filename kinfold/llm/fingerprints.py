@@ -36,6 +36,8 @@ BLOCK = 4096
 #: Bits of a set's sketch, texts sampled for common shingles, and how many of those are kept.
 ODD, SAMPLE, COMMON = 1024, 4096, 200_000
 SEGMENT, AXES = 4, 8
+#: Links that a forest holds before it keeps the spanning ones.
+HELD = 524_288
 
 
 def majority_bits(hashes: np.ndarray) -> np.ndarray:
@@ -165,7 +167,7 @@ def forest(
         if hit.any():
             links.append((active[hit], other[hit], dist[hit]))
             held += int(hit.sum())
-            if thin and held > 2_000_000:
+            if thin and held > HELD:
                 spanning()
         lag += 1
         active = active[active + lag < ends[active]]
